@@ -18,10 +18,12 @@ _FIELDS = ("region", "subtile_x", "subtile_y", "subtile_size", "year", "month",
 def _grouped(df: DataFrame, text: str, pattern: str, count: int) -> DataFrame:
     """Adds ``_g``: the capture groups of one regex pass, NULL where the text does not match.
 
-    Kept as its own projection so that the fields below read it instead of repeating the match.
+    The one-element explode keeps the optimizer from copying the match into every filter and
+    field that reads it: each name is matched once.
     """
     joined = "|".join(f"${i}" for i in range(1, count + 1))
-    return df.withColumn("_g", F.when(F.col(text).rlike(pattern), F.split(F.regexp_replace(text, pattern, joined), r"\|")))
+    groups = F.when(F.col(text).rlike(pattern), F.split(F.regexp_replace(text, pattern, joined), r"\|"))
+    return df.withColumn("_g", F.explode(F.array(groups)))
 
 
 def _identity() -> dict[str, Column]:

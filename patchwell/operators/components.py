@@ -33,22 +33,30 @@ def adjacent_pairs(cells: DataFrame, size: int) -> DataFrame:
 def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "key") -> DataFrame:
     """Smallest member key of each vertex's component.
 
-    Every round merges each vertex into its smallest neighbour (one pointer jump), relabels
-    the edges and drops loops, so the edge table shrinks round by round until it is empty.
+    Vertices are ordered by a hash, so chains to a local minimum stay short whatever the keys.
+    Each round sends every vertex to its smallest neighbour, follows that pointer twice more,
+    and relabels the edges; loops drop out, so the edge table shrinks by a factor per round.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    def name(c: Column) -> Column:
+        return F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), c)
+
+    one_way = edges.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"))
+    both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut_lineage(both.where(F.col("a") != F.col("b")).distinct())
-    labels = vertices.select(key, F.col(key).alias("label")).distinct()
+    labels = vertices.select(key, name(F.col(key)).alias("label"))
     while not edges.isEmpty():
-        parent = edges.groupBy("a").agg(F.min("b").alias("p")).where(F.col("p") < F.col("a"))
-        grand = parent.select(F.col("a").alias("p"), F.col("p").alias("g"))
-        step = cut_lineage(parent.join(grand, "p", "left").select("a", F.coalesce("g", "p").alias("p")))
-        to = step.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        edges = cut_lineage(edges.join(step, "a", "left").join(to, "b", "left").select(
-            F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-        moved = step.select(F.col("a").alias("label"), F.col("p").alias("to"))
-        labels = cut_lineage(labels.join(moved, "label", "left").select(key, F.coalesce("to", "label").alias("label")))
-    return labels
+        parent = edges.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
+        for _ in range(2):
+            parent = cut_lineage(parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("g")), "p").select(
+                "a", F.col("g").alias("p")))
+        to = parent.select(F.col("a").alias("b"), F.col("p").alias("q"))
+        edges = cut_lineage(edges.join(parent, "a").join(to, "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+                            .where(F.col("a") != F.col("b")).distinct())
+        moved = parent.select(F.col("a").alias("label"), F.col("p").alias("to"))
+        labels = labels.join(moved, "label", "left").select(key, F.coalesce("to", "label").alias("label"))
+    labels = cut_lineage(labels)
+    smallest = labels.groupBy("label").agg(F.min(key).alias("smallest"))
+    return labels.join(smallest, "label").select(key, F.col("smallest").alias("label"))
 
 
 def grid_components(rows: DataFrame, size: int = 50) -> DataFrame:
