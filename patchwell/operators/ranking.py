@@ -23,21 +23,32 @@ def value_bucket(value: Column, per_octave: int = 64) -> Column:
     return F.floor(F.signum(value) * F.log2(1 + F.abs(value) * 1048576.0) * per_octave).cast("int")
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], amount: Column, bucket: Column,
-                  out: str = "running", total: str | None = None, descending: bool = False) -> DataFrame:
-    """Inclusive running sum of ``amount`` per key in ``order``; optionally the key total."""
-    staged = df.withColumn("_bucket", bucket).withColumn("_amount", amount)
+def running_totals(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column], bucket: Column,
+                   totals: dict[str, str] | None = None, descending: bool = False) -> DataFrame:
+    """Inclusive running sums (``out name -> amount``) per key in ``order``, from one pair of passes.
+
+    ``bucket`` must not decrease (increase if ``descending``) along ``order``. ``totals`` maps an
+    out name to a column for its sum over the whole key.
+    """
+    names = list(amounts)
+    staged = df.withColumns({"_bucket": bucket, **{f"_a_{n}": amounts[n] for n in names}})
     direction = F.desc if descending else F.asc
-    per_bucket = staged.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_inside"))
-    earlier = Window.partitionBy(*keys).orderBy(direction("_bucket"))
+    per_bucket = staged.groupBy(*keys, "_bucket").agg(*[F.sum(f"_a_{n}").alias(f"_in_{n}") for n in names])
+    earlier, whole = Window.partitionBy(*keys).orderBy(direction("_bucket")), Window.partitionBy(*keys)
     starts = per_bucket.select(
-        *keys, "_bucket", (F.sum("_inside").over(earlier) - F.col("_inside")).alias("_start"),
-        *([F.sum("_inside").over(Window.partitionBy(*keys)).alias(total)] if total else []))
+        *keys, "_bucket", *[(F.sum(f"_in_{n}").over(earlier) - F.col(f"_in_{n}")).alias(f"_start_{n}") for n in names],
+        *[F.sum(f"_in_{n}").over(whole).alias(out) for n, out in (totals or {}).items()])
     inner = (Window.partitionBy(*keys, "_bucket").orderBy(*[direction(c) for c in order])
              .rowsBetween(Window.unboundedPreceding, 0))
     return (staged.join(starts, [*keys, "_bucket"])
-            .withColumn(out, F.sum("_amount").over(inner) + F.col("_start"))
-            .drop("_bucket", "_amount", "_start"))
+            .withColumns({n: F.sum(f"_a_{n}").over(inner) + F.col(f"_start_{n}") for n in names})
+            .drop("_bucket", *[f"_a_{n}" for n in names], *[f"_start_{n}" for n in names]))
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: Column, bucket: Column,
+                  out: str = "running", total: str | None = None, descending: bool = False) -> DataFrame:
+    """One running sum; see ``running_totals``."""
+    return running_totals(df, keys, order, {out: amount}, bucket, {out: total} if total else None, descending)
 
 
 def global_rank(df: DataFrame, hash_col: str, strata: list[str] | None = None, out: str = "rank",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..checks import Checked, all_violations, known, violation
 from ..functions.names import HASH_SEED, salted_hash
+from ..session import cut_lineage
 from .components import adjacent_pairs, with_grid_neighbors
-from .ranking import first_per_group, global_rank, rank_by_text, running_total
+from .ranking import first_per_group, global_rank, rank_by_text, running_totals
 from .support import CLASS_COLUMNS, CRITERIA, group_support, qualifies
 
 SPLITS = ("train", "validation", "test")
@@ -244,19 +245,19 @@ def anchored_selection(pool: DataFrame, group: str, criteria: dict = CRITERIA, f
     best = [F.desc("high_pixels"), F.asc("_h")]
     anchors = first_per_group(ends, [group, "day"], best, 2).select(group, "sample_id", F.lit(0).alias("_turn"))
     queue = high.join(anchors, [group, "sample_id"], "left").withColumn("_turn", F.coalesce("_turn", F.lit(1)))
+    queue = cut_lineage(queue.select(group, "sample_id", "day", "subtile_id", "patch_row", "patch_col", "high_pixels", "_turn", "_h"))
     queue = queue.withColumn("_key", F.struct("_turn", (-F.col("high_pixels")).alias("hp"), F.col("_h").alias("h")))
     for flag, cols in (("_new_day", ["day"]), ("_new_position", ["subtile_id", "patch_row", "patch_col"])):
         firsts = queue.groupBy(group, *cols).agg(F.min("_key").alias("_min"))
         queue = queue.join(firsts, [group, *cols]).withColumn(flag, (F.col("_key") == F.col("_min")).cast("bigint")).drop("_min")
     coarse = F.struct("_turn", (-F.col("high_pixels")).alias("hp"), F.substring("_h", 1, 2).alias("h"))
-    for amount in ("_new_day", "_new_position", "high_pixels"):
-        queue = running_total(queue, [group], ["_key"], F.col(amount), coarse, f"_run{amount.strip('_')}")
-    limits = queue.join(bounds, group)
+    amounts = {f"_run_{n}": F.col(c) for n, c in (("day", "_new_day"), ("position", "_new_position"), ("high", "high_pixels"))}
+    limits = running_totals(queue, [group], ["_key"], amounts, coarse).join(bounds, group)
     span_ok = F.datediff("_last", "_first") >= criteria["minimum_date_span_days"]
-    before_ok = (span_ok & (F.col("_runnew_day") - F.col("_new_day") >= criteria["high_dates_per_component"])
-                 & (F.col("_runnew_position") - F.col("_new_position") >= criteria["high_patch_positions_per_component"])
-                 & (F.col("_runhigh_pixels") - F.col("high_pixels") >= criteria["minimum_high_pixels_per_component"]))
-    kept = limits.where((F.col("_turn") == 0) | ~before_ok).select(group, "sample_id")
+    before_ok = (span_ok & (F.col("_run_day") - F.col("_new_day") >= criteria["high_dates_per_component"])
+                 & (F.col("_run_position") - F.col("_new_position") >= criteria["high_patch_positions_per_component"])
+                 & (F.col("_run_high") - F.col("high_pixels") >= criteria["minimum_high_pixels_per_component"]))
+    kept = cut_lineage(limits.where((F.col("_turn") == 0) | ~before_ok).select(group, "sample_id"))
     counts = kept.groupBy(group).agg(F.count(F.lit(1)).alias("_kept"))
     rest = first_per_group(hashed.join(kept, [group, "sample_id"], "left_anti"), [group], [F.asc("_h")], fill)
     rest = rest.join(counts, group, "left").withColumn("_place", F.row_number().over(_per(group)))
