@@ -6,22 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import Checked, violation
-from .ranking import running_total
+from .ranking import running_total, with_next
 
 
 def span_to_next(entries: DataFrame, archive: str, offset: str, ends: DataFrame, end: str, bucket_bytes: int = 1 << 30) -> DataFrame:
-    """Bytes from each entry to the next one of its archive; the last runs to the archive end.
-
-    The window covers one stretch of the archive; only the first offset of every stretch is
-    looked at across stretches.
-    """
-    staged = entries.withColumn("_b", F.floor(F.col(offset) / bucket_bytes))
-    firsts = staged.groupBy(archive, "_b").agg(F.min(offset).alias("_first"))
-    following = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(archive).orderBy("_b")))
-    inner = Window.partitionBy(archive, "_b").orderBy(offset)
-    joined = staged.join(following.drop("_first"), [archive, "_b"]).join(ends, archive, "left")
-    stop = F.coalesce(F.lead(offset).over(inner), F.col("_next"), F.col(end))
-    return joined.withColumn("span_bytes", stop - F.col(offset)).drop("_b", "_next", end)
+    """Bytes from each entry to the next one of its archive; the last runs to the archive end."""
+    ahead = with_next(entries, [archive], offset, F.floor(F.col(offset) / bucket_bytes), "_next")
+    return ahead.join(ends, archive, "left").withColumn(
+        "span_bytes", F.coalesce("_next", end) - F.col(offset)).drop("_next", end)
 
 
 def coalesce_intervals(ranges: DataFrame, keys: list[str], start: str, end: str, bucket: Column, gap: int = 1) -> DataFrame:

@@ -51,6 +51,16 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], amount: Colu
     return running_totals(df, keys, order, {out: amount}, bucket, {out: total} if total else None, descending)
 
 
+def with_next(df: DataFrame, keys: list[str], order: str, bucket: Column, out: str = "next") -> DataFrame:
+    """The following value of ``order`` per key (NULL for the last), looking across buckets only at their first values."""
+    staged = df.withColumn("_bucket", bucket)
+    firsts = staged.groupBy(*keys, "_bucket").agg(F.min(order).alias("_first"))
+    ahead = firsts.withColumn("_ahead", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_first")
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    return staged.join(ahead, [*keys, "_bucket"]).withColumn(
+        out, F.coalesce(F.lead(order).over(inner), F.col("_ahead"))).drop("_bucket", "_ahead")
+
+
 def global_rank(df: DataFrame, hash_col: str, strata: list[str] | None = None, out: str = "rank",
                 total: str | None = None, tie: list[str] | None = None, digits: int = 3) -> DataFrame:
     """Zero-based rank by an evenly spread hash, exact over the whole table or per stratum."""
