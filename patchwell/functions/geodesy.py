@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import VALID_MAX
@@ -50,30 +50,37 @@ def utm_zone(crs: Column) -> tuple[Column, Column]:
     return zone, F.when(zone.isNotNull(), F.regexp_extract(crs, pattern, 1) == "326")
 
 
-def utm_to_lonlat(easting: Column, northing: Column, zone: Column, northern: Column) -> tuple[Column, Column]:
-    """Inverse transverse Mercator on WGS84 (series to the sixth power of D)."""
+def with_lonlat(df: DataFrame, x: str, y: str, crs: str) -> DataFrame:
+    """Adds ``lon, lat``: inverse transverse Mercator on WGS84 (series to the sixth power of D).
+
+    The series is staged over helper columns, so that each trigonometric term is computed once.
+    """
     e2, ep2 = WGS84_E2, WGS84_E2 / (1 - WGS84_E2)
     rectifying = WGS84_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    mu = (northing - F.when(northern, 0.0).otherwise(10000000.0)) / UTM_K0 / rectifying
+    zone, northern = utm_zone(F.col(crs))
+    staged = df.withColumns({"_zone": zone, "_mu": (F.col(y) - F.when(northern, 0.0).when(~northern, 10000000.0)) / UTM_K0 / rectifying})
     series = {2: 3 * e1 / 2 - 27 * e1**3 / 32, 4: 21 * e1**2 / 16 - 55 * e1**4 / 32,
               6: 151 * e1**3 / 96, 8: 1097 * e1**4 / 512}
-    phi = mu
+    phi = F.col("_mu")
     for k, c in series.items():
-        phi = phi + c * F.sin(k * mu)
-    w = 1 - e2 * F.sin(phi) * F.sin(phi)
-    n = WGS84_A / F.sqrt(w)
-    r = WGS84_A * (1 - e2) / F.pow(w, 1.5)
-    t = F.tan(phi) * F.tan(phi)
-    c = ep2 * F.cos(phi) * F.cos(phi)
-    d = (easting - 500000.0) / (n * UTM_K0)
-    lat = phi - (n * F.tan(phi) / r) * (
-        F.pow(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24
-        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
-    lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6
-           + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(phi)
-    meridian = (zone - 1) * 6 - 177
-    return meridian + F.degrees(lon), F.degrees(lat)
+        phi = phi + c * F.sin(k * F.col("_mu"))
+    staged = staged.withColumn("_phi", phi)
+    staged = staged.withColumns({"_sin": F.sin("_phi"), "_cos": F.cos("_phi"), "_tan": F.tan("_phi")})
+    staged = staged.withColumns({"_w": 1 - e2 * F.col("_sin") * F.col("_sin"), "_t": F.col("_tan") * F.col("_tan"),
+                                 "_c": ep2 * F.col("_cos") * F.col("_cos")})
+    staged = staged.withColumn("_n", WGS84_A / F.sqrt("_w"))
+    staged = staged.withColumn("_d", (F.col(x) - 500000.0) / (F.col("_n") * UTM_K0))
+    staged = staged.withColumn("_d2", F.col("_d") * F.col("_d"))
+    t, c, d, d2 = (F.col(n) for n in ("_t", "_c", "_d", "_d2"))
+    radius = WGS84_A * (1 - e2) / F.pow("_w", F.lit(1.5))
+    lat = F.col("_phi") - (F.col("_n") * F.col("_tan") / radius) * d2 * (
+        0.5 - d2 * ((5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) / 24
+                    - d2 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) / 720))
+    lon = d * (1 - d2 * ((1 + 2 * t + c) / 6 - d2 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) / 120)) / F.col("_cos")
+    meridian = (F.col("_zone") - 1) * 6 - 177
+    helpers = ("_zone", "_mu", "_phi", "_sin", "_cos", "_tan", "_w", "_t", "_c", "_n", "_d", "_d2")
+    return staged.withColumns({"lon": meridian + F.degrees(lon), "lat": F.degrees(lat)}).drop(*helpers)
 
 
 def _albers_constants() -> tuple[float, float, float, float]:
@@ -95,19 +102,24 @@ def _albers_constants() -> tuple[float, float, float, float]:
     return e, n, c, rho0
 
 
-def lonlat_to_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Forward Albers equal-area conic on GRS80 with the fixed continental parameters."""
+def with_albers(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Adds ``x, y``: forward Albers equal-area conic on GRS80 with the fixed continental parameters.
+
+    The pair is emitted through a one-element explode: filters on it are not copied into the chain.
+    """
     e, n, c, rho0 = _albers_constants()
-    s = F.sin(F.radians(lat))
+    staged = df.withColumn("_s", F.sin(F.radians(lat)))
+    s = F.col("_s")
     q = (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    rho = GRS80_A * F.sqrt(c - n * q) / n
-    theta = n * F.radians(lon - ALBERS_LON0)
-    return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+    staged = staged.withColumns({"_rho": GRS80_A * F.sqrt(c - n * q) / n, "_theta": n * F.radians(F.col(lon) - ALBERS_LON0)})
+    pair = F.struct((F.col("_rho") * F.sin("_theta")).alias("x"), (rho0 - F.col("_rho") * F.cos("_theta")).alias("y"))
+    out = staged.withColumn("_xy", F.explode(F.array(pair)))
+    return out.withColumns({"x": F.col("_xy.x"), "y": F.col("_xy.y")}).drop("_s", "_rho", "_theta", "_xy")
 
 
-def utm_to_albers(x: Column, y: Column, crs: Column) -> tuple[Column, Column]:
-    """Whole chain; NULL when the CRS is not a WGS84 UTM code."""
-    return lonlat_to_albers(*utm_to_lonlat(x, y, *utm_zone(crs)))
+def utm_to_albers(df: DataFrame, x: str, y: str, crs: str) -> DataFrame:
+    """Whole chain; NULL coordinates when the CRS is not a WGS84 UTM code."""
+    return with_albers(with_lonlat(df, x, y, crs), "lon", "lat").drop("lon", "lat")
 
 
 def bilinear_dn(corners: tuple[Column, Column, Column, Column], row_weight: Column, col_weight: Column) -> Column:
