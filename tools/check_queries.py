@@ -91,8 +91,9 @@ def main() -> int:
             print(f"COLS {name}: {got_names} vs {want_names}", flush=True)
         elif got != want:
             bad += 1
-            only_a = [r for r in got if r not in set(want)][:3]
-            only_b = [r for r in want if r not in set(got)][:3]
+            in_got, in_want = set(got), set(want)
+            only_a = [r for r in got if r not in in_want][:3]
+            only_b = [r for r in want if r not in in_got][:3]
             print(f"DIFF {name}: {len(got)} vs {len(want)} rows {got_names}\n  spark {only_a}\n  sql   {only_b}", flush=True)
         else:
             print(f"ok   {name}: {len(got)} rows {took:.2f}s (sql {sqlt:.2f}s)", flush=True)
