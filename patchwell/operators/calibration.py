@@ -29,13 +29,13 @@ def reliability_bins(rows: DataFrame, keys: list[str], sets: list[list[str]], co
     """Equal-width bins with counts, mean confidence and frequency; empty bins stay with NULL means."""
     index = F.least(F.floor(confidence * bins), F.lit(bins - 1)).cast("int")
     fine = rows.groupBy(*keys, index.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(confidence).alias("c"), F.sum(correct.cast("double")).alias("k"))
+        F.count(F.lit(1)).alias("_n"), F.sum(confidence).alias("_c"), F.sum(correct.cast("double")).alias("_k"))
     slots = [F.struct(F.lit(b).alias("bin"), *[
-        F.sum(F.when(F.col("bin") == b, F.col(c))).alias(c) for c in ("n", "c", "k")]) for b in range(bins)]
-    wide = _sets(fine, sets, keys).groupBy(*keys).agg(F.array(*slots).alias("slots"))
-    one = wide.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*").withColumn("count", F.coalesce("n", F.lit(0)))
+        F.sum(F.when(F.col("bin") == b, F.col(c))).alias(c) for c in ("_n", "_c", "_k")]) for b in range(bins)]
+    wide = _sets(fine, sets, keys).groupBy(*keys).agg(F.array(*slots).alias("_slots"))
+    one = wide.select(*keys, F.explode("_slots").alias("_s")).select(*keys, "_s.*").withColumn("count", F.coalesce("_n", F.lit(0)))
     return one.select(*keys, "bin", (F.col("bin") / bins).alias("lower"), ((F.col("bin") + 1) / bins).alias("upper"), "count",
-                      F.try_divide("c", "count").alias("confidence"), F.try_divide("k", "count").alias("frequency"))
+                      F.try_divide("_c", "count").alias("confidence"), F.try_divide("_k", "count").alias("frequency"))
 
 
 def expected_error(bins: DataFrame, keys: list[str], out: str = "ece") -> DataFrame:

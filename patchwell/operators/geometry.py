@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import Checked, all_violations, violation
+from ..session import cut_lineage
 
 ON_EDGE = 1e-9  # fixed value: tolerance of the boundary test
 DENOMINATORS = (8, 16, 32, 64)  # fixed value: lattices of the representative-point search
@@ -134,37 +135,55 @@ def patch_window(x: Column, y: Column, grid: dict, size: int) -> dict[str, Colum
             "fits": (row >= 0) & (col >= 0) & (row + size <= grid["height"]) & (col + size <= grid["width"])}
 
 
-def search_points(primary: DataFrame, denominators=DENOMINATORS) -> DataFrame:
-    """Centroid and lattice candidates of each geometry in their search order."""
+def centroids(primary: DataFrame) -> DataFrame:
+    return primary.select("geom", F.lit(-1).alias("ord"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+
+def lattice_points(primary: DataFrame, denominators=DENOMINATORS) -> DataFrame:
+    """Lattice candidates over the bounds of each primary ring, numbered in search order."""
     lattice = F.flatten(F.transform(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i")) for i, d in enumerate(denominators)]), lambda s: F.flatten(
         F.transform(F.sequence(F.lit(1), s["d"] - 1), lambda r: F.transform(F.sequence(F.lit(1), s["d"] - 1), lambda c: F.struct(
             (s["i"] * 10000 + r * 100 + c).alias("ord"), (c / s["d"]).alias("fx"), (r / s["d"]).alias("fy")))))))
-    grid = primary.withColumn("l", F.explode(lattice)).select(
+    return primary.withColumn("l", F.explode(lattice)).select(
         "geom", F.col("l.ord").alias("ord"), (F.col("xmin") + (F.col("xmax") - F.col("xmin")) * F.col("l.fx")).alias("x"),
         (F.col("ymin") + (F.col("ymax") - F.col("ymin")) * F.col("l.fy")).alias("y"))
-    return primary.select("geom", F.lit(-1).alias("ord"), F.col("cx").alias("x"), F.col("cy").alias("y")).unionByName(grid)
+
+
+def _first_hits(edges: DataFrame, denominators, accept) -> tuple[DataFrame, DataFrame]:
+    """Accepted centroids, and accepted lattice points only where the centroid was refused."""
+    primary = cut_lineage(primary_rings(edges))
+    direct = cut_lineage(accept(centroids(primary)))
+    left = primary.join(direct.select("geom"), "geom", "left_anti")
+    return direct.unionByName(accept(lattice_points(left, denominators))), primary
 
 
 def representative_points(edges: DataFrame, band: float, denominators=DENOMINATORS) -> Checked:
     """First candidate inside the geometry; geometries without one are violations."""
-    primary = primary_rings(edges)
-    candidates = search_points(primary, denominators)
-    hits = candidates.join(inside(candidates, edges, ["ord"], band), ["geom", "ord"])
+    edges = cut_lineage(edges)
+
+    def accept(candidates: DataFrame) -> DataFrame:
+        return candidates.join(inside(candidates, edges, ["ord"], band), ["geom", "ord"])
+
+    hits, primary = _first_hits(edges, denominators, accept)
     first = hits.groupBy("geom").agg(F.min(F.struct("ord", "x", "y")).alias("m")).select("geom", "m.ord", "m.x", "m.y")
     return Checked(first, violation(primary.join(first, "geom", "left_anti"), "no_interior_point", F.lit(True), "geom"))
 
 
 def contained_patches(edges: DataFrame, grid: dict, size: int, band: float, denominators=DENOMINATORS) -> Checked:
     """First candidate inside the geometry whose whole patch (all four corners) is inside as well."""
-    primary = primary_rings(edges)
-    candidates = search_points(primary, denominators)
+    edges = cut_lineage(edges)
     w = patch_window(F.col("x"), F.col("y"), grid, size)
-    placed = candidates.join(inside(candidates, edges, ["ord"], band), ["geom", "ord"]).withColumns(w).where("fits")
-    corners = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate((
-        (F.col("left"), F.col("bottom")), (F.col("left"), F.col("top")), (F.col("right"), F.col("top")), (F.col("right"), F.col("bottom"))))])
-    probes = placed.select("geom", "ord", F.explode(corners).alias("c")).select("geom", "ord", F.col("c.i").alias("corner"), "c.x", "c.y")
-    full = inside(probes, edges, ["ord", "corner"], band).groupBy("geom", "ord").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 4)
-    best = placed.join(full, ["geom", "ord"]).groupBy("geom").agg(F.min(F.struct("ord", "row_offset", "col_offset", "left", "bottom", "right", "top")).alias("m"))
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate((
+        ("left", "bottom"), ("left", "top"), ("right", "top"), ("right", "bottom")))])
+
+    def accept(candidates: DataFrame) -> DataFrame:
+        placed = candidates.join(inside(candidates, edges, ["ord"], band), ["geom", "ord"]).withColumns(w).where("fits")
+        probes = placed.select("geom", "ord", F.explode(corners).alias("c")).select("geom", "ord", F.col("c.i").alias("corner"), "c.x", "c.y")
+        full = inside(probes, edges, ["ord", "corner"], band).groupBy("geom", "ord").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 4)
+        return placed.join(full, ["geom", "ord"])
+
+    hits, primary = _first_hits(edges, denominators, accept)
+    best = hits.groupBy("geom").agg(F.min(F.struct("ord", "row_offset", "col_offset", "left", "bottom", "right", "top")).alias("m"))
     out = best.select("geom", "m.*")
     return Checked(out, violation(primary.join(out, "geom", "left_anti"), "no_contained_patch", F.lit(True), "geom"))
 

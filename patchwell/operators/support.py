@@ -31,7 +31,11 @@ def position_cells(census: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_support(census: DataFrame, group: str = "spatial_group_id") -> DataFrame:
-    """Support of each component: patches, class pixels, High dates, span, positions, tiles and subtiles."""
+    """Support of each component: patches, class pixels, High dates, span, positions, tiles and subtiles.
+
+    The sets are bounded by the calendar and by the cells of a tile; positions are counted, so
+    the plan carries a single distinct aggregate.
+    """
     high = F.col("high_pixels") > 0
     day = F.when(high, F.col("day"))
     support = position_cells(census, [group]).groupBy(group).agg(
@@ -39,7 +43,7 @@ def group_support(census: DataFrame, group: str = "spatial_group_id") -> DataFra
         F.sort_array(F.collect_set("subtile_id")).alias("subtiles"),
         F.sum("_patches").alias("patches"), *_class_sums(),
         F.sum("_high_patches").alias("high_patches"),
-        F.count_distinct(F.when(high, F.col("subtile_id"))).alias("high_subtiles"),
+        F.size(F.collect_set(F.when(high, F.col("subtile_id")))).alias("high_subtiles"),
         F.sort_array(F.collect_set(day)).alias("high_dates"),
         F.count_distinct(F.when(high, F.struct("subtile_id", "patch_row", "patch_col"))).alias("high_patch_positions"))
     valid = sum((F.col(c) for c in CLASS_COLUMNS[1:]), F.col(CLASS_COLUMNS[0]))

@@ -18,6 +18,7 @@ ENTRY_SCHEMA = ("archive string, member string, kind string, sample_id string, t
 # Array shapes, dtypes and the size limit of stored patches.
 SHAPES = {"sen2": ((12, 64, 64), "uint16"), "cyan": ((1, 64, 64), "uint8")}
 MAX_BYTES = 2_000_000
+OUTPUT_ROWS = 128  # decoded files per output batch: bounds the memory of a task
 
 
 def archive_index(spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA) -> DataFrame:
@@ -32,9 +33,12 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*.npy") -> Data
             .load(path).select("path", "length", "content"))
 
 
+OVERSIZED = b"oversized"
+
+
 def _decode(content: bytes, shape: tuple[int, ...], dtype: str) -> tuple[list[int] | None, str | None]:
     """Flat values of one array file, or the reason it is refused."""
-    if len(content) > MAX_BYTES:
+    if content == OVERSIZED:
         return None, "too_large"
     try:
         array = np.load(io.BytesIO(content), allow_pickle=False)
@@ -50,14 +54,18 @@ def _decode(content: bytes, shape: tuple[int, ...], dtype: str) -> tuple[list[in
 def decode_arrays(files: DataFrame, shape: tuple[int, ...], dtype: str) -> Checked:
     """Flat arrays of array files (``path, content``); refused files are violations.
 
-    Decoding runs batch by batch inside the tasks; each file stands alone.
+    Decoding runs batch by batch inside the tasks; each file stands alone. Oversized files are
+    refused by length before their content is sent to Python.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [_decode(bytes(c), shape, dtype) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "values": [v for v, _ in done], "reject": [r for _, r in done]})
+            for at in range(0, len(batch), OUTPUT_ROWS):
+                part = batch.iloc[at:at + OUTPUT_ROWS]
+                done = [_decode(bytes(c), shape, dtype) for c in part["content"]]
+                yield pd.DataFrame({"path": part["path"].to_numpy(), "values": [v for v, _ in done], "reject": [r for _, r in done]})
 
-    out = files.select("path", "content").mapInPandas(run, "path string, values array<int>, reject string")
+    small = files.withColumn("content", F.when(F.octet_length("content") <= MAX_BYTES, F.col("content")).otherwise(F.lit(OVERSIZED)))
+    out = small.select("path", "content").mapInPandas(run, "path string, values array<int>, reject string")
     bad = out.where(F.col("reject").isNotNull()).select(F.col("reject").alias("rule"), F.col("path").alias("key"), F.lit("").alias("detail"))
     return Checked(out.where(F.col("reject").isNull()).drop("reject"), bad)
 
