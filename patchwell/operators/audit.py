@@ -190,7 +190,7 @@ def identity_audit(pilot: DataFrame, pool: DataFrame, origin: str = "existing_pi
 def array_provenance(arrays: DataFrame, sources: DataFrame, verified: DataFrame, recovered: DataFrame) -> DataFrame:
     """Rebuild status of every array from its file check, its archive and the recovery log."""
     r = recovered.select("sample_id").distinct().withColumn("_recovered", F.lit(True))
-    joined = arrays.join(F.broadcast(sources), "archive", "left").join(verified, ["sample_id", "kind"], "left").join(r, "sample_id", "left")
+    joined = arrays.join(sources, "archive", "left").join(verified, ["sample_id", "kind"], "left").join(r, "sample_id", "left")
     ok = F.col("status") == "VERIFIED"
     rebuild = (F.when(ok & (F.col("kind") == "cyan") & F.col("_recovered"), "RECOVERED_AND_VERIFIED").when(ok, "LOCAL_FILE_VERIFIED")
                .when(F.col("kind") == "sen2", "NOT_RECOVERED_REQUIRES_DIRECTORY_ENTRY").otherwise("NOT_RECOVERED"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..checks import Checked, violation
 from ..functions.probability import clip, cross_entropy, focal, is_normalized
-from .ranking import exact_quantiles, running_totals
+from .ranking import exact_quantiles, running_totals, share_bucket
 
 QUANTILES = {"q0": 0.0, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q100": 1.0}
 
@@ -93,7 +93,7 @@ def ranking_curves(rows: DataFrame, keys: list[str], digits: int | None = None)
     folded = long.groupBy(*keys, "class", score.alias("score")).agg(
         F.count_if(F.col("y") == F.col("class")).alias("pos"), F.count_if(F.col("y") != F.col("class")).alias("neg"))
     ranked = running_totals(folded, [*keys, "class"], ["score"], {"tp": F.col("pos"), "fp": F.col("neg")},
-                            F.floor(F.col("score") * 4096), {"tp": "P", "fp": "N"}, descending=True)
+                            share_bucket(F.col("score")), {"tp": "P", "fp": "N"}, descending=True)
     pos, tp = F.col("pos").cast("double"), F.col("tp").cast("double")
     return ranked.groupBy(*keys, "class").agg(
         F.max("P").alias("support"), F.sum(F.col("neg") * (tp - pos / 2)).alias("_area"), F.max("N").alias("_n"),

@@ -7,8 +7,6 @@ inside the bucket. No key, however hot, is sorted in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +16,18 @@ def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
     return F.substring(hex_hash, 1, digits)
 
 
-def value_bucket(value: Column, per_octave: int = 64) -> Column:
-    """Coarse bucket of a number, never decreasing in the value, without knowing its range."""
-    return F.floor(F.signum(value) * F.log2(1 + F.abs(value) * 1048576.0) * per_octave).cast("int")
+def value_bucket(value: Column, per_octave: int = 64, bits: int = 20) -> Column:
+    """Coarse bucket of a number, never decreasing in the value, without knowing its range.
+
+    Buckets are even in magnitude above ``2**-bits``, so values that crowd around zero spread too.
+    """
+    return F.floor(F.signum(value) * F.log2(1 + F.abs(value) * float(2**bits)) * per_octave).cast("int")
+
+
+def share_bucket(share: Column, per_octave: int = 64) -> Column:
+    """Coarse bucket of a probability, fine near 0 and near 1 where saturated scores crowd."""
+    middle = value_bucket(F.lit(0.5), per_octave, 40)
+    return F.when(share <= 0.5, value_bucket(share, per_octave, 40)).otherwise(2 * middle - value_bucket(1 - share, per_octave, 40))
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column], bucket: Column,
@@ -105,10 +112,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int = 1) -> DataFrame:
     """The first rows of each group; Spark trims every partition to ``limit`` rows per group before
-    the shuffle (WindowGroupLimit, up to 1,000 rows), so a hot group never travels whole."""
+    the shuffle (WindowGroupLimit, up to 1,000 rows), so a hot group never travels whole.
+    Larger limits belong to ``running_totals``."""
+    if limit > 1000:
+        raise ValueError("Rank long prefixes with running_totals")
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= limit).drop("_rn")
-
-
-def join_all(frames: list[DataFrame], on: list[str], how: str = "inner") -> DataFrame:
-    return reduce(lambda a, b: a.join(b, on, how), frames)

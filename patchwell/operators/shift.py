@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranking import exact_quantiles, running_totals, value_bucket, with_next
 
 MIN_SD = 1e-8  # fixed value: floor of a standard deviation used as divisor
@@ -16,12 +17,6 @@ def long_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFr
     return clean.unpivot(keys, features, "feature", "value")
 
 
-def _moments() -> dict[str, Column]:
-    n, v = F.col("_n"), F.col("value")
-    mean = F.sum(n * v) / F.sum(n)
-    return {"mean": mean, "_sq": F.sum(n * v * v) / F.sum(n)}
-
-
 def feature_summaries(long: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     """Counts, mean, population standard deviation and exact quantiles per key and feature."""
     k = [*keys, "feature"]
@@ -43,7 +38,7 @@ def standardized_differences(long: DataFrame, pool: str, base: str, keys: list[s
 def wasserstein(long: DataFrame, pool: str, base: str, per_octave: int = 64) -> DataFrame:
     """1-D Wasserstein distance of every pool from the base pool, in base standard deviations.
 
-    Values are folded to counts first. The base counts are repeated per pool (a handful), then
+    Values are folded to counts first and that histogram is written once. The base counts are repeated per pool (a handful), then
     both cumulative shares come from one pair of running totals.
     """
     known = long.where(F.col("value").isNotNull())
@@ -53,7 +48,7 @@ def wasserstein(long: DataFrame, pool: str, base: str, per_octave: int = 64) ->
     reference = hist.where(F.col(pool) == base).join(F.broadcast(pools), "feature").select(
         F.explode("_pools").alias(pool), "feature", "value", F.col("n").alias("b"), zero.alias("a"))
     other = hist.where(F.col(pool) != base).select(pool, "feature", "value", zero.alias("b"), F.col("n").alias("a"))
-    both = reference.unionByName(other).groupBy(pool, "feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    both = cut_lineage(reference.unionByName(other).groupBy(pool, "feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     k, bucket = [pool, "feature"], value_bucket(F.col("value"), per_octave)
     cumulative = running_totals(both, k, ["value"], {"ca": F.col("a"), "cb": F.col("b")}, bucket, {"ca": "ta", "cb": "tb"})
     stepped = with_next(cumulative, k, "value", bucket)

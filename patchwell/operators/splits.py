@@ -225,9 +225,10 @@ def followup_plan(candidates: DataFrame, observed: DataFrame, group: str, criter
     ranked = same.withColumns({
         "near_in_time": ~far, "distance": F.when(F.col("_same"), 0).when(F.col("has_neighbor"), 1).otherwise(2),
         "_hd": salted_hash(F.col("day").cast("string"), seed), "_hs": salted_hash(F.col("sample_id"), seed)})
-    order = [F.asc("near_in_time"), F.asc("distance"), F.asc("_hd"), F.asc("_hs")]
-    salted = first_per_group(ranked.withColumn("_salt", F.substring("_hs", 1, 1)), [group, "_salt"], order, limit)
-    return first_per_group(salted, [group], order, limit).drop("_first", "_last", "_same", "has_neighbor", "_hd", "_hs", "_salt")
+    keyed = ranked.withColumn("_key", F.struct("near_in_time", "distance", "_hd", "_hs"))
+    coarse = F.struct("near_in_time", "distance", F.substring("_hd", 1, 2).alias("h"))
+    placed = running_totals(keyed, [group], ["_key"], {"_place": F.lit(1)}, coarse)
+    return placed.where(F.col("_place") <= limit).drop("_first", "_last", "_same", "has_neighbor", "_hd", "_hs", "_key", "_place")
 
 
 def anchored_selection(pool: DataFrame, group: str, criteria: dict = CRITERIA, fill: int = 48, cap: int = 64,

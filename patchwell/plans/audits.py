@@ -9,7 +9,6 @@ from ..functions import names as N
 from ..operators import audit as A
 from ..operators import pools, profiles
 from ..operators import support as S
-from ..operators.profiles import r6  # noqa: F401
 from ..sources import features as FT
 from .labels import _PROFILE_CTE, profile_frame
 from .registry import Book
@@ -137,10 +136,10 @@ def phrase_hits(spark, sf):
     return hits.select("doc_id", "line", "term", "start_byte", "line_sha256")
 
 
-@BOOK.add("p27_scope_counts", _HITS + """select case when source like 'web%' then 'web snapshot' when source like 'c%' then 'historical' else 'current' end as scope, count(*) as hits, count(distinct doc_id||'|'||line) as "lines" from h group by 1""")
+@BOOK.add("p27_scope_counts", _HITS + """select case when source like 'src1%' then 'source snapshot' when source like 'src0%' then 'historical' else 'current' end as scope, count(*) as hits, count(distinct doc_id||'|'||line) as "lines" from h group by 1""")
 def scope_counts(spark, sf):
     hits = A.phrase_hits(table(spark, sf, "documents"), "text", ["doc_id", "source"], _PHRASES)
-    scoped = hits.withColumn("scope", A.scope_of(F.col("source"), [("web", "web snapshot"), ("c", "historical")], "current"))
+    scoped = hits.withColumn("scope", A.scope_of(F.col("source"), [("src1", "source snapshot"), ("src0", "historical")], "current"))
     per_line = scoped.groupBy("scope", "doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
     return per_line.groupBy("scope").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("lines"))
 

@@ -10,7 +10,6 @@ from ..functions import geodesy as GD
 from ..operators import geometry as G
 from ..operators import raster as R
 from ..operators.profiles import r6
-from ..operators.support import date_summary  # noqa: F401
 from ..sources import features as FT
 from .registry import Book
 from .views import patches, table, with_views

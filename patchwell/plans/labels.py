@@ -1,4 +1,4 @@
-"""Label rules and per-patch profiles: P3-P6, P15, A1-A4, A12, A15-A17, A19, J16, L-type tables."""
+"""Label rules and per-patch profiles: P3-P6, P15, A1-A4, A12, A15-A17, A19 and J16."""
 
 from __future__ import annotations
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..checks import missing_fields  # noqa: F401
-from ..functions import names as N
 from ..operators import components as C
 from ..operators import intervals as IV
 from ..operators import pools
