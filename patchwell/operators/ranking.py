@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
+def hash_bucket(hex_hash: Column, digits: int = 4) -> Column:
     """Leading hex digits: uniform and ordered like the hash itself."""
     return F.substring(hex_hash, 1, digits)
 
@@ -69,7 +69,7 @@ def with_next(df: DataFrame, keys: list[str], order: str, bucket: Column, out: s
 
 
 def global_rank(df: DataFrame, hash_col: str, strata: list[str] | None = None, out: str = "rank",
-                total: str | None = None, tie: list[str] | None = None, digits: int = 3) -> DataFrame:
+                total: str | None = None, tie: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Zero-based rank by an evenly spread hash, exact over the whole table or per stratum."""
     strata = strata or []
     ranked = running_total(df, strata, [hash_col, *(tie or [])], F.lit(1).cast("bigint"),

@@ -187,7 +187,7 @@ def overlaps(spark, sf):
     return G.box_overlaps(boxes, 40.0).rows
 
 
-@BOOK.add("p23_affine_polygon", with_views("v_patch") + """select seq, x+10*patch_col as xmin, x+10*(patch_col+64) as xmax, 9000-10*(patch_row+64) as ymin, 9000-10*patch_row as ymax,
+@BOOK.add("p23_affine_polygon", with_views("v_patch") + """select seq, (x+10*patch_col)::double as xmin, (x+10*(patch_col+64))::double as xmax, (9000-10*(patch_row+64))::double as ymin, (9000-10*patch_row)::double as ymax,
   x+10*(patch_col+0.5::double) as center_x, 9000-10*(patch_row+0.5::double) as center_y from v_patch""")
 def affine(spark, sf):
     t = {"a": F.lit(10.0), "b": F.lit(0.0), "c": F.col("x").cast("double"), "d": F.lit(0.0), "e": F.lit(-10.0), "f": F.lit(9000.0)}

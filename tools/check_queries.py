@@ -36,6 +36,16 @@ def plain(v):
     return str(v)
 
 
+def kind(dtype) -> str:
+    """Type class of a Spark or DuckDB column: whole number, number, text, flag or the type itself."""
+    t = str(dtype).lower()
+    for name, members in (("int", ("int", "integer", "bigint", "smallint", "tinyint", "ubigint")), ("float", ("double", "float")),
+                          ("text", ("string", "varchar"))):
+        if t in members:
+            return name
+    return t
+
+
 def canonical(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return [names[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
@@ -80,6 +90,7 @@ def main() -> int:
         try:
             t0 = time.time()
             cur = con.execute(sql[name])
+            want_types = {d[0]: kind(d[1]) for d in cur.description}
             want_names, want = canonical([d[0] for d in cur.description], cur.fetchall())
             sqlt = time.time() - t0
         except Exception as e:  # noqa: BLE001
@@ -89,6 +100,9 @@ def main() -> int:
         if got_names != want_names:
             bad += 1
             print(f"COLS {name}: {got_names} vs {want_names}", flush=True)
+        elif {c: kind(t) for c, t in df.dtypes} != want_types:
+            bad += 1
+            print(f"TYPE {name}: {df.dtypes} vs {want_types}", flush=True)
         elif got != want:
             bad += 1
             in_got, in_want = set(got), set(want)
