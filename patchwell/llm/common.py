@@ -31,3 +31,30 @@ def crc32(text: Column) -> Column:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
     """At most ``rows`` rows, the first in hash order of ``key``; the same for any partitioning."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(7)), key).limit(rows).collect()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is connected to.
+
+    Alternating large and small stars (each node links its larger neighbours, then its smaller ones, to the smallest
+    one around it). Every round is written to the shared folder; it ends when a round changes nothing, which two
+    sums over the edges tell.
+    """
+    def tidy(e: DataFrame) -> DataFrame:
+        return e.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+    edges = materialize(tidy(edges), "edges")
+    before, now = None, state(edges)
+    while now != before and now[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = tidy(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        edges = materialize(tidy(large.join(smallest, "a").select("b", "m").unionByName(smallest.select(F.col("a").alias("b"), "m"))
+                                 .select(F.col("b").alias("a"), F.col("m").alias("b"))), "edges")
+        before, now = now, state(edges)
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

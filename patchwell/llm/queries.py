@@ -8,27 +8,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
-from .common import crc32, table
+from . import bpe, language_id, packing, quality, sharding, simhash
+from .common import crc32, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> language_id.LanguageModel:
+    return language_id.train(table(spark, sf_dir, "documents").where(~held_out()))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return sharded.select("doc_id", "size", crc32(F.col("text")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_best_fit_packing, op6_histogram_shards, op10_bpe_codec)}
+    op1_language_id, op3_best_fit_packing, op4_quality, op6_histogram_shards, op9_simhash, op10_bpe_codec)}
 SQL: dict[str, str] = {}
