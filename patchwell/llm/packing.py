@@ -11,6 +11,7 @@ packed once per row; an empty table gives an empty result; columns other than th
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -19,58 +20,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import materialize
 
-NEWLINE, PREFIXED = "\n", " "
-
-
 class ByteBpeEncoder:
-    """Ids of whole texts by the tokenizers library, with a bounded memory of chunks met before.
+    """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
 
-    A byte-level BPE of this kind never merges across the start of a blank, so a text with single blanks and single
-    line breaks is encoded chunk by chunk; any other text, or one with a special token, goes to the library whole.
+    Where the file's merges are in the order of their ids, as in a file of ranks, Latin-1 texts without special tokens
+    go through the quicker tiktoken on the same vocabulary; all others through tokenizers itself.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remembered, self.known = remembered, {}
-        self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The text cut before blanks and line breaks, each chunk with its blank or break; None where that isn't exact."""
-        if not text or any(s in text for s in ("  ", " \n", "\n ", "\n\n", *self.special)):
-            return None
-        if text[0] in " \n" or text[-1] in " \n":
-            return None
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return None
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        self.path, self.library = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, alphabet = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_alphabet())}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        first = len(vocab) - len(pairs)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.quick = None
+        if spec["normalizer"] is None and all(vocab[a + b] == first + i for i, (a, b) in enumerate(pairs)):
+            ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
+            self.quick = tiktoken.Encoding("of the file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        if self.quick is None or any(s in text for s in self.special):
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.remembered:
-            self.known = {}
-        cut = [self.chunks(t) for t in texts]
-        known = self.known
-        new = {c for chunks in cut if chunks for c in chunks[1:] if c not in known}
-        if new:
-            # a mark after a letter or digit is a token of its own, so the word before it is encoded once
-            marked = {c: c[:-1] for c in new if c[-1] in self.marks and c[-2:-1].isalnum()}
-            plain = [c for c in (new - marked.keys()) | set(marked.values()) if c not in known]
-            known.update(zip(plain, self.whole([c if c[0] == NEWLINE else PREFIXED + c for c in plain]), strict=True))
-            known.update((c, known[base] + self.marks[c[-1]]) for c, base in marked.items())
-        heads = iter(self.whole([c[0] for c in cut if c]))
-        rest = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(rest) if c is None else next(heads) + b"".join([known[x] for x in c[1:]]) for c in cut]
+            return False
+        return True
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.plain(text):
+            return np.array(self.quick.encode_ordinary(text), "<u4").tobytes()
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cut_tokens(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text",
@@ -85,8 +80,8 @@ def cut_tokens(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at:at + batch]
                 rows = []
-                for key, ids in zip(part[id_col], encoder.encode([t or "" for t in part["text"]]), strict=True):
-                    ids += end
+                for key, ids in zip(part[id_col], part["text"], strict=True):
+                    ids = encoder.encode(ids or "") + end
                     first = (len(ids) - 1) % width + 1
                     cuts = [0, *range(first, len(ids), width), len(ids)]
                     for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
