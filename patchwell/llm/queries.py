@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, neighbours, packing, quality, sharding, simhash
+from . import bpe, fingerprints, language_id, neighbours, packing, quality, sharding, simhash
 from .common import crc32, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), query=F.col("vec_id") % 20 == 0, k=20)
 
@@ -57,5 +61,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op4_quality, op6_histogram_shards, op8_hilbert_neighbours, op9_simhash, op10_bpe_codec)}
+    op1_language_id, op3_best_fit_packing, op4_quality, op6_histogram_shards, op7_lookup_sketch, op8_hilbert_neighbours, op9_simhash, op10_bpe_codec)}
 SQL: dict[str, str] = {}
