@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, neighbours, packing, quality, sharding, simhash
-from .common import crc32, held_out, table
+from ..session import scratch_path
+from . import bpe, fingerprints, language_id, licenses, neighbours, packing, quality, sharding, simhash, token_counts
+from .common import crc32, held_out, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
@@ -28,6 +29,32 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents, the second one sent twice: inserts, deletes of copies, counts without addresses."""
+    rows = materialize(token_counts.counted(table(spark, sf_dir, "documents")), "counted")
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit(1, token_counts.inserts(rows))
+    rollup.commit(2, token_counts.deletes_of_copies(rows))
+    rollup.commit(2, token_counts.deletes_of_copies(rows))
+    rollup.commit(3, token_counts.revisions(rows))
+    return rollup.totals()
+
+
+OP2_SQL = r"""
+with counted as (
+  select doc_id, source, lang, coalesce(text, '') as t, row_number() over (partition by coalesce(text, '') order by doc_id nulls last, source nulls first, lang nulls first) as n,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as w,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*')) as a,
+         (strlen(coalesce(text, '')) + 3) // 4 as b
+  from documents),
+groups as (
+  select source, lang, 'words.1' as version, case when n = 1 then 1 else 0 end as docs, case when n = 1 then w - a else 0 end as tokens from counted
+  union all
+  select source, lang, 'bytes4.1', case when n = 1 then 1 else 0 end, case when n = 1 then b else 0 end from counted)
+select source, lang, version, cast(sum(docs) as bigint) as docs, cast(sum(tokens) as bigint) as tokens from groups group by all
+"""
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -37,6 +64,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return sharded.select("doc_id", "size", crc32(F.col("text")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
@@ -61,5 +92,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op4_quality, op6_histogram_shards, op7_lookup_sketch, op8_hilbert_neighbours, op9_simhash, op10_bpe_codec)}
-SQL: dict[str, str] = {}
+    op1_language_id, op2_token_rollup, op3_best_fit_packing, op4_quality, op5_license_scan, op6_histogram_shards, op7_lookup_sketch, op8_hilbert_neighbours, op9_simhash, op10_bpe_codec)}
+SQL: dict[str, str] = {"op2_token_rollup": OP2_SQL}

@@ -71,27 +71,29 @@ def variants(distinct: DataFrame) -> DataFrame:
             .select("band", F.col("kept").bitwiseXOR(F.col("change")).alias("variant"), "fp"))
 
 
-@F.pandas_udf("array<struct<a: long, b: long>>")
-def tree_of_links(members: pd.Series) -> pd.Series:
-    """For each array of fingerprints a spanning forest of its links: as connected as all links, never all pairs."""
-    def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-        fps, out = np.unique(fps), []
-        left = np.arange(1, len(fps))
-        front = [0]
-        while len(left) or front:
-            if not front:
-                front, left = [left[0]], left[1:]
-            at = front.pop()
-            near = np.bitwise_count((fps[left] ^ fps[at]).view(np.uint64)) <= RADIUS
-            for i in left[near]:
-                out.append((int(fps[at]), int(fps[i])))
-                front.append(i)
-            left = left[~near]
-            if not len(left):
-                break
-        return out
-
-    return members.map(lambda m: [{"a": a, "b": b} for a, b in forest(np.asarray(m, np.int64))])
+def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between these fingerprints: as connected as all links, never all pairs."""
+    fps, out = np.unique(fps), []
+    left, front = np.arange(1, len(fps)), [0]
+    while len(left):
+        if not front:
+            front, left = [left[0]], left[1:]
+        at = front.pop()
+        near = np.bitwise_count((fps[left] ^ fps[at]).view(np.uint64)) <= RADIUS
+        for i in left[near]:
+            out.append((int(fps[at]), int(fps[i])))
+            front.append(i)
+        left = left[~near]
+    return out
+
+
+def tree_of_links(members: str) -> Column:
+    """The forest of each array of fingerprints."""
+    @F.pandas_udf("array<struct<a: long, b: long>>")
+    def of(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda m: [{"a": a, "b": b} for a, b in forest(np.asarray(m, np.int64))])
+
+    return of(members)
 
 
 def hub_links(crowded: DataFrame) -> DataFrame:
