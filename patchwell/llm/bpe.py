@@ -39,6 +39,7 @@ class WordBpe:
     def __init__(self, path: str, remembered: int = 300_000) -> None:
         import regex
 
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -65,6 +66,20 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
 
+    def cut(self, text: str) -> list[str]:
+        """Words of a text without special tokens.
+
+        Characters newer than Python's tables have no known letter class or case here; such texts are cut by the library.
+        """
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            normal = self.library.normalizer.normalize_str(text)
+            return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return self.words.findall(self.normal(text))
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
@@ -136,7 +151,7 @@ class WordBpe:
         for text in texts:
             words = []
             for part, special in self.split(text):
-                words += [(part,)] if special else self.words.findall(self.normal(part))
+                words += [(part,)] if special else self.cut(part)
             cut.append(words)
         known = self.known
         new = list({w for words in cut for w in words if w not in known and isinstance(w, str)})
