@@ -112,15 +112,20 @@ def center_mask(edges: DataFrame, grid: dict, band: float | None = None) -> Chec
     return Checked(mask, violation(bounds, "outside_grid", off, "geom"))
 
 
-def zonal_counts(mask: DataFrame, cells: DataFrame, product: str = "product") -> DataFrame:
-    """Class counts of the masked cells per geometry and product."""
+def zonal_counts(mask: DataFrame, cells: DataFrame, pairs: DataFrame, product: str = "product") -> DataFrame:
+    """Class counts of the whole mask per geometry and product.
+
+    ``pairs`` lists the products of each geometry. A mask cell that a listed product has no value for is invalid,
+    so ``valid + invalid`` is always the size of the mask.
+    """
     dn = F.col("dn")
-    joined = mask.join(cells, ["row", "col"])
-    return joined.groupBy("geom", product).agg(
-        F.count_if(dn.between(0, 99)).alias("low"), F.count_if(dn.between(100, 199)).alias("moderate"),
-        F.count_if(dn.between(200, 253)).alias("high"), F.count_if(dn.between(0, 253)).alias("valid"),
-        F.count_if(~dn.between(0, 253)).alias("invalid"), F.count(F.lit(1)).alias("mask_pixels"),
-        F.count_if(dn.between(199, 253)).alias("high_199"), F.count_if(dn.between(201, 253)).alias("high_201"))
+    sizes = mask.groupBy("geom").agg(F.count(F.lit(1)).alias("mask_pixels"))
+    counts = {"low": dn.between(0, 99), "moderate": dn.between(100, 199), "high": dn.between(200, 253), "valid": dn.between(0, 253),
+              "high_199": dn.between(199, 253), "high_201": dn.between(201, 253)}
+    hits = mask.join(cells, ["row", "col"]).groupBy("geom", product).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    full = pairs.join(sizes, "geom").join(hits, ["geom", product], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})
+    return full.select("geom", product, "low", "moderate", "high", "valid", (F.col("mask_pixels") - F.col("valid")).alias("invalid"),
+                       "mask_pixels", "high_199", "high_201")
 
 
 def patch_window(x: Column, y: Column, grid: dict, size: int) -> dict[str, Column]:

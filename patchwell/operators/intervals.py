@@ -40,14 +40,19 @@ def islands(owned: DataFrame, keys: list[str], start: str, end: str) -> DataFram
 
 
 def charge_ledger(events: DataFrame, log: str, seq: str, charged: str, limit: Column, bucket: Column) -> Checked:
-    """Running charge per log; a request that would pass the limit is refused.
+    """Running charge per log up to the first request that would pass the limit (or is negative).
 
-    Everything charged stays charged, so a plain running sum decides; rows beyond the limit
-    are violations.
+    That request is refused and ends the log: it is not charged, and what follows is not attempted. ``used`` is what
+    had been charged after each row. The refusal is a violation.
     """
-    ledger = running_total(events, [log], [seq], F.col(charged), bucket, "used").withColumn("limit", limit)
-    ledger = ledger.withColumn("refused", F.col("used") > F.col("limit"))
-    problems = violation(ledger, "byte_budget", F.col("refused") | (F.col(charged) < 0), F.col(seq), F.col("used").cast("string"))
+    ledger = running_total(events, [log], [seq], F.col(charged), bucket, "_sum").withColumn("limit", limit)
+    bad = (F.col("_sum") > F.col("limit")) | (F.col(charged) < 0)
+    ends = ledger.where(bad).groupBy(log).agg(F.min(seq).alias("_end"), F.min_by(F.col("_sum") - F.col(charged), seq).alias("_kept"))
+    ledger = ledger.join(ends, log, "left")
+    before = F.col("_end").isNull() | (F.col(seq) < F.col("_end"))
+    ledger = ledger.withColumns({"used": F.when(before, F.col("_sum")).otherwise(F.col("_kept")), "status": F.when(before, "ACCEPTED").when(
+        F.col(seq) == F.col("_end"), "REFUSED").otherwise("NOT_ATTEMPTED")}).drop("_sum", "_end", "_kept")
+    problems = violation(ledger, "byte_budget", F.col("status") == "REFUSED", F.col(seq), F.col("used").cast("string"))
     return Checked(ledger, problems)
 
 

@@ -108,19 +108,22 @@ def _calendar_values(day: Column) -> Column:
     return F.explode(F.array(*pair))
 
 
-def calendar_grid(rows: DataFrame, years) -> DataFrame:
+def calendar_grid(rows: DataFrame) -> DataFrame:
     """Counts and shares per pool, unit and calendar value, zero where nothing was observed.
 
-    The grid of values is a short literal list attached to each pool, not a join.
+    Months and seasons are a short literal list; the years run from the first to the last of all pools.
     """
     per_day = rows.groupBy("pool", "day").agg(F.count(F.lit(1)).alias("patch"), F.lit(1).cast("bigint").alias("unique_date"))
     units = per_day.unpivot(["pool", "day"], ["patch", "unique_date"], "unit", "n")
     seen = units.select("pool", "unit", "n", _calendar_values(F.col("day")).alias("c")).groupBy(
         "pool", "unit", "c.dimension", "c.value").agg(F.sum("n").alias("n"))
     totals = units.groupBy("pool", "unit").agg(F.sum("n").alias("total"))
-    domain = [("month", str(m)) for m in range(1, 13)] + [("season", s) for s in SEASONS] + [("year", str(y)) for y in years]
-    grid = totals.withColumn("c", F.explode(F.array(*[
-        F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value")) for d, v in domain]))).select("pool", "unit", "total", "c.*")
+    span = per_day.agg(F.min(F.year("day")).alias("_from"), F.max(F.year("day")).alias("_to"))  # one row
+    fixed = [("month", str(m)) for m in range(1, 13)] + [("season", s) for s in SEASONS]
+    entry = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
+    years = F.transform(F.sequence("_from", "_to"), lambda y: entry("year", y.cast("string")))
+    grid = totals.join(F.broadcast(span)).withColumn("c", F.explode(F.concat(F.array(*[entry(d, F.lit(v)) for d, v in fixed]), years))).select(
+        "pool", "unit", "total", "c.*")
     out = grid.join(seen, ["pool", "unit", "dimension", "value"], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("pool", "unit", "dimension", "value", n.alias("n"), r6(n / F.col("total")).alias("proportion"), "total")
@@ -139,10 +142,10 @@ def temporal_shift(rows: DataFrame, base: str) -> DataFrame:
         "pool", r6(gap / 2).alias("total_variation"), "unique_dates", observed.alias("months_observed"))
 
 
-def independence(high: DataFrame, group: str, same: list[str], content: str) -> DataFrame:
-    """Per component: positions, repeats, patches with a neighbour and identical extra masks."""
-    repeats = position_repeats(high, [group], ["patch_row", "patch_col"], "day")
-    neighbors = with_grid_neighbors(high, high, [group, *same]).groupBy(group).agg(
+def independence(high: DataFrame, group: str, content: str, place: str = "subtile_id") -> DataFrame:
+    """Per component: positions, repeats, patches with a neighbour of the same date, and identical extra masks."""
+    repeats = position_repeats(high, [group], [place, "patch_row", "patch_col"], "day")
+    neighbors = with_grid_neighbors(high, high, [place, "day"]).groupBy(group).agg(
         F.count(F.lit(1)).alias("high_patches"), F.count_if("has_neighbor").alias("high_patches_with_neighbor"))
     copies = duplicate_groups(high, content, [group]).groupBy(group).agg(F.sum("extra_copies").alias("_extra"))
     return neighbors.join(repeats, group).join(copies, group, "left").select(

@@ -112,9 +112,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int = 1) -> DataFrame:
     """The first rows of each group; Spark trims every partition to ``limit`` rows per group before
-    the shuffle (WindowGroupLimit, up to 1,000 rows), so a hot group never travels whole.
-    Larger limits belong to ``running_totals``."""
-    if limit > 1000:
-        raise ValueError("Rank long prefixes with running_totals")
+    the shuffle (WindowGroupLimit, up to 1,000 rows), so a hot group never travels whole. Longer
+    prefixes are exact too, but a hot group is then sorted in one task: rank those with ``running_totals``."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= limit).drop("_rn")

@@ -75,9 +75,11 @@ def patch_outline_edges(patches: DataFrame, height: int, width: int) -> DataFram
     return polygon_edges(ring.select("geom", part.alias("parts")))
 
 
-def native_support(patches: DataFrame, cells: DataFrame, grid: dict, height: int, width: int, shifts=SHIFTS) -> DataFrame:
+def native_support(patches: DataFrame, cells: DataFrame, grid: dict, height: int, width: int, shifts=SHIFTS) -> Checked:
     """Cells under each patch outline and how their High count moves under small shifts.
 
+    A shift that leaves no cell under the outline counts as zero, and is a violation.
+
     The seven shifts are a fixed list attached to every edge; each shifted outline is its own geometry.
     """
     moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy")) for i, (dx, dy) in enumerate(shifts)])
@@ -89,11 +91,14 @@ def native_support(patches: DataFrame, cells: DataFrame, grid: dict, height: int
     flat = under.select(F.col("geom.patch_id").alias("patch_id"), F.col("geom.shift").alias("shift"), "row", "col")
     named = flat.join(patches.select("patch_id", "product"), "patch_id").join(cells, ["product", "row", "col"], "left")
     dn = F.col("dn")
-    per = named.groupBy("patch_id", "shift").agg(
+    found = named.groupBy("patch_id", "shift").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(dn.between(0, 253)).alias("valid"), F.count_if(dn.between(200, 253)).alias("high"))
+    every = patches.select("patch_id").distinct().withColumn("shift", F.explode(F.array(*[F.lit(i) for i in range(len(shifts))])))
+    per = every.join(found, ["patch_id", "shift"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "valid", "high")})
     at_rest = F.col("shift") == 0
-    return per.groupBy("patch_id").agg(
+    out = per.groupBy("patch_id").agg(
         F.max(F.when(at_rest, F.col("total"))).alias("native_total"), F.max(F.when(at_rest, F.col("valid"))).alias("native_valid"),
         F.max(F.when(at_rest, F.col("high"))).alias("native_high"), F.min("total").alias("total_min"), F.max("total").alias("total_max"),
         F.min("high").alias("high_min"), F.max("high").alias("high_max"),
         ((F.min("high") > 0) == (F.max("high") > 0)).alias("high_status_stable"))
+    return Checked(out, violation(per, "no_cell_under_shift", F.col("total") == 0, "patch_id", F.col("shift").cast("string")))

@@ -130,9 +130,12 @@ def overlap_audit(rows: DataFrame, identities=IDENTITIES, split: str = "split")
 
 def isolation_violations(rows: DataFrame, fields: list[str], split: str = "split", sealed: str = "CONFIRMATION",
                          accessed: str | None = None) -> DataFrame:
-    """Values of a protected field that occur in more than one split, and opened sealed labels."""
+    """Values of a protected field that occur in more than one split, and opened sealed labels.
+
+    Every shared value that isn't empty is a leak, an unknown marker too: what is unknown isn't isolated.
+    """
     long = rows.select(split, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([split], fields, "field", "value")
-    spans = long.where(known(F.col("value")).isNotNull()).groupBy("field", "value").agg(
+    spans = long.withColumn("value", F.trim("value")).where("value <> ''").groupBy("field", "value").agg(
         F.min(split).alias("a"), F.max(split).alias("b"))
     leaks = spans.where(F.col("a") != F.col("b")).select(
         F.lit("cross_partition").alias("rule"), F.concat_ws("=", "field", "value").alias("key"), F.lit("").alias("detail"))

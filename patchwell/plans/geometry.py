@@ -129,11 +129,15 @@ def dn_cells(spark, sf):
         (F.floor("value").cast("int") * 5 % 258).alias("dn")).groupBy("product", "row", "col").agg(F.max("dn").alias("dn"))
 
 
-@BOOK.add("a09_zonal_class_counts", _MASK + _CELLS + """ select geom, product, count(*) filter (dn<100) as low, count(*) filter (dn between 100 and 199) as moderate, count(*) filter (dn between 200 and 253) as high,
-  count(*) filter (dn<=253) as valid, count(*) filter (dn>253) as invalid, count(*) as mask_pixels, count(*) filter (dn between 199 and 253) as high_199, count(*) filter (dn between 201 and 253) as high_201
-  from ins join dnc using ("row", col) group by 1,2""")
+@BOOK.add("a09_zonal_class_counts", _MASK + _CELLS + """ , listed as (select distinct event_type as product from events)
+select geom, l.product, count(*) filter (dn<100) as low, count(*) filter (dn between 100 and 199) as moderate, count(*) filter (dn between 200 and 253) as high,
+  count(*) filter (dn<=253) as valid, count(*) filter (dn is null or dn>253) as invalid, count(*) as mask_pixels, count(*) filter (dn between 199 and 253) as high_199, count(*) filter (dn between 201 and 253) as high_201
+  from ins cross join listed l left join dnc on dnc.product=l.product and dnc."row"=ins."row" and dnc.col=ins.col group by 1,2""")
 def zonal(spark, sf):
-    return G.zonal_counts(G.center_mask(edges(spark, sf), GRID).rows, dn_cells(spark, sf))
+    mask, cells = G.center_mask(edges(spark, sf), GRID).rows, dn_cells(spark, sf)
+    products = cells.agg(F.collect_set("product").alias("all"))  # one row: the product list of every geometry
+    pairs = shapes(spark, sf).select("geom").join(F.broadcast(products)).select("geom", F.explode("all").alias("product"))
+    return G.zonal_counts(mask, cells, pairs)
 
 
 @BOOK.add("a10_distinct_native_cells", """select event_type as product, count(*) as observations, count(distinct ((event_id*7%110)*1000+(event_id*13+event_id//110)%120)) as distinct_cells from events group by 1""")
@@ -153,12 +157,12 @@ def window(spark, sf):
 
 
 _LATTICE = _EDGES + """, cand as (select geom, -1 as ord, cx as x, cy as y from prim union all select geom, i*10000+r*100+c, xmin+(xmax-xmin)*(c/d::double), ymin+(ymax-ymin)*(r/d::double) from prim,
-  (values (0,8),(1,16)) v(i,d), range(1,16) a(r), range(1,16) b(c) where r<d and c<d), """ + _inside_sql("cand", ["ord"])
+  (values (0,8),(1,16),(2,32),(3,64)) v(i,d), range(1,64) a(r), range(1,64) b(c) where r<d and c<d), """ + _inside_sql("cand", ["ord"])
 
 
 @BOOK.add("g06_representative_point", _LATTICE + " select geom, ord, round(x,6) as x, round(y,6) as y from (select c.*, row_number() over (partition by geom order by ord) as rn from cand c join ins using (geom, ord)) where rn=1")
 def representative(spark, sf):
-    out = G.representative_points(edges(spark, sf), 25.0, (8, 16)).rows
+    out = G.representative_points(edges(spark, sf), 25.0).rows
     return out.select("geom", "ord", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
@@ -171,7 +175,7 @@ _FINE = {"width": 1200, "height": 1100, "origin_x": 0.0, "origin_y": 1100.0, "pi
           + """, ok as (select geom, min(ord) as ord from (select geom, ord from ins group by 1,2 having count(*)=4) group by 1)
 select geom, ord, l as "left", t-16 as bottom from win join ok using (geom, ord)""")
 def contained(spark, sf):
-    return G.contained_patches(edges(spark, sf), _FINE, 16, 25.0, (8, 16)).rows.select("geom", "ord", "left", "bottom")
+    return G.contained_patches(edges(spark, sf), _FINE, 16, 25.0).rows.select("geom", "ord", "left", "bottom")
 
 
 @BOOK.add("j10_box_overlaps", """with b as (select o_orderkey as id, 'C'||(o_custkey%3) as crs, (o_custkey*37%4000)::double as xmin, (o_custkey*91%4000)::double as ymin, (o_custkey*37%4000+10+o_custkey%30)::double as xmax, (o_custkey*91%4000+10+o_custkey%20)::double as ymax from orders),
@@ -276,9 +280,9 @@ edge as (select geom, 0 as part, 0 as ring, x as x0, y as y0, coalesce(lead(x) o
 box as (select geom, min(x0) as xmin, max(x0) as xmax, min(y0) as ymin, max(y0) as ymax from edge group by 1),
 cells as (select geom, r as "row", c as col, 1330000+(c+0.5)*300.0::double as x, 1572100-(r+0.5)*300.0::double as y from box, range(0,60) a(r), range(0,60) b(c)
   where 1330000+(c+0.5)*300 between xmin and xmax and 1572100-(r+0.5)*300 between ymin and ymax), """ + _inside_sql("cells", ['"row"', "col"], boundary=False) + """,
-per as (select geom//10 as patch_id, geom%10 as s, count(*) as total, count(*) filter (dn<=253) as valid, count(*) filter (dn between 200 and 253) as high
-  from ins left join rc on rc.product=(geom//10)%4 and rc."row"=ins."row" and rc.col=ins.col group by 1,2)
+per as (select patch_id, s, count(ins."row") as total, count(*) filter (dn<=253) as valid, count(*) filter (dn between 200 and 253) as high
+  from (select distinct patch_id from rp) p cross join range(0,7) t(s) left join ins on ins.geom=patch_id*10+s left join rc on rc.product=patch_id%4 and rc."row"=ins."row" and rc.col=ins.col group by 1,2)
 select patch_id, max(total) filter (s=0) as native_total, max(valid) filter (s=0) as native_valid, max(high) filter (s=0) as native_high, min(total) as total_min, max(total) as total_max, min(high) as high_min, max(high) as high_max,
   (min(high)>0)=(max(high)>0) as high_status_stable from per group by 1""")
 def support_shifts(spark, sf):
-    return R.native_support(raster_patches(spark, sf), raster_cells(spark, sf), RASTER, 16, 16)
+    return R.native_support(raster_patches(spark, sf), raster_cells(spark, sf), RASTER, 16, 16).rows

@@ -53,12 +53,14 @@ def owner(spark, sf):
     return _owned(spark, sf).select("id", "archive", "island")
 
 
-@BOOK.add("s06_charge_ledger", """select event_id, event_type as log, sum(cast(floor(value) as bigint)) over (partition by event_type order by event_id rows unbounded preceding)::bigint as used,
-  sum(cast(floor(value) as bigint)) over (partition by event_type order by event_id rows unbounded preceding) > 60000 as refused from events""")
+@BOOK.add("s06_charge_ledger", """with r as (select event_id, event_type as log, cast(floor(value) as bigint) as n, sum(cast(floor(value) as bigint)) over (partition by event_type order by event_id rows unbounded preceding)::bigint as s from events),
+m as (select *, bool_or(s>60000 or n<0) over w as stopped, bool_or(s>60000 or n<0) over (partition by log order by event_id rows between unbounded preceding and 1 preceding) as earlier from r window w as (partition by log order by event_id rows unbounded preceding))
+select event_id, log, max(case when not stopped then s else 0 end) over (partition by log order by event_id rows unbounded preceding) as used,
+  case when coalesce(earlier,false) then 'NOT_ATTEMPTED' when stopped then 'REFUSED' else 'ACCEPTED' end as status from m""")
 def ledger(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.col("event_type").alias("log"), F.floor("value").cast("bigint").alias("bytes"))
     out = IV.charge_ledger(events, "log", "event_id", "bytes", F.lit(60000), F.floor(F.col("event_id") / 1000))
-    return out.rows.select("event_id", "log", "used", "refused")
+    return out.rows.select("event_id", "log", "used", "status")
 
 
 @BOOK.add("j11_near_temporal_duplicates", """with d as (select c_nationkey as waterbody, cast(o_orderdate as date) as day, count(*) as n from orders join customer on o_custkey=c_custkey group by 1,2)

@@ -194,11 +194,12 @@ def overlap_audit(spark, sf):
         F.col("day").cast("string").alias("date")))
 
 
-@BOOK.add("j09_partition_isolation", _SAMPLES + """, f as (select split, 'waterbody_id' as field, tile as value from m union all select split, 'scene_id', strftime(day,'%Y-%m-%d') from m union all select split, 'patch_identity', subtile_id from m)
-select 'cross_partition' as rule, field||'='||value as key, '' as detail from f group by field, value having count(distinct split)>1""")
+@BOOK.add("j09_partition_isolation", _SAMPLES + """, f as (select split, 'waterbody_id' as field, tile as value from m union all select split, 'scene_id', strftime(day,'%Y-%m-%d') from m union all select split, 'patch_identity', subtile_id from m union all select split, 'bloom_episode', case when month(day)<7 then 'UNKNOWN' else '' end from m)
+select 'cross_partition' as rule, field||'='||value as key, '' as detail from f where trim(value)<>'' group by field, value having count(distinct split)>1""")
 def isolation(spark, sf):
-    m = membership(spark, sf).select("split", F.col("tile").alias("waterbody_id"), F.col("day").cast("string").alias("scene_id"), F.col("subtile_id").alias("patch_identity"))
-    return SP.isolation_violations(m, ["waterbody_id", "scene_id", "patch_identity"])
+    m = membership(spark, sf).select("split", F.col("tile").alias("waterbody_id"), F.col("day").cast("string").alias("scene_id"), F.col("subtile_id").alias("patch_identity"),
+                                    F.when(F.month("day") < 7, "UNKNOWN").otherwise("").alias("bloom_episode"))
+    return SP.isolation_violations(m, ["waterbody_id", "scene_id", "patch_identity", "bloom_episode"])
 
 
 @BOOK.add("j19_unseen_candidates", _PATCH + "select sample_id from v_patch where seq not in (select l_orderkey from lineitem where l_returnflag='R')")

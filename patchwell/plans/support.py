@@ -143,12 +143,12 @@ u as (select split as pool, 'patch' as unit, day from v_gc union all select dist
 c as (select pool, unit, 'month' as dimension, month(day)::varchar as value, count(*) as n from u group by 1,2,4
  union all select pool, unit, 'season', case when month(day) in (12,1,2) then 'DJF' when month(day) in (3,4,5) then 'MAM' when month(day) in (6,7,8) then 'JJA' else 'SON' end, count(*) from u group by 1,2,4
  union all select pool, unit, 'year', year(day)::varchar, count(*) from u group by 1,2,4),
-dom as (select 'month' as dimension, m::varchar as value from range(1,13) t(m) union all select 'season', unnest(['DJF','MAM','JJA','SON']) union all select 'year', y::varchar from range(1992,2004) t(y)),
+dom as (select 'month' as dimension, m::varchar as value from range(1,13) t(m) union all select 'season', unnest(['DJF','MAM','JJA','SON']) union all select 'year', y::varchar from (select unnest(range(min(year(day)), max(year(day))+1)) as y from v_gc)),
 t as (select pool, unit, count(*) as total from u group by 1,2)
 select t.pool, t.unit, dom.dimension, dom.value, coalesce(c.n,0) as n, round(coalesce(c.n,0)/t.total,6) as proportion, t.total from t cross join dom left join c on c.pool=t.pool and c.unit=t.unit and c.dimension=dom.dimension and c.value=dom.value""")
 def calendar_grid(spark, sf):
     rows = grouped_census(spark, sf).select(F.col("split").alias("pool"), "day")
-    return pools.calendar_grid(rows, years=range(1992, 2004))
+    return pools.calendar_grid(rows)
 
 
 @BOOK.add("j01_pair_inventory", _MEMBERS + """, ok as (select m.*, p.sample_id from v_member m join v_patch p using (seq) where seq%50 not in (7,9,11,13) and not (kind='cyan' and seq%50=17))
@@ -215,34 +215,50 @@ def temporal_density(spark, sf):
                       "min_gap_days", "median_gap_days", r6(F.col("dates_per_30_days")).alias("dates_per_30_days"))
 
 
-@BOOK.add("w05_position_repeats", _GROUPED + """, d as (select distinct spatial_group_id, patch_row, patch_col, day from v_gc where high_pixels>0),
-g as (select *, date_diff('day', lag(day) over (partition by spatial_group_id, patch_row, patch_col order by day), day) as gap from d),
-p as (select spatial_group_id, patch_row, patch_col, count(*) as n, coalesce(bool_or(gap between 1 and 30),false) as close from g group by 1,2,3)
+@BOOK.add("w05_position_repeats", _GROUPED + """, d as (select distinct spatial_group_id, subtile_id, patch_row, patch_col, day from v_gc where high_pixels>0),
+g as (select *, date_diff('day', lag(day) over (partition by spatial_group_id, subtile_id, patch_row, patch_col order by day), day) as gap from d),
+p as (select spatial_group_id, subtile_id, patch_row, patch_col, count(*) as n, coalesce(bool_or(gap between 1 and 30),false) as close from g group by 1,2,3,4)
 select spatial_group_id, count(*) as positions, count(*) filter (n>1) as positions_repeated, count(*) filter (close) as positions_repeated_within from p group by 1""")
 def position_repeats(spark, sf):
     high = grouped_census(spark, sf).where(F.col("high_pixels") > 0)
-    return IV.position_repeats(high, ["spatial_group_id"], ["patch_row", "patch_col"], "day")
+    return IV.position_repeats(high, ["spatial_group_id"], ["subtile_id", "patch_row", "patch_col"], "day")
 
 
-_INDEP = _GROUPED + """, h as (select *, sha256(low_pixels||'|'||moderate_pixels||'|'||high_pixels) as sha, year(day) as yr from v_gc where high_pixels>0),
-nb as (select distinct spatial_group_id, yr, patch_row+dr as patch_row, patch_col+dc as patch_col from h, (values (-64),(0),(64)) a(dr), (values (-64),(0),(64)) b(dc) where not (dr=0 and dc=0)),
-d as (select distinct spatial_group_id, patch_row, patch_col, day from h),
-g as (select *, date_diff('day', lag(day) over (partition by spatial_group_id, patch_row, patch_col order by day), day) as gap from d),
-p as (select spatial_group_id, patch_row, patch_col, count(*) as n, coalesce(bool_or(gap between 1 and 30),false) as close from g group by 1,2,3),
+# Scenes of the fixture lie two years apart, so that patches of one subtile share dates and some stand side by side.
+_INDEP = _GROUPED + """, h as (select * replace (make_date(cast(year(day)//2*2 as int),1,1) as day), sha256(low_pixels||'|'||moderate_pixels||'|'||high_pixels) as sha from v_gc where high_pixels>0),
+nb as (select distinct subtile_id, day, patch_row+dr as patch_row, patch_col+dc as patch_col from h, (values (-64),(0),(64)) a(dr), (values (-64),(0),(64)) b(dc) where not (dr=0 and dc=0)),
+d as (select distinct spatial_group_id, subtile_id, patch_row, patch_col, day from h),
+g as (select *, date_diff('day', lag(day) over (partition by spatial_group_id, subtile_id, patch_row, patch_col order by day), day) as gap from d),
+p as (select spatial_group_id, subtile_id, patch_row, patch_col, count(*) as n, coalesce(bool_or(gap between 1 and 30),false) as close from g group by 1,2,3,4),
 pp as (select spatial_group_id, count(*) as positions, count(*) filter (n>1) as positions_repeated, count(*) filter (close) as positions_repeated_within from p group by 1),
 dup as (select spatial_group_id, sum(n-1)::bigint as extra from (select spatial_group_id, sha, count(*) as n from h group by 1,2) group by 1),
-ne as (select h.spatial_group_id, count(*) as high_patches, count(nb.yr) as with_neighbor from h left join nb using (spatial_group_id, yr, patch_row, patch_col) group by 1)
+ne as (select h.spatial_group_id, count(*) as high_patches, count(nb.day) as with_neighbor from h left join nb on nb.subtile_id=h.subtile_id and nb.day=h.day and nb.patch_row=h.patch_row and nb.patch_col=h.patch_col group by 1)
 """
 
 
 @BOOK.add("q13_component_independence", _INDEP + "select spatial_group_id, high_patches, positions, positions_repeated, positions_repeated_within, with_neighbor as high_patches_with_neighbor, extra as identical_extra_patches from ne join pp using (spatial_group_id) join dup using (spatial_group_id)")
 def independence(spark, sf):
-    high = grouped_census(spark, sf).where(F.col("high_pixels") > 0).withColumns({
-        "content": F.sha2(F.concat_ws("|", *S.CLASS_COLUMNS), 256), "yr": F.year("day")})
-    return pools.independence(high, "spatial_group_id", ["yr"], "content")
+    return pools.independence(_biennial(spark, sf).withColumn("content", F.sha2(F.concat_ws("|", *S.CLASS_COLUMNS), 256)), "spatial_group_id", "content")
 
 
-@BOOK.add("j06_grid_neighbors", _INDEP + "select h.sample_id, nb.yr is not null as has_neighbor from h left join nb using (spatial_group_id, yr, patch_row, patch_col)")
+def _biennial(spark, sf):
+    """High patches with their dates moved to the start of each second year."""
+    day = F.make_date((F.floor(F.year("day") / 2) * 2).cast("int"), F.lit(1), F.lit(1))
+    return grouped_census(spark, sf).where(F.col("high_pixels") > 0).withColumn("day", day)
+
+
+@BOOK.add("j06_grid_neighbors", _INDEP + "select h.sample_id, nb.day is not null as has_neighbor from h left join nb on nb.subtile_id=h.subtile_id and nb.day=h.day and nb.patch_row=h.patch_row and nb.patch_col=h.patch_col")
 def grid_neighbors(spark, sf):
-    high = grouped_census(spark, sf).where(F.col("high_pixels") > 0).withColumn("yr", F.year("day"))
-    return C.with_grid_neighbors(high, high, ["spatial_group_id", "yr"]).select("sample_id", "has_neighbor")
+    high = _biennial(spark, sf)
+    return C.with_grid_neighbors(high, high, ["subtile_id", "day"]).select("sample_id", "has_neighbor")
+
+
+_RANDOM = _SPLIT_SQL.replace("spatial_group_id", "sample_id")
+
+
+@BOOK.add("j06_train_test_neighbors", _INDEP + f""", r as (select * replace ({_RANDOM} as split) from h) select t.sample_id, bool_or(n.sample_id is not null) as has_neighbor from (select * from r where split='test') t left join (select * from r where split='train') n
+  on n.subtile_id=t.subtile_id and n.day=t.day and abs(n.patch_row-t.patch_row) in (0,64) and abs(n.patch_col-t.patch_col) in (0,64) and (n.patch_row<>t.patch_row or n.patch_col<>t.patch_col) group by 1""")
+def train_test_neighbors(spark, sf):
+    """Test patches of a random split with a train patch beside them on the same subtile and date."""
+    rows = _biennial(spark, sf).withColumn("split", split_of(F.col("sample_id")))
+    return C.with_grid_neighbors(rows.where("split = 'test'"), rows.where("split = 'train'"), ["subtile_id", "day"]).select("sample_id", "has_neighbor")

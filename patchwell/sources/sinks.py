@@ -50,6 +50,9 @@ def export(df: DataFrame, path: str, fmt: str = "csv", allow_empty: bool = False
 
 
 def cache_predictions(df: DataFrame, path: str, by: tuple[str, ...] = ("experiment_id", "partition")) -> DataFrame:
-    """Store predictions by model and partition and read them back, pruned by either."""
-    df.repartition(*by, F.pmod(F.xxhash64("pixel"), F.lit(8))).write.partitionBy(*by).mode("overwrite").parquet(path)
+    """Store predictions by model and partition and read them back, pruned by either.
+
+    Spark balances the write: small partitions are merged into one task, large ones split over as many as their bytes need.
+    """
+    df.hint("rebalance", *by).write.option("maxRecordsPerFile", 10_000_000).partitionBy(*by).mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -76,7 +76,10 @@ def test_intervals(rows):
     ledger = intervals.charge_ledger(rows([("l", 1, 60), ("l", 2, 30), ("l", 3, 20)], "log string, seq long, b long"), "log", "seq", "b", F.lit(100), F.lit(0))
     with pytest.raises(RuleViolation):
         ledger.strict()
-    assert [r.refused for r in ledger.rows.orderBy("seq").collect()] == [False, False, True]
+    assert [(r.used, r.status) for r in ledger.rows.orderBy("seq").collect()] == [(60, "ACCEPTED"), (90, "ACCEPTED"), (90, "REFUSED")]
+    more = intervals.charge_ledger(rows([("l", 1, 60), ("l", 2, 50), ("l", 3, 5), ("m", 1, -1), ("m", 2, 1)], "log string, seq long, b long"), "log", "seq", "b", F.lit(100), F.lit(0))
+    assert sorted((r.log, r.used, r.status) for r in more.rows.collect()) == [
+        ("l", 60, "ACCEPTED"), ("l", 60, "NOT_ATTEMPTED"), ("l", 60, "REFUSED"), ("m", 0, "NOT_ATTEMPTED"), ("m", 0, "REFUSED")]
 
 
 def test_temporal_density(rows):
