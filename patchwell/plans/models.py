@@ -15,22 +15,27 @@ from ..operators.profiles import r6
 from ..operators.ranking import exact_quantiles
 from .registry import Book
 from .shift import INDEX_SQL
-from .views import bands, with_views
+from .views import bands, patch_vectors, with_views
 
 BOOK = Book()
 _BAND = with_views("v_band")
 
 
-@BOOK.add("p07_spectral_indices", _BAND + "select vec_id, " + ", ".join(f"round({q},6) as {n}" for n, q in INDEX_SQL.items()) + " from v_band")
+@BOOK.add("p07_spectral_indices", _BAND + "select pixel_id, " + ", ".join(f"round({q},6) as {n}" for n, q in INDEX_SQL.items()) + " from v_band")
 def indices(spark, sf):
-    return with_indices(bands(spark, sf)).select("vec_id", *[r6(F.col(n)).alias(n) for n in INDEX_NAMES])
+    return with_indices(bands(spark, sf)).select("pixel_id", *[r6(F.col(n)).alias(n) for n in INDEX_NAMES])
 
 
-@BOOK.add("p08_pixel_features", _BAND + "select vec_id, " + ", ".join(
+@BOOK.add("p08_pixel_features", _BAND + "select pixel_id, " + ", ".join(
     [f"round({b}/10000.0::double,6) as {b}" for b in BANDS] + [f"round(coalesce({q},0),6) as {n}" for n, q in INDEX_SQL.items()]
     + [f"(({q}) is null)::int::double as {n}_missing" for n, q in INDEX_SQL.items()]) + " from v_band")
 def features(spark, sf):
-    return pixel_features(bands(spark, sf)).select("vec_id", *[r6(F.col(n)).alias(n) for n in FEATURES])
+    return pixel_features(bands(spark, sf)).select("pixel_id", *[r6(F.col(n)).alias(n) for n in FEATURES])
+
+
+@BOOK.add("p07_incomplete_patches", "select 'incomplete_patch' as rule, vec_id//12 as patch, count(*) as vectors from embeddings group by 2 having count(*)<>12")
+def incomplete(spark, sf):
+    return patch_vectors(spark, sf).where(F.col("vectors") != len(BANDS)).select(F.lit("incomplete_patch").alias("rule"), "patch", "vectors")
 
 
 @BOOK.add("a05_training_normalization", _BAND + "select band, round(avg(x),6) as mean, round(greatest(sqrt(greatest(avg(x*x)-avg(x)**2,0)),1e-6),6) as std from (select band, v/10000.0::double as x from (unpivot (select "
@@ -43,22 +48,22 @@ def normalization(spark, sf):
 _NORM = ", ".join(f"avg({b}/10000.0::double) filter (split='train') as m_{b}, greatest(sqrt(avg(({b}/10000.0::double)**2) filter (split='train')-(avg({b}/10000.0::double) filter (split='train'))**2),1e-6) as s_{b}" for b in BANDS)
 
 
-@BOOK.add("p09_standardized_bands", _BAND.rstrip() + f", nm as (select {_NORM} from v_band) select vec_id, " + ", ".join(f"round(({b}/10000.0::double-m_{b})/s_{b},6) as {b}" for b in BANDS) + " from v_band, nm")
+@BOOK.add("p09_standardized_bands", _BAND.rstrip() + f", nm as (select {_NORM} from v_band) select pixel_id, " + ", ".join(f"round(({b}/10000.0::double-m_{b})/s_{b},6) as {b}" for b in BANDS) + " from v_band, nm")
 def standardized(spark, sf):
     b = bands(spark, sf)
     out = MO.standardize(b, MO.training_normalization(b.where(F.col("split") == "train")))
-    return out.select("vec_id", *[r6(F.col(n)).alias(n) for n in BANDS])
+    return out.select("pixel_id", *[r6(F.col(n)).alias(n) for n in BANDS])
 
 
-@BOOK.add("p10_band_subset", _BAND + "select vec_id, " + ", ".join(b if b in BAND_SETS["compact_hab"] else f"0 as {b}" for b in BANDS) + " from v_band")
+@BOOK.add("p10_band_subset", _BAND + "select pixel_id, " + ", ".join(b if b in BAND_SETS["compact_hab"] else f"0 as {b}" for b in BANDS) + " from v_band")
 def subset(spark, sf):
-    return keep_bands(bands(spark, sf), BAND_SETS["compact_hab"]).select("vec_id", *BANDS)
+    return keep_bands(bands(spark, sf), BAND_SETS["compact_hab"]).select("pixel_id", *BANDS)
 
 
-_FIT = _BAND.rstrip() + f""", fe as (select vec_id, y, split, {', '.join(f'{q} as {n}' for n, q in INDEX_SQL.items())} from v_band),
-lg as (select vec_id, y, split, f.feature, case f.feature {' '.join(f"when '{n}' then {n}" for n in INDEX_NAMES)} end as value from fe, unnest([{', '.join(repr(n) for n in INDEX_NAMES)}]) f(feature)),
+_FIT = _BAND.rstrip() + f""", fe as (select pixel_id, y, split, {', '.join(f'{q} as {n}' for n, q in INDEX_SQL.items())} from v_band),
+lg as (select pixel_id, y, split, f.feature, case f.feature {' '.join(f"when '{n}' then {n}" for n in INDEX_NAMES)} end as value from fe, unnest([{', '.join(repr(n) for n in INDEX_NAMES)}]) f(feature)),
 md as (select feature, quantile_cont(value,0.5) as med from lg where split='train' group by 1),
-fl as (select vec_id, y, split, feature, coalesce(value, med, 0) as v, coalesce(med,0) as imputation from lg join md using (feature)),
+fl as (select pixel_id, y, split, feature, coalesce(value, med, 0) as v, coalesce(med,0) as imputation from lg join md using (feature)),
 dq as (select feature, quantile_cont(v,[{', '.join(str(i / 10) for i in range(11))}]) as q from fl where split='train' group by 1),
 cd as (select feature, c, row_number() over (partition by feature order by c)-1 as i from (select distinct feature, unnest(q) as c from dq)),
 rules as (select a.feature, a.i, b.i as j, a.c as lo, b.c as hi, d from cd a join cd b on a.feature=b.feature and a.i<=b.i, (values (1),(-1)) t(d)),
@@ -74,11 +79,11 @@ def threshold_fit(spark, sf):
     return out.select("feature", "direction", *[r6(F.col(c)).alias(c) for c in ("lower", "upper", "training_macro_f1", "imputation")])
 
 
-@BOOK.add("p26_threshold_scoring", _FIT + """select vec_id, fl.feature, case when d=1 then (v>=lo)::int+(v>=hi)::int else 2-(v>=lo)::int-(v>=hi)::int end as pred from fl join best using (feature)""")
+@BOOK.add("p26_threshold_scoring", _FIT + """select pixel_id, fl.feature, case when d=1 then (v>=lo)::int+(v>=hi)::int else 2-(v>=lo)::int-(v>=hi)::int end as pred from fl join best using (feature)""")
 def threshold_scoring(spark, sf):
     b = bands(spark, sf)
     rules = MO.fit_thresholds(b.where(F.col("split") == "train"))
-    return MO.apply_thresholds(b, rules, ["vec_id"]).select("vec_id", "feature", "pred")
+    return MO.apply_thresholds(b, rules, ["pixel_id"]).select("pixel_id", "feature", "pred")
 
 
 def _parts(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +124,7 @@ def forest(spark, sf):
 def batch_scoring(spark, sf):
     train, _ = _parts(spark, sf)
     scored = MO.score(_fit("logistic", train), pixel_features(bands(spark, sf)))
-    return scored.select("vec_id", "y", "pred", *[r6(F.col("prob")[i]).alias(f"p{i}") for i in range(3)])
+    return scored.select("pixel_id", "y", "pred", *[r6(F.col("prob")[i]).alias(f"p{i}") for i in range(3)])
 
 
 @BOOK.add("m06_leaf_composition")
@@ -147,7 +152,7 @@ def ablation(spark, sf):
 def imbalance(spark, sf):
     train, test = _parts(spark, sf)
     weights = SP.balanced_weights(train, "y").rows
-    balanced = SP.balanced_sample(train, "y", "vec_id")
+    balanced = SP.balanced_sample(train, "y", "pixel_id")
     results = []
     for variant, rows, weight in (("plain", train, None), ("weighted", MO.with_class_weights(train, "y", weights), "weight"), ("balanced", balanced, None)):
         m = evaluate(MO.score(_fit("logistic", rows, weight=weight), test), [])

@@ -70,22 +70,19 @@ def center_mask(spark, sf):
     return _show(R.center_mask(x.join(F.broadcast(mean)), 8, 8, 0.15, F.col("_mean")))
 
 
-SIDE = 2  # the embeddings hold 2 x 2 pixels of 12 bands
+SIDE = 8
 
 
 def patch_bands(spark, sf):
-    """Long reflectances of 2 x 2 patches: ``vec_id, row, col, band, x`` with label and split of the patch."""
-    v = F.col("embedding")
-    pixel = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(b).alias("band"),
-                               ((v[i * SIDE * SIDE + r * SIDE + c].cast("double") + 1) / 2).alias("x"))
-                      for i, b in enumerate(BANDS) for r in range(SIDE) for c in range(SIDE)])
-    info = bands(spark, sf).select("vec_id", "y", "region", "split")
-    return table(spark, sf, "embeddings").select("vec_id", F.explode(pixel).alias("p")).select("vec_id", "p.*").join(info, "vec_id")
+    """Long reflectances of the 8 x 8 patches: ``patch, row, col, band, x`` with label, region and split of the pixel."""
+    pixels = bands(spark, sf)
+    values = F.array(*[F.struct(F.lit(b).alias("band"), (F.col(b) / SCALE).alias("x")) for b in BANDS])
+    return pixels.select("patch", "row", "col", "y", "region", "split", F.explode(values).alias("p")).select("patch", "row", "col", "y", "region", "split", "p.*")
 
 
 def _wide(long: DataFrame) -> DataFrame:
     cols = [F.max(F.when(F.col("band") == b, F.col("x") * SCALE)).alias(b) for b in BANDS]
-    return pixel_features(long.groupBy("vec_id", "row", "col", "y", "region", "split").agg(*cols))
+    return pixel_features(long.groupBy("patch", "row", "col", "y", "region", "split").agg(*cols))
 
 
 @BOOK.add("r07_robustness_table")
@@ -96,20 +93,20 @@ def robustness(spark, sf):
     wide = _wide(train)
     model = MO.logistic(rows=wide.count()).fit(wide)
     mean = train.groupBy("band").agg(F.avg("x").alias("_fill"))  # twelve rows
-    keys, keep = ["vec_id", "band"], ["vec_id", "row", "col", "band", "x", "clipped"]
-    info = test.select("vec_id", "y", "region", "split").distinct()
+    keys, keep = ["patch", "band"], ["patch", "row", "col", "band", "x", "clipped"]
+    info = test.select("patch", "row", "col", "y", "region").distinct()
     runs = [("none", 0.0, test.withColumn("clipped", F.lit(False)).select(*keep))]
     for level in (0, 1):
         s = {k: v[level] for k, v in R.LEVELS.items()}
         runs += [("brightness", s["brightness"], R.brightness(test, s["brightness"])), ("contrast", s["contrast"], R.contrast(test, keys, s["contrast"])),
-                 ("noise", s["noise"], R.noise(test, "vec_id", s["noise"])), ("blur", s["blur"], R.blur(test, keys, SIDE, SIDE, s["blur"])),
+                 ("noise", s["noise"], R.noise(test, "patch", s["noise"])), ("blur", s["blur"], R.blur(test, keys, SIDE, SIDE, s["blur"])),
                  ("resolution", s["resolution"] / 64, R.resample(test, keys, SIDE, SIDE, max(1, round(SIDE * s["resolution"] / 64)))),
                  ("mask", s["mask"], R.center_mask(test.join(F.broadcast(mean), "band"), SIDE, SIDE, s["mask"], F.col("_fill")))]
     tagged = reduce(DataFrame.unionByName, [
-        df.select(*keep).withColumns({"kind": F.lit(k), "severity": F.lit(float(v))}) for k, v, df in runs]).join(info, "vec_id")
+        df.select(*keep).withColumns({"kind": F.lit(k), "severity": F.lit(float(v))}) for k, v, df in runs]).join(info, ["patch", "row", "col"])
     share = R.clipped_share(tagged, ["kind", "severity"])
     cols = [F.max(F.when(F.col("band") == b, F.col("x") * SCALE)).alias(b) for b in BANDS]
-    pixels = pixel_features(tagged.groupBy("kind", "severity", "vec_id", "row", "col", "y", "region").agg(*cols))
+    pixels = pixel_features(tagged.groupBy("kind", "severity", "patch", "row", "col", "y", "region").agg(*cols))
     matrix = ME.confusion(MO.score(model, pixels), ["kind", "severity", "region"]).rows
     m = ME.metrics(matrix, ["kind", "severity", "region"], [["kind", "severity"], ["kind", "severity", "region"]]).withColumn("region", F.coalesce("region", F.lit("pooled")))
     base = m.where(F.col("kind") == "none").select("region", "macro_f1", "high_f1")

@@ -21,9 +21,9 @@ def _nd(a, b):
 INDEX_SQL = {"NDCI": _nd("B05", "B04"), "NDVI": _nd("B08", "B04"), "FAI": "B8A/10000.0::double-(B04/10000.0::double+(B11-B04)/10000.0::double*(200.0::double/945))",
              "B8AB4": _nd("B8A", "B04"), "B3B2": _nd("B03", "B02")}
 FEATURED = with_views("v_band").rstrip() + f""",
-v_feat as (select vec_id, y, split, region, case when split='train' then 'Train' when split='validation' then 'Validation' else region end as pool,
+v_feat as (select pixel_id, y, split, region, case when split='train' then 'Train' when split='validation' then 'Validation' else region end as pool,
   {', '.join(f'{b}/10000.0::double as {b}' for b in BANDS)}, {', '.join(f'{q} as {n}' for n, q in INDEX_SQL.items())} from v_band),
-v_long as (unpivot (select vec_id, pool, y, {', '.join(NAMES)} from v_feat) on {', '.join(NAMES)} into name feature value "value"),
+v_long as (unpivot (select pixel_id, pool, y, {', '.join(NAMES)} from v_feat) on {', '.join(NAMES)} into name feature value "value"),
 v_all as (select pool, feature, n from (select pool, count(*) as n from v_feat group by 1), unnest([{', '.join(repr(n) for n in NAMES)}]) u(feature))
 """
 

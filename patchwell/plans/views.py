@@ -57,13 +57,22 @@ def split_of(text) -> F.Column:
     return F.when(d.isin("0", "1", "2"), "test").when(d.isin("3", "4"), "validation").otherwise("train")
 
 
+def patch_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve consecutive embeddings are the bands of one 8x8 patch: ``patch, vectors, label, e0..e11`` (``vectors`` of them are there)."""
+    b = F.col("vec_id") % len(BANDS)
+    each = [F.any_value(F.when(b == i, F.col("embedding")), ignoreNulls=True).alias(f"e{i}") for i in range(len(BANDS))]
+    return table(spark, sf, "embeddings").groupBy(F.expr(f"vec_id div {len(BANDS)}").alias("patch")).agg(
+        F.count(F.lit(1)).alias("vectors"), F.max(F.when(b == 0, F.col("label"))).alias("label"), *each)
+
+
 def bands(spark: SparkSession, sf: str) -> DataFrame:
-    """One 12-band pixel per embedding: ``vec_id, B01..B12, y, region, split``."""
-    v = F.col("embedding")
-    return table(spark, sf, "embeddings").select(
-        "vec_id", *[F.floor((v[i].cast("double") + 1) * 5000).cast("int").alias(b) for i, b in enumerate(BANDS)],
-        (F.col("label") % 3).alias("y"), F.concat(F.lit("R"), (F.col("vec_id") % 5).cast("string")).alias("region"),
-        split_of(F.col("vec_id").cast("string")).alias("split"))
+    """One 12-band pixel per value of each whole patch: ``pixel_id, patch, row, col, B01..B12, y, region, split``."""
+    whole = patch_vectors(spark, sf).where(F.col("vectors") == len(BANDS)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return whole.select(
+        (F.col("patch") * 64 + F.col("i")).alias("pixel_id"), "patch", F.expr("cast(i div 8 as int)").alias("row"), (F.col("i") % 8).alias("col"),
+        *[F.floor((F.col(f"e{n}")[F.col("i")].cast("double") + 1) * 5000).cast("int").alias(b) for n, b in enumerate(BANDS)],
+        ((F.col("label") + F.col("i")) % 3).alias("y"), F.concat(F.lit("R"), (F.col("patch") % 5).cast("string")).alias("region"),
+        split_of(F.col("patch").cast("string")).alias("split"))
 
 
 def image(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,9 +127,11 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         sum(case when l_returnflag='R' and l_quantity>40 then l_quantity end) as qh from lineitem group by 1""", ()),
     "v_census": ("""select p.*, coalesce(cast(ql as bigint),0) as low_pixels, coalesce(cast(qm as bigint),0) as moderate_pixels,
         coalesce(cast(qh as bigint),0) as high_pixels from v_patch p left join v_counts c using (seq)""", ("v_patch", "v_counts")),
-    "v_band": ("select vec_id, " + ", ".join(
-        f"cast(floor((cast(embedding[{i + 1}] as double)+1)*5000) as int) as {b}" for i, b in enumerate(BANDS))
-        + f", label%3 as y, 'R'||(vec_id%5) as region, {_SPLIT.format(k='vec_id')} as split from embeddings", ()),
+    "v_whole": ("select vec_id//12 as patch, max(label) filter (vec_id%12=0) as label, " + ", ".join(
+        f"any_value(embedding) filter (vec_id%12={i}) as e{i}" for i in range(len(BANDS))) + " from embeddings group by 1 having count(*)=12", ()),
+    "v_band": ("select patch*64+i as pixel_id, patch, cast(i//8 as int) as \"row\", cast(i%8 as int) as col, " + ", ".join(
+        f"cast(floor((cast(e{n}[i+1] as double)+1)*5000) as int) as {b}" for n, b in enumerate(BANDS))
+        + f", cast((label+i)%3 as int) as y, 'R'||(patch%5) as region, {_SPLIT.format(k='patch')} as split from v_whole, range(0,64) t(i)", ("v_whole",)),
     "v_img": ("""select vec_id as sample_id, i-1 as idx, cast((i-1)//8 as int) as "row", cast((i-1)%8 as int) as col,
         cast(floor((cast(embedding[i] as double)+1)*5000) as int) as dn from embeddings, range(1,65) t(i)""", ()),
     "v_z": ("""select event_id as pixel, 'P'||user_id as sample_id, 'R'||(user_id%5) as region,
