@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.probability import argmax
+from ..functions.probability import argmax, softmax
 from ..functions.spectral import BANDS, FEATURES, INDEX_NAMES, SCALE, with_indices
 from .ranking import exact_quantiles
 
@@ -103,11 +103,32 @@ def score(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("pred", argmax(F.col("prob"))).drop("_prob", "_raw", "_pred", "features", "scaled")
 
 
-def leaf_composition(model, rows: DataFrame, label: str = "y") -> tuple[DataFrame, DataFrame]:
-    """Class fractions of every tree leaf over the given rows, and per-tree totals."""
-    stage = model.stages[-1]
-    stage.setLeafCol("_leaf")
-    placed = model.transform(rows).select(F.col(label).alias("y"), F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+def linear_scores(rows: DataFrame, weights: dict[str, tuple[float, ...]], intercepts: tuple[float, ...]) -> DataFrame:
+    """Probabilities and class of a multinomial linear model given as a coefficient table (feature -> weight of each class)."""
+    logits = F.array(*[sum((F.col(f) * float(w[k]) for f, w in weights.items()), F.lit(float(b))) for k, b in enumerate(intercepts)])
+    return rows.withColumn("prob", softmax(logits)).withColumn("pred", argmax(F.col("prob")))
+
+
+def gradient(model, rows: DataFrame, label: str = "y") -> DataFrame:
+    """Gradient of the fitted regression's penalised objective: ``class, feature, gradient`` (zero at the optimum)."""
+    lr, names = model.stages[-1], model.stages[0].getInputCols()
+    penalty, w = lr.getRegParam(), lr.coefficientMatrix.toArray()
+    scored = model.transform(rows).select(F.col(label).alias("y"), vector_to_array("scaled").alias("x"), vector_to_array("_prob").alias("p"))
+    gaps = [F.col("p")[k] - (F.col("y") == k).cast("double") for k in range(len(w))]
+    means = scored.agg(*[F.avg(g * F.col("x")[i]).alias(f"g{k}_{i}") for k, g in enumerate(gaps) for i in range(len(names))])
+    cells = [F.struct(F.lit(k).alias("class"), F.lit(f).alias("feature"), (F.col(f"g{k}_{i}") + penalty * float(w[k][i])).alias("gradient"))
+             for k in range(len(w)) for i, f in enumerate(names)]
+    return means.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def leaf_places(model, rows: DataFrame, label: str = "y") -> DataFrame:
+    """``y, tree, leaf`` of every row in every tree of a fitted forest."""
+    model.stages[-1].setLeafCol("_leaf")
+    return model.transform(rows).select(F.col(label).alias("y"), F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+
+
+def leaf_composition(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Class fractions of every tree leaf over placed rows (``y, tree, leaf``), and per-tree totals."""
     leaves = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
         F.count(F.lit(1)).alias("rows"), *[F.avg((F.col("y") == k).cast("double")).alias(f"{c}_fraction") for k, c in enumerate(("low", "moderate", "high"))],
         F.count_if(F.col("y") == 2).alias("high_rows"))

@@ -13,6 +13,7 @@ from ..operators import models as MO
 from ..operators import splits as SP
 from ..operators.profiles import r6
 from ..operators.ranking import exact_quantiles
+from ..session import cut_lineage
 from .registry import Book
 from .shift import INDEX_SQL
 from .views import bands, patch_vectors, with_views
@@ -130,10 +131,82 @@ def batch_scoring(spark, sf):
 @BOOK.add("m06_leaf_composition")
 def leaves(spark, sf):
     train, _ = _parts(spark, sf)
-    table, _ = MO.leaf_composition(_fit("forest", train), train)
+    table, _ = MO.leaf_composition(MO.leaf_places(_fit("forest", train), train))
     return table.select("tree", "leaf", "rows", "high_rows", "high_majority", *[r6(F.col(f"{c}_fraction")).alias(f"{c}_fraction") for c in ME.CLASSES])
 
 
+# Three trees of two splits each, (feature, threshold, feature, threshold).
+TREES = (("B03", 0.5, "B08", 0.5), ("B04", 0.48, "B05", 0.52), ("B11", 0.55, "B02", 0.45))
+_PLACED = _BAND.rstrip() + ", pl as (" + " union all ".join(
+    f"select y, {t} as tree, 2*({a}/10000.0::double>={c})::int+({b}/10000.0::double>={d})::int as leaf from v_band where split='train'" for t, (a, c, b, d) in enumerate(TREES)) + """),
+lf as (select tree, leaf, count(*) as "rows", count(*) filter (y=2) as high_rows, avg((y=0)::int) as l, avg((y=1)::int) as m, avg((y=2)::int) as h from pl group by 1,2)
+"""
+
+
+def fixed_places(spark, sf):
+    train, _ = _parts(spark, sf)
+    leaf = [F.struct(F.lit(t).alias("tree"), (2 * (F.col(a) >= c).cast("int") + (F.col(b) >= d).cast("int")).alias("leaf")) for t, (a, c, b, d) in enumerate(TREES)]
+    return train.select("y", F.explode(F.array(*leaf)).alias("p")).select("y", "p.*")
+
+
+@BOOK.add("m06_fixed_leaf_composition", _PLACED + """select tree, leaf, "rows", high_rows, h>l and h>m as high_majority, round(l,6) as low_fraction, round(m,6) as moderate_fraction, round(h,6) as high_fraction from lf""")
+def fixed_leaves(spark, sf):
+    table, _ = MO.leaf_composition(fixed_places(spark, sf))
+    return table.select("tree", "leaf", "rows", "high_rows", "high_majority", *[r6(F.col(f"{c}_fraction")).alias(f"{c}_fraction") for c in ME.CLASSES])
+
+
+@BOOK.add("m06_fixed_tree_totals", _PLACED + """select tree, count(*) as leaves, count(*) filter (h>l and h>m) as high_majority_leaves, count(*) filter (high_rows>0) as leaves_with_high, round(max(h),6) as max_high_fraction,
+  coalesce(sum(high_rows) filter (h>l and h>m),0)::bigint as high_rows_in_high_majority from lf group by 1""")
+def fixed_trees(spark, sf):
+    _, trees = MO.leaf_composition(fixed_places(spark, sf))
+    return trees.withColumn("max_high_fraction", r6(F.col("max_high_fraction")))
+
+
+@BOOK.add("m03_forest_invariants", _BAND + f"""select t::int as tree, (select count(*) from v_band where split='train') as "rows", true as fractions_sum_to_one, true as depth_within_limit from range(0,{MO.FOREST_TREES}) r(t)""")
+def forest_invariants(spark, sf):
+    """What holds for every correct forest: each tree places every training row once, fractions add up, depth is bounded."""
+    train, _ = _parts(spark, sf)
+    model = _fit("forest", train)
+    leaves, _ = MO.leaf_composition(MO.leaf_places(model, train))
+    deep = [t.depth <= MO.FOREST_DEPTH for t in model.stages[-1].trees]  # one flag per tree
+    sums = F.abs(sum((F.col(f"{c}_fraction") for c in ME.CLASSES[1:]), F.col(f"{ME.CLASSES[0]}_fraction")) - 1) < 1e-9
+    return leaves.groupBy("tree").agg(F.sum("rows").alias("rows"), F.bool_and(sums).alias("fractions_sum_to_one")).withColumn(
+        "depth_within_limit", F.element_at(F.array(*[F.lit(d) for d in deep]), F.col("tree") + 1))
+
+
+@BOOK.add("m02_stationary_fit", f"select k::int as class, f as feature, true as stationary from range(0,3) r(k), unnest([{', '.join(repr(f) for f in FEATURES)}]) u(f)")
+def stationary(spark, sf):
+    """The fitted regression is at the optimum of its objective: no gradient component above the tolerance."""
+    train, _ = _parts(spark, sf)
+    return MO.gradient(_fit("logistic", train), train).select("class", "feature", (F.abs("gradient") < 1e-3).alias("stationary"))
+
+
+# A coefficient table by rule, so that scoring can be compared without a fit.
+WEIGHTS = {f: tuple(((k * 7 + i * 13) % 11 - 5) / 5 for k in range(3)) for i, f in enumerate(FEATURES)}
+INTERCEPTS = (0.1, 0.0, -0.2)
+_FEATURE_SQL = {**{b: f"{b}/10000.0::double" for b in BANDS}, **{n: f"coalesce({q},0)" for n, q in INDEX_SQL.items()}, **{f"{n}_missing": f"(({q}) is null)::int::double" for n, q in INDEX_SQL.items()}}
+_LINEAR = _BAND.rstrip() + ", lz as (select pixel_id, y, split, " + ", ".join(
+    "+".join([f"({INTERCEPTS[k]})::double", *[f"({_FEATURE_SQL[f]})*({WEIGHTS[f][k]})::double" for f in FEATURES]]) + f" as z{k}" for k in range(3)) + """ from v_band),
+lp as (select pixel_id, y, split, case when z0>=z1 and z0>=z2 then 0 when z1>=z2 then 1 else 2 end as pred, exp(z0-m)/s as p0, exp(z1-m)/s as p1, exp(z2-m)/s as p2
+  from (select *, greatest(z0,z1,z2) as m, exp(z0-greatest(z0,z1,z2))+exp(z1-greatest(z0,z1,z2))+exp(z2-greatest(z0,z1,z2)) as s from lz))
+"""
+
+
+@BOOK.add("m04_linear_scoring", _LINEAR + "select pixel_id, y, pred, round(p0,6) as p0, round(p1,6) as p1, round(p2,6) as p2 from lp")
+def linear_scoring(spark, sf):
+    scored = MO.linear_scores(pixel_features(bands(spark, sf)), WEIGHTS, INTERCEPTS)
+    return scored.select("pixel_id", "y", "pred", *[r6(F.col("prob")[i]).alias(f"p{i}") for i in range(3)])
+
+
+@BOOK.add("m09_linear_minority_diagnostics", _LINEAR.rstrip() + """, mp as (select *, case split when 'train' then 'resubstitution' else 'test' end as part from lp where split in ('train','test')),
+mm as (select part, """ + ", ".join(f"coalesce(2.0::double*count(*) filter (y={k} and pred={k})/nullif(count(*) filter (y={k})+count(*) filter (pred={k}),0),0) as f{k}" for k in range(3)) + """, count(*) filter (y=2 and pred=2)::double/count(*) filter (y=2) as recall from mp group by 1)
+select part, count(*) as n, round(any_value((f0+f1+f2)/3),6) as macro_f1, round(any_value(recall),6) as high_recall, round(any_value(f2),6) as high_f1, round(avg(p2),6) as mean_high,
+  round(quantile_cont(p2,0.1),6) as q10, round(quantile_cont(p2,0.5),6) as q50, round(quantile_cont(p2,0.9),6) as q90 from mp join mm using (part) where y=2 group by 1""")
+def linear_minority(spark, sf):
+    scored = cut_lineage(MO.linear_scores(pixel_features(bands(spark, sf)), WEIGHTS, INTERCEPTS).select("y", "split", "prob", "pred"))
+    return _diagnostics(scored.where(F.col("split").isin("train", "test")).withColumn("part", F.when(F.col("split") == "train", "resubstitution").otherwise("test")))
+
+
 @BOOK.add("m07_band_ablation")
 def ablation(spark, sf):
     raw = bands(spark, sf)
@@ -165,7 +238,10 @@ def imbalance(spark, sf):
 def minority(spark, sf):
     train, test = _parts(spark, sf)
     model = _fit("logistic", train)
-    both = MO.score(model, train).withColumn("part", F.lit("resubstitution")).unionByName(MO.score(model, test).withColumn("part", F.lit("test")))
+    return _diagnostics(MO.score(model, train).withColumn("part", F.lit("resubstitution")).unionByName(MO.score(model, test).withColumn("part", F.lit("test"))))
+
+
+def _diagnostics(both: DataFrame) -> DataFrame:
     high = both.where(F.col("y") == 2).withColumn("p", F.col("prob")[2])
     q = exact_quantiles(high, ["part"], "p", {"q10": 0.1, "q50": 0.5, "q90": 0.9}).join(high.groupBy("part").agg(F.avg("p").alias("mean_high")), "part")
     out = evaluate(both, ["part"]).select("part", "macro_f1", "high_recall", "high_f1").join(q, "part")
