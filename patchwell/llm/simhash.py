@@ -127,15 +127,14 @@ def links(distinct: DataFrame, crowd: int = 1024) -> DataFrame:
     ``crowd`` only chooses how a place is worked on (compared inside one row up to it, by finer keys beyond); both
     ways are exact.
     """
-    rows = variants(distinct)
-    counted = rows.groupBy("band", "variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    places = materialize(counted, "places")
+    # the only exchange of all variants; they come from many tasks, as one fingerprint makes 131 of them
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["band", "variant"]
+    counted = variants(distinct.repartition(tasks, "fp")).withColumn("n", F.count("*").over(Window.partitionBy(*place))).where("n > 1")
+    members = materialize(counted, "members")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = places.where((F.col("n") == 2) & near).select("a", "b")
-    if places.where("n > 2").isEmpty():
-        return pairs.distinct()
-    members = materialize(rows.join(places.where("n > 2").select("band", "variant", "n"), ["band", "variant"]), "members")
-    inside = (members.where(F.col("n") <= crowd).groupBy("band", "variant").agg(F.collect_list("fp").alias("m"))
+    pairs = members.where("n = 2").groupBy(*place).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(near).select("a", "b")
+    inside = (members.where((F.col("n") > 2) & (F.col("n") <= crowd)).groupBy(*place).agg(F.collect_list("fp").alias("m"))
               .select(F.explode(tree_of_links("m")).alias("l")).select("l.a", "l.b"))
     return pairs.unionByName(inside).unionByName(hub_links(members.where(F.col("n") > crowd).drop("n"))).distinct()
 
@@ -159,10 +158,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Repeated rows of that document count as one. The texts move once, to meet the (id, hash of text) of those that stay.
     """
-    own = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2 ** 63 - 1)), "_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    own = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(2 ** 63 - 1)), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
     docs = docs.withColumns(own)
-    marked = materialize(docs.select(F.struct("_id", "_text").alias("who"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
-    stay = groups(marked, "who").select("root", "least._id", "least._text").distinct().select("_id", "_text")
-    one = Window.partitionBy("_id", "_text").orderBy(F.lit(0))
-    return (docs.join(stay, ["_id", "_text"], "left_semi").withColumn("_n", F.row_number().over(one))
-            .where("_n = 1").drop("_id", "_text", "_n"))
+    marked = materialize(docs.select(F.struct("__id", "__text").alias("who"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
+    stay = groups(marked, "who").select("root", "least.__id", "least.__text").distinct().select("__id", "__text")
+    one = Window.partitionBy("__id", "__text").orderBy(F.lit(0))
+    return (docs.join(stay, ["__id", "__text"], "left_semi").withColumn("__n", F.row_number().over(one))
+            .where("__n = 1").drop("__id", "__text", "__n"))
