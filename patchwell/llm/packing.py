@@ -148,7 +148,7 @@ def slots(plan: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), buckets: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), buckets: int = 64) -> DataFrame:
     """``pieces`` with sequence_id and offset: each sequence holds at most ``capacity``, gapless from offset 0.
 
     The driver sees one count for each length and hash bucket (at most ``capacity`` x ``buckets``). A common length is
