@@ -81,14 +81,14 @@ def confidence_quantiles(rows: DataFrame, keys: list[str], probs=QUANTILES) -> D
     return exact_quantiles(known, keys, "_c", probs)
 
 
-def ranking_curves(rows: DataFrame, keys: list[str], digits: int | None = None) -> DataFrame:
+def ranking_curves(rows: DataFrame, keys: list[str]) -> DataFrame:
     """ROC-AUC and average precision per class, one against the rest.
 
     Scores are folded into (score, positives, negatives) first; with running totals in
     descending score order both areas are plain sums over the folded rows.
     """
     known = rows.where(F.col("y").isNotNull())
-    score = F.round(F.col("p"), digits) if digits is not None else F.col("p")
+    score = F.col("p")
     long = known.select(*keys, "y", F.posexplode("prob").alias("class", "p"))
     folded = long.groupBy(*keys, "class", score.alias("score")).agg(
         F.count_if(F.col("y") == F.col("class")).alias("pos"), F.count_if(F.col("y") != F.col("class")).alias("neg"))

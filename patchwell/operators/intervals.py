@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import Checked, violation
-from .ranking import running_total, with_next
+from .ranking import range_bucket, running_total, with_next
 
 
-def span_to_next(entries: DataFrame, archive: str, offset: str, ends: DataFrame, end: str, bucket_bytes: int = 1 << 30) -> DataFrame:
+def span_to_next(entries: DataFrame, archive: str, offset: str, ends: DataFrame, end: str) -> DataFrame:
     """Bytes from each entry to the next one of its archive; the last runs to the archive end."""
-    ahead = with_next(entries, [archive], offset, F.floor(F.col(offset) / bucket_bytes), "_next")
+    ahead = with_next(entries, [archive], offset, range_bucket(entries, offset), "_next")
     return ahead.join(ends, archive, "left").withColumn(
         "span_bytes", F.coalesce("_next", end) - F.col(offset)).drop("_next", end)
 
 
-def coalesce_intervals(ranges: DataFrame, keys: list[str], start: str, end: str, bucket: Column, gap: int = 1) -> DataFrame:
+def coalesce_intervals(ranges: DataFrame, keys: list[str], start: str, end: str, bucket: Column | None = None, gap: int = 1) -> DataFrame:
     """Merge ranges that overlap or touch (start <= furthest end so far + ``gap``); adds ``island`` and its bounds.
 
-    ``bucket`` is a coarse, order-preserving function of ``start``: the furthest end of the
-    earlier buckets is one number per bucket, so no key is scanned by one task.
+    ``bucket`` is a coarse, order-preserving function of ``start`` (a bounded number of ranges by default):
+    the furthest end of the earlier buckets is one number per bucket, so no key is scanned by one task.
     """
-    staged = ranges.withColumn("_b", bucket)
+    staged = ranges.withColumn("_b", range_bucket(ranges, start) if bucket is None else bucket)
     tops = staged.groupBy(*keys, "_b").agg(F.max(end).alias("_top"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.withColumn("_before", F.max("_top").over(earlier)).drop("_top")
@@ -39,13 +39,13 @@ def islands(owned: DataFrame, keys: list[str], start: str, end: str) -> DataFram
         F.min(start).alias("range_start"), F.max(end).alias("range_end"), F.count(F.lit(1)).alias("members"))
 
 
-def charge_ledger(events: DataFrame, log: str, seq: str, charged: str, limit: Column, bucket: Column) -> Checked:
+def charge_ledger(events: DataFrame, log: str, seq: str, charged: str, limit: Column, bucket: Column | None = None) -> Checked:
     """Running charge per log up to the first request that would pass the limit (or is negative).
 
     That request is refused and ends the log: it is not charged, and what follows is not attempted. ``used`` is what
     had been charged after each row. The refusal is a violation.
     """
-    ledger = running_total(events, [log], [seq], F.col(charged), bucket, "_sum").withColumn("limit", limit)
+    ledger = running_total(events, [log], [seq], F.col(charged), range_bucket(events, seq) if bucket is None else bucket, "_sum").withColumn("limit", limit)
     bad = (F.col("_sum") > F.col("limit")) | (F.col(charged) < 0)
     ends = ledger.where(bad).groupBy(log).agg(F.min(seq).alias("_end"), F.min_by(F.col("_sum") - F.col(charged), seq).alias("_kept"))
     ledger = ledger.join(ends, log, "left")

@@ -2,7 +2,8 @@
 
 Every operator here works in two levels: a coarse bucket that keeps the order, a small
 table of bucket totals whose running sum gives each bucket its start, and a window
-inside the bucket. No key, however hot, is sorted in one task.
+inside the bucket. The number of buckets of a key is bounded (hash digits, magnitudes or
+``range_bucket``), so neither level grows with the rows of one key beyond its share.
 """
 
 from __future__ import annotations
@@ -30,6 +31,25 @@ def share_bucket(share: Column, per_octave: int = 64) -> Column:
     return F.when(share <= 0.5, value_bucket(share, per_octave, 40)).otherwise(2 * middle - value_bucket(1 - share, per_octave, 40))
 
 
+def range_bucket(df: DataFrame, column: str, buckets: int = 128, sample: int = 20_000) -> Column:
+    """Order-preserving bucket of any sortable column, at most ``buckets`` of them whatever the table holds.
+
+    The bounds are quantiles of a bounded sample drawn by hash, found in one pass; the comparison is a balanced tree.
+    """
+    n, of = max(1, df.count()), 1 << 30
+    share = int(min(1.0, 1.2 * sample / n) * of)
+    drawn = sorted(r[0] for r in df.where((F.pmod(F.xxhash64(column), F.lit(of)) < share) & F.col(column).isNotNull()).select(column).limit(2 * sample).collect())
+    knots = sorted({drawn[i * len(drawn) // buckets] for i in range(1, buckets)}) if drawn else []
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) >= F.lit(knots[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(knots))
+
+
 def running_totals(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column], bucket: Column,
                    totals: dict[str, str] | None = None, descending: bool = False) -> DataFrame:
     """Inclusive running sums (``out name -> amount``) per key in ``order``, from one pair of passes.
@@ -77,9 +97,9 @@ def global_rank(df: DataFrame, hash_col: str, strata: list[str] | None = None, o
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-def rank_by_text(df: DataFrame, text_col: str, out: str = "rank", total: str | None = None, prefix: int = 24) -> DataFrame:
-    """Zero-based rank in text order, bucketed by a leading prefix of the text."""
-    ranked = running_total(df, [], [text_col], F.lit(1).cast("bigint"), F.substring(text_col, 1, prefix), out, total)
+def rank_by_text(df: DataFrame, text_col: str, out: str = "rank", total: str | None = None) -> DataFrame:
+    """Zero-based rank in text order, over a bounded number of ranges of the text."""
+    ranked = running_total(df, [], [text_col], F.lit(1).cast("bigint"), range_bucket(df, text_col), out, total)
     return ranked.withColumn(out, F.col(out) - 1)
 
 

@@ -275,9 +275,9 @@ def _per(group: str):
     return Window.partitionBy(group).orderBy("_h")  # at most ``fill`` rows per group are left here
 
 
-def evenly_spaced(rows: DataFrame, key: str, count: int, prefix: int = 24) -> DataFrame:
+def evenly_spaced(rows: DataFrame, key: str, count: int) -> DataFrame:
     """``count`` rows at evenly spaced ranks of the sorted key."""
-    ranked = rank_by_text(rows, key, "rank", "total", prefix)
+    ranked = rank_by_text(rows, key, "rank", "total")
     if count == 1:
         return ranked.where(F.col("rank") == 0).drop("rank", "total")
     steps = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("total") - 1) / (count - 1)))
@@ -294,8 +294,8 @@ def pixel_sample(pixels: DataFrame, sample: str, pixel: str, per_patch: int = 25
 def balanced_sample(rows: DataFrame, label: str, key: str, classes: int = 3, seed: str = HASH_SEED) -> DataFrame:
     """n/classes rows of each class: the first by hash, repeated draws only where a class is short.
 
-    A short class draws with replacement: draw k takes member ``hash(k) mod size``. The draws
-    are generated next to the members, so no task holds more than its share of them.
+    A short class draws with replacement: draw k takes member ``hash(k) mod size``. The draws are
+    numbered by a range that Spark deals out evenly, then meet the members by rank; the label has few values.
     """
     ranked = _ranked(rows, key, seed, [label])
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
@@ -303,7 +303,9 @@ def balanced_sample(rows: DataFrame, label: str, key: str, classes: int = 3, see
     members = ranked.drop("total").join(F.broadcast(sizes), label).join(F.broadcast(wanted))
     enough = members.where(F.col("_size") >= F.col("_want")).where(F.col("rank") < F.col("_want")).withColumn("draw", F.col("rank"))
     short = members.where(F.col("_size") < F.col("_want"))
-    draws = short.select(label, "_size", F.explode(F.sequence("rank", F.col("_want") - 1, F.col("_size"))).alias("draw"))
+    want = wanted.first()["_want"] or 0
+    lacking = sizes.where(F.col("_size") < want).select(label, "_size")  # at most one row per class
+    draws = rows.sparkSession.range(want).withColumnRenamed("id", "draw").join(F.broadcast(lacking))
     token = F.sha2(F.concat_ws(":", F.lit(seed), F.col(label).cast("string"), F.col("draw").cast("string")), 256)
     picks = draws.select(label, "draw", (F.conv(F.substring(token, 1, 8), 16, 10).cast("bigint") % F.col("_size")).alias("rank"))
     repeated = short.join(picks, [label, "rank"])

@@ -51,12 +51,14 @@ def quantiles(spark, sf):
     return _rounded(C.confidence_quantiles(predictions(spark, sf), _KEYS))
 
 
-@BOOK.add("e09_roc_auc_average_precision", _KNOWN + """, l as (select model, t.i as class, (y=t.i)::int as pos, round(case t.i when 0 then p0 when 1 then p1 else p2 end,9) as score from k, range(0,3) t(i)),
+@BOOK.add("e09_roc_auc_average_precision", _KNOWN + """, l as (select model, t.i as class, (y=t.i)::int as pos, case t.i when 0 then a/8 when 1 then b/8 else c/8 end as score from k, range(0,3) t(i)),
 f as (select model, class, score, sum(pos) as p, sum(1-pos) as n from l group by 1,2,3),
 r as (select *, sum(p) over w as tp, sum(n) over w as fp from f window w as (partition by model, class order by score desc rows unbounded preceding))
 select model, class, sum(p)::bigint as support, round(sum(n*(tp-p/2.0::double))/(sum(p)::double*sum(n)::double),6) as roc_auc, round(sum(p*tp::double/(tp+fp))/sum(p),6) as average_precision from r group by 1,2""")
 def curves(spark, sf):
-    return _rounded(C.ranking_curves(predictions(spark, sf), ["model"], digits=9))
+    """Scores are exact fractions (an eighth of each logit), so that ties are those of the data."""
+    exact = logits(spark, sf).withColumn("prob", F.transform("logits", lambda z: z / 8))
+    return _rounded(C.ranking_curves(exact, ["model"]))
 
 
 @BOOK.add("e10_high_probability_summary", _KNOWN + """select model, y, count(*) as n, round(quantile_cont(p2,0.1),6) as q10, round(quantile_cont(p2,0.5),6) as median, round(quantile_cont(p2,0.9),6) as q90,

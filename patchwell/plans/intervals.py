@@ -23,7 +23,7 @@ def entries(spark, sf):
 def spans(spark, sf):
     e = entries(spark, sf)
     ends = e.groupBy("archive").agg((F.max("header_offset") + 777).alias("directory_start"))
-    return IV.span_to_next(e, "archive", "header_offset", ends, "directory_start", 1 << 24).select("sample_id", "span_bytes")
+    return IV.span_to_next(e, "archive", "header_offset", ends, "directory_start").select("sample_id", "span_bytes")
 
 
 _RANGES = """with iv as (select o_orderkey as id, o_custkey%7 as archive, o_orderkey*100 + o_custkey%90 as a, o_orderkey*100 + o_custkey%90 + cast(floor(o_totalprice) as bigint)%140 as b from orders),
@@ -40,7 +40,7 @@ def ranges(spark, sf):
 
 
 def _owned(spark, sf):
-    return IV.coalesce_intervals(ranges(spark, sf), ["archive"], "a", "b", F.floor(F.col("a") / 100000), gap=601)
+    return IV.coalesce_intervals(ranges(spark, sf), ["archive"], "a", "b", gap=601)
 
 
 @BOOK.add("w02_coalesced_ranges", _RANGES + "select archive, min(a) as range_start, max(b) as range_end, count(*) as members from isl group by archive, island")
@@ -59,7 +59,7 @@ select event_id, log, max(case when not stopped then s else 0 end) over (partiti
   case when coalesce(earlier,false) then 'NOT_ATTEMPTED' when stopped then 'REFUSED' else 'ACCEPTED' end as status from m""")
 def ledger(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.col("event_type").alias("log"), F.floor("value").cast("bigint").alias("bytes"))
-    out = IV.charge_ledger(events, "log", "event_id", "bytes", F.lit(60000), F.floor(F.col("event_id") / 1000))
+    out = IV.charge_ledger(events, "log", "event_id", "bytes", F.lit(60000))
     return out.rows.select("event_id", "log", "used", "status")
 
 

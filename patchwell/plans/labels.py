@@ -33,6 +33,13 @@ def strict_class(spark, sf):
     return byte.groupBy(L.strict_dn_class(F.col("dn")).alias("class_name")).agg(F.count(F.lit(1)).alias("pixels"))
 
 
+@BOOK.add("p05_strict_violations", _PX + "select 'dn_outside_byte' as rule, dn, count(*) as pixels from v_px where dn not between 0 and 255 group by 2")
+def strict_violations(spark, sf):
+    """Pixels that the strict rule refuses, by value."""
+    bad = pixels(spark, sf).where(~F.coalesce(F.col("dn").between(0, 255), F.lit(False)))
+    return bad.groupBy("dn").agg(F.count(F.lit(1)).alias("pixels")).select(F.lit("dn_outside_byte").alias("rule"), "dn", "pixels")
+
+
 @BOOK.add("p06_continuous_dn_class", _PX + """select pixel,
   case when v<100 then 0 when v<200 then 1 when v<=253 then 2 else -1 end as continuous_class,
   case when v<=99 then 0 when v<=199 and v>99 then 1 when v>=200 and v<=253 then 2 else -1 end as gapped_class

@@ -60,8 +60,11 @@ def test_rotation_and_spacing_do_not_depend_on_order(spark):
     df = spark.createDataFrame([(i,) for i in ids], "id string")
     a, b = ({r.id: r.split for r in splits.rotation_split(x, "id").collect()} for x in (df, df.orderBy(F.desc("id")).repartition(3)))
     assert a == b and sorted(list(a.values()).count(n) for n in splits.ROUND_ROBIN_NAMES) == [4, 4, 4]
-    for prefix in (2, 24):
-        assert sorted(r.id for r in splits.evenly_spaced(df, "id", 4, prefix).collect()) == [ids[i] for i in (0, 3, 7, 11)]
+    assert sorted(r.id for r in splits.evenly_spaced(df, "id", 4).collect()) == [ids[i] for i in (0, 3, 7, 11)]
+    for n in (500, 5000):  # the number of ranges does not grow with the rows
+        numbers = spark.range(n).selectExpr("id * id as v")
+        found = numbers.groupBy(ranking.range_bucket(numbers, "v", 16, 1000).alias("b")).agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+        assert len(found) <= 16 and all(x.high < y.low for x, y in zip(found, found[1:], strict=False))
     assert [r.id for r in splits.evenly_spaced(df, "id", 1).collect()] == ["id00"]
     many = spark.range(3000).selectExpr("id % 2 as g", "id")
     assert ranking.first_per_group(many, ["g"], [F.asc("id")], 1200).groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("m")).orderBy("g").collect() == [(0, 1200, 2398), (1, 1200, 2399)]
