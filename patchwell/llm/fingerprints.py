@@ -16,9 +16,10 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -129,12 +130,24 @@ def with_next(docs: DataFrame, rows_per_bucket: int, max_buckets: int) -> DataFr
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("copy"))
     both = (docs.join(copies, "id", "left")
             .select("id", "text", F.explode(F.when(F.col("other").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("other").alias("bucket"), F.lit(True).alias("copy"))))).alias("w"))
-            .select("w.bucket", "w.copy", "id", "text").withColumn("a", digests(F.col("text"))))
+            .select(F.coalesce("w.bucket", F.lit(0)).alias("bucket"), F.col("w.copy").alias("copy"), "id", "text"))
     order = Window.partitionBy("bucket").orderBy("copy", F.desc("id"), F.xxhash64("text"))
-    return (both.repartition(buckets, "bucket").withColumns({"rn": F.row_number().over(order), "next_text": F.lead("text").over(order), "n": F.lead("a").over(order)})
+    return (both.repartition(buckets, "bucket").withColumn("a", digests(F.col("text"))).withColumns({"rn": F.row_number().over(order), "next_text": F.lead("text").over(order), "n": F.lead("a").over(order)})
             .where(~F.col("copy")).drop("copy"))
 
 
+@contextmanager
+def joined_in_place(spark: SparkSession):
+    """Joins of two sides that are dealt by the same first key keep that dealing: here both read one exchange of the texts."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 600, max_buckets: int = 65_536, rounds: int = 9) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every whole text.
 
@@ -150,8 +163,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        written(F.col("a")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"), "a", "e", "n")
     columns = [f"{x}_{c}" for c in "en" for x in ("more", "less", "left")]
     stuck = F.coalesce(F.col("left_e") + F.col("left_n"), F.lit(0)) > 0
-    done = materialize(told.join(tried, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in columns}).withColumn("size_a", F.size("a"))
-                       .withColumns({c: F.when(stuck, F.col(c)) for c in "aen"}), "sketches")
+    both = told.join(tried, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in columns}).withColumn("size_a", F.size("a"))
+    with joined_in_place(docs.sparkSession):
+        done = materialize(both.withColumns({c: F.when(stuck, F.col(c)) for c in "aen"}), "sketches")
     solved, seed = done.where(~stuck).drop(*"aen"), 0
     left = done.where(stuck)
     while not left.isEmpty():  # larger tables, other hashes; only what is stuck
