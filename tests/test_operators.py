@@ -334,3 +334,25 @@ def test_unit_normalization_conflicts(rows):
     out = {r.canonical_unit_key: r for r in audit.normalize_units(df, "ord").collect()}
     assert out["id:w"].qualification_status == "QUALIFIED" and out["id:w"].duplicate_source_records == 2
     assert out["id:v"].qualification_status == "BLOCKED_CONFLICTING_EVIDENCE"
+
+
+def test_zonal_counts_cover_the_whole_mask(rows):
+    mask = rows([(1, 0, 0), (1, 0, 1), (2, 5, 5)], "geom int, row int, col int")
+    cells = rows([("a", 0, 0, 210), ("a", 9, 9, 10)], "product string, row int, col int, dn int")
+    pairs = rows([(1, "a"), (1, "b"), (2, "a")], "geom int, product string")
+    out = geometry.zonal_counts(mask, cells, pairs).collect()
+    assert sorted((r.geom, r["product"], r.high, r.valid, r.invalid, r.mask_pixels) for r in out) == [(1, "a", 1, 1, 1, 2), (1, "b", 0, 0, 2, 2), (2, "a", 0, 0, 1, 1)]
+
+
+def test_unknown_values_shared_by_splits_are_leaks(rows):
+    from patchwell.operators import splits
+    data = rows([("train", "UNKNOWN", ""), ("test", "UNKNOWN", ""), ("test", "b", " ")], "split string, bloom string, scene string")
+    assert [r.key for r in splits.isolation_violations(data, ["bloom", "scene"]).collect()] == ["bloom=UNKNOWN"]
+
+
+def test_positions_and_neighbours_belong_to_a_subtile_and_date(rows):
+    from patchwell.operators import pools
+    d = dt.date
+    data = [("g", "s1", 0, 0, d(2020, 1, 1), "x"), ("g", "s1", 0, 64, d(2020, 1, 1), "y"), ("g", "s2", 0, 0, d(2020, 1, 9), "x"), ("g", "s2", 64, 64, d(2020, 2, 9), "z")]
+    out = pools.independence(rows(data, "g string, subtile_id string, patch_row int, patch_col int, day date, content string"), "g", "content").first()
+    assert (out.high_patches, out.positions, out.positions_repeated, out.high_patches_with_neighbor, out.identical_extra_patches) == (4, 4, 0, 2, 1)
