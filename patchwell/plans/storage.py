@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spectral import BANDS
 from ..operators.profiles import r6
 from ..session import scratch_path
 from ..sources import archives as AR
 from ..sources import sinks as SK
 from .registry import Book
-from .views import patches, predictions, table, with_views
+from .views import patch_vectors, patches, predictions, table, with_views
 
 BOOK = Book()
 
@@ -17,16 +18,15 @@ BOOK = Book()
 @BOOK.add("s01_archive_index_scan", with_views("v_patch") + """select archive, archive as index_name, count(*) as entries, min(header_offset) as first_offset, sum(compressed_bytes)::bigint as compressed_bytes, count(distinct date) as dates
   from (select *, seq*400000+compressed_bytes as header_offset, day as date from v_patch) group by 1""")
 def archive_index_scan(spark, sf):
-    """Write the index as one CSV folder per archive, then scan all of it through the schema."""
+    """Write the index as one CSV file per archive, then scan all of them."""
     path = scratch_path(spark, "index")
     entries = patches(spark, sf).select(
         "archive", F.concat("sample_id", F.lit("_cyan.npy")).alias("member"), F.lit("cyan").alias("kind"), "sample_id", "tile", "subtile_id", F.col("day").alias("date"),
         F.col("patch_row").cast("int").alias("patch_row"), F.col("patch_col").cast("int").alias("patch_col"),
         (F.col("seq") * 400000 + F.col("compressed_bytes")).alias("header_offset"), F.lit(0).cast("bigint").alias("span_bytes"), "compressed_bytes",
         F.lit(4224).cast("bigint").alias("size_bytes"), F.lpad(F.lower(F.hex(F.crc32("sample_id"))), 8, "0").alias("crc32"), F.lit(8).alias("compression"))
-    entries.withColumn("part", F.concat("archive", F.lit("_entries.csv"))).write.partitionBy("part").option("header", True).csv(path)
-    rows = spark.read.schema(AR.ENTRY_SCHEMA).option("header", True).csv(path)
-    named = rows.withColumn("index_name", F.regexp_extract(F.input_file_name(), r"part=([^/]+)_entries\.csv/", 1))
+    SK.write_named_csv(entries, path, "archive", "_entries.csv")
+    named = AR.archive_index(spark, path)
     return named.groupBy("archive", "index_name").agg(
         F.count(F.lit(1)).alias("entries"), F.min("header_offset").alias("first_offset"), F.sum("compressed_bytes").alias("compressed_bytes"), F.count_distinct("date").alias("dates"))
 
@@ -51,6 +51,36 @@ def patch_scan(spark, sf):
         F.max(F.when((F.col("row") == 7) & (F.col("col") == 7), F.col("dn"))).alias("last_dn"))
 
 
+def npy_images(spark, sf):
+    """A 12-band array file per whole patch: little-endian unsigned 16-bit values of shape (12, 8, 8)."""
+    header = "{'descr': '<u2', 'fortran_order': False, 'shape': (12, 8, 8), }"
+    text = header + " " * (128 - 10 - len(header) - 1) + "\n"
+    prefix = "934E554D50590100" + f"{len(text) & 255:02X}{len(text) >> 8:02X}" + text.encode().hex().upper()
+
+    def word(x):
+        dn = F.floor((x.cast("double") + 1) * 5000).cast("int")
+        return F.concat(F.lpad(F.hex(dn % 256), 2, "0"), F.lpad(F.hex(F.floor(dn / 256)), 2, "0"))
+
+    body = [F.array_join(F.transform(f"e{i}", word), "") for i in range(len(BANDS))]
+    return patch_vectors(spark, sf).where(F.col("vectors") == len(BANDS)).select(F.col("patch").cast("string").alias("path"), F.unhex(F.concat(F.lit(prefix), *body)).alias("content"))
+
+
+@BOOK.add("s02_image_scan", with_views("v_band") + "select pixel_id, " + ", ".join(BANDS) + " from v_band")
+def image_scan(spark, sf):
+    decoded = AR.decode_arrays(npy_images(spark, sf), (12, 8, 8), "uint16").rows
+    px = AR.band_pixels(decoded, ["path"], BANDS, 8, 8)
+    return px.select((F.col("path").cast("bigint") * 64 + F.col("pixel")).alias("pixel_id"), *BANDS)
+
+
+@BOOK.add("s02_pair_scan", with_views("v_band", "v_img") + """select b.pixel_id, B05, dn%256 as mask_dn from v_band b join v_img m on m.sample_id=b.patch and m.idx=b.pixel_id%64 where m.sample_id%50 not in (3,4)""")
+def pair_scan(spark, sf):
+    """Pixels of image and mask side by side: both files of a sample decoded, joined by sample and place."""
+    images = AR.band_pixels(AR.decode_arrays(npy_images(spark, sf), (12, 8, 8), "uint16").rows, ["path"], BANDS, 8, 8)
+    masks = AR.mask_pixels(AR.decode_arrays(npy_files(spark, sf), (1, 8, 8), "uint8").rows, ["path"], width=8)
+    both = images.join(masks.select("path", F.col("row"), F.col("col"), F.col("dn").alias("mask_dn")), ["path", "row", "col"])
+    return both.select((F.col("path").cast("bigint") * 64 + F.col("pixel")).alias("pixel_id"), "B05", "mask_dn")
+
+
 @BOOK.add("s02_patch_rejects", """select case when vec_id%50=3 then 'unreadable' else 'dtype' end as rule, vec_id::varchar as key from embeddings where vec_id%50 in (3,4)""")
 def patch_rejects(spark, sf):
     return AR.decode_arrays(npy_files(spark, sf), (1, 8, 8), "uint8").violations.select("rule", "key")

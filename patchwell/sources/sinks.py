@@ -49,6 +49,24 @@ def export(df: DataFrame, path: str, fmt: str = "csv", allow_empty: bool = False
     writer.format(fmt).save(path)
 
 
+def write_named_csv(df: DataFrame, path: str, by: str, suffix: str) -> None:
+    """One CSV file with a header for each value of ``by``, called ``<value><suffix>``; the values must be few.
+
+    Spark writes the files; only their names are set afterwards, through the file system of the path.
+    """
+    spark = df.sparkSession
+    df.repartition(by).withColumn("_name", F.col(by)).write.partitionBy("_name").option("header", True).csv(path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(Path(path)):
+        name = folder.getPath().getName()
+        if name.startswith("_name="):
+            parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            for n, part in enumerate(parts):
+                fs.rename(part, Path(f"{path}/{name.removeprefix('_name=')}{f'.{n}' if n else ''}{suffix}"))
+            fs.delete(folder.getPath(), True)
+
+
 def cache_predictions(df: DataFrame, path: str, by: tuple[str, ...] = ("experiment_id", "partition")) -> DataFrame:
     """Store predictions by model and partition and read them back, pruned by either.
 
