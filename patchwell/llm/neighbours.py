@@ -164,21 +164,31 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
     data = index.select("rep", "v", F.posexplode(keyed(shape.blocks, "array<long>", False)).alias("curve", "block"))
     probes = (distinct_queries.select(F.col("rep").alias("q"), "v", F.posexplode(keyed(shape.blocks, "array<long>", True)).alias("curve", "home"))
-              .withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("home") - width), F.least(F.lit(blocks), F.col("home") + width)))).drop("home"))
+              .withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("home") - width), F.least(F.lit(blocks), F.col("home") + width)))))
 
     def search(block: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block) and len(probe):
-            x, ids, q, names = matrix(block["v"]).T, block["rep"].to_numpy(), matrix(probe["v"]), probe["q"].to_numpy()
+            x, ids, q, names, floor = matrix(block["v"]).T, block["rep"].to_numpy(), matrix(probe["v"]), probe["q"].to_numpy(), probe["floor"].to_numpy()
             for i in range(0, len(q), 256):
                 score = q[i:i + 256] @ x
                 row, col = best(score, ids, k + 1)
-                out.append(pd.DataFrame({"q": names[i + row], "rep": ids[col], "score": score[row, col]}))
+                good = score[row, col] >= floor[i + row] - 1e-9 * abs(floor[i + row])
+                out.append(pd.DataFrame({"q": names[i + row[good]], "rep": ids[col[good]], "score": score[row[good], col[good]]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "score": []})
 
-    found = data.groupBy("curve", "block").cogroup(probes.groupBy("curve", "block")).applyInPandas(search, "q long, rep long, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    best_reps = found.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(f"n <= {k + 1}").select("q", "rep")
+    def found(some: DataFrame) -> DataFrame:
+        return data.groupBy("curve", "block").cogroup(some.groupBy("curve", "block")).applyInPandas(search, "q long, rep long, score double")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+        return rows.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(f"n <= {k + 1}")
+
+    # The blocks of the queries' own keys come first: what the others find below their last place cannot count any more.
+    first = materialize(merged(found(probes.where("block = home").withColumn("floor", F.lit(-np.inf)))), "first")
+    floors = first.where(f"n = {k + 1}").select("q", F.col("score").alias("floor"))
+    rest = probes.where("block != home").join(floors, "q", "left").fillna(-1.7e308, "floor")
+    best_reps = merged(first.drop("n").unionByName(found(rest))).select("q", "rep")
     rerank = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
     pairs = (best_reps.join(index, "rep").join(distinct_queries.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q")
              .select("q", "ids", rerank.alias("score")))
