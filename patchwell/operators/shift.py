@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +93,22 @@ def near_vectors(left: DataFrame, right: DataFrame, left_vec: str, right_vec: st
     return out.where(F.col("distance") <= radius).drop("_ca", "_cb", "_ma", "_mb", "_la", "_lb")
 
 
-def appearance_exposure(rows: DataFrame, sample: str, vec: str, split: str = "split", radius: float = 0.001) -> DataFrame:
-    """Per test sample: exact distance to its nearest train sample when that is within the radius, else NULL."""
+def appearance_exposure(rows: DataFrame, sample: str, vec: str, split: str = "split", radius: float = 0.001, growth: float = 4.0) -> DataFrame:
+    """Per test sample: exact distance to its nearest train sample, and whether that is within the radius.
+
+    Cells of the radius find the look-alikes; only tests without one are tried again with wider cells, until each has
+    a train sample within them. NULL only where there is no train sample.
+    """
     vectors = rows.groupBy(split, vec).agg(F.count(F.lit(1)).alias("_n"))
     test = vectors.where(F.col(split) == "test").select(F.col(vec).alias("_t"))
     train = vectors.where(F.col(split) == "train").select(F.col(vec).alias("_r"))
-    nearest = near_vectors(test, train, "_t", "_r", radius, "mae").groupBy("_t").agg(F.min("distance").alias("distance"))
+    left, train, rounds, reach = cut_lineage(test), cut_lineage(train), [], radius
+    while not rounds or not (left.isEmpty() or train.isEmpty()):
+        rounds.append(cut_lineage(near_vectors(left, train, "_t", "_r", reach, "mae").groupBy("_t").agg(F.min("distance").alias("distance"))))
+        left, reach = cut_lineage(left.join(rounds[-1], "_t", "left_anti")), reach * growth
+    nearest = reduce(DataFrame.unionByName, rounds)
     tests = rows.where(F.col(split) == "test").select(sample, F.col(vec).alias("_t"))
-    return tests.join(nearest, "_t", "left").select(sample, F.col("distance").alias("nearest_distance"), F.col("distance").isNotNull().alias("exposed"))
+    return tests.join(nearest, "_t", "left").select(sample, F.col("distance").alias("nearest_distance"), F.coalesce(F.col("distance") <= radius, F.lit(False)).alias("exposed"))
 
 
 def close_pairs(rows: DataFrame, sample: str, vec: str, radius: float) -> DataFrame:

@@ -74,25 +74,28 @@ def wasserstein(spark, sf):
 
 
 _THUMB = with_views("v_img").rstrip() + """,
-th as (select sample_id, "row"//2*4+col//2 as k, avg(dn)/10000 as m from v_img group by 1,2),
-sp as (select sample_id, case when substr(sha256('35042:'||sample_id),1,1) in ('0','1','2') then 'test' when substr(sha256('35042:'||sample_id),1,1) in ('3','4') then 'validation' else 'train' end as split from v_img group by 1)
+th0 as (select sample_id, "row"//2*4+col//2 as k, avg(dn)/10000 as m from v_img group by 1,2),
+th as (select * from th0 union all select sample_id+1000000, k, m+0.0004::double from th0 where sample_id%10=0),
+sp as (select sample_id, case when substr(sha256('35042:'||sample_id),1,1) in ('0','1','2') then 'test' when substr(sha256('35042:'||sample_id),1,1) in ('3','4') then 'validation' else 'train' end as split from th group by 1)
 """
 
 
 def thumbnails(spark, sf):
+    """Block means of every image, and a slightly brighter copy of every tenth."""
     t = profiles.block_thumbnails(image(spark, sf), ["sample_id"], "dn", block=2)
-    return t.withColumn("split", split_of(F.col("sample_id").cast("string")))
+    copies = t.where("sample_id % 10 = 0").select((F.col("sample_id") + 1_000_000).alias("sample_id"), F.transform("thumbnail", lambda m: m + 0.0004).alias("thumbnail"))
+    return t.select("sample_id", "thumbnail").unionByName(copies).withColumn("split", split_of(F.col("sample_id").cast("string")))
 
 
 @BOOK.add("j12_appearance_exposure", _THUMB + """, d as (select t.sample_id, r.sample_id as r, avg(abs(t.m-r.m)) as d from th t join sp a on a.sample_id=t.sample_id and a.split='test' join th r on r.k=t.k join sp b on b.sample_id=r.sample_id and b.split='train' group by 1,2)
-select sample_id, case when min(d)<=0.03 then round(min(d),6) end as nearest_distance, min(d)<=0.03 as exposed from d group by 1""")
+select sample_id, round(min(d),6) as nearest_distance, min(d)<=0.001 as exposed from d group by 1""")
 def exposure(spark, sf):
-    out = shift.appearance_exposure(thumbnails(spark, sf), "sample_id", "thumbnail", radius=0.03)
+    out = shift.appearance_exposure(thumbnails(spark, sf), "sample_id", "thumbnail", radius=0.001)
     return out.withColumn("nearest_distance", r6(F.col("nearest_distance")))
 
 
 @BOOK.add("j13_close_pairs_rmse", _THUMB + """, v as (select sample_id, list(m order by k) as v from th group by 1), u as (select v, min(sample_id) as id, count(*) as n from v group by 1), w as (select id, n, unnest(v) as m, generate_subscripts(v,1) as k from u)
-select a.id as sample_a, b.id as sample_b, any_value(a.n) as copies_a, any_value(b.n) as copies_b, round(sqrt(avg((a.m-b.m)**2)),6) as rmse from w a join w b on a.k=b.k and a.id<b.id group by 1,2 having sqrt(avg((a.m-b.m)**2))<=0.035""")
+select a.id as sample_a, b.id as sample_b, any_value(a.n) as copies_a, any_value(b.n) as copies_b, round(sqrt(avg((a.m-b.m)**2)),6) as rmse from w a join w b on a.k=b.k and a.id<b.id group by 1,2 having sqrt(avg((a.m-b.m)**2))<=0.001""")
 def close_pairs(spark, sf):
-    out = shift.close_pairs(thumbnails(spark, sf), "sample_id", "thumbnail", 0.035)
+    out = shift.close_pairs(thumbnails(spark, sf), "sample_id", "thumbnail", 0.001)
     return out.withColumn("rmse", r6(F.col("rmse")))
