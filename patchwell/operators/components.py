@@ -34,8 +34,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "key"
     """Smallest member key of each vertex's component.
 
     Vertices are ordered by a hash, so chains to a local minimum stay short whatever the keys.
-    Each round sends every vertex to its smallest neighbour, follows that pointer twice more,
-    and relabels the edges; loops drop out, so the edge table shrinks by a factor per round.
+    Each round sends every vertex to its smallest neighbour, follows that pointer once more, and
+    relabels the edges; loops drop out, so the edge table shrinks by a factor per round. The edges
+    are the only thing written per round; labels follow from them when they are asked for.
     """
     def name(c: Column) -> Column:
         return F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), c)
@@ -46,9 +47,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "key"
     labels = vertices.select(key, name(F.col(key)).alias("label"))
     while not edges.isEmpty():
         parent = edges.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        for _ in range(2):
-            parent = cut_lineage(parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("g")), "p").select(
-                "a", F.col("g").alias("p")))
+        parent = parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("g")), "p").select("a", F.col("g").alias("p"))
         to = parent.select(F.col("a").alias("b"), F.col("p").alias("q"))
         edges = cut_lineage(edges.join(parent, "a").join(to, "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
                             .where(F.col("a") != F.col("b")).distinct())
