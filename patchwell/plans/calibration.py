@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..functions.probability import argmax, softmax
 from ..operators import calibration as C
 from ..operators.profiles import r6
 from .metrics import _KNOWN
@@ -34,17 +37,37 @@ def bins(spark, sf):
     return _rounded(_named(C.reliability_bins(known, _KEYS, _SETS, F.array_max("prob"), F.col("pred") == F.col("y"))))
 
 
-@BOOK.add("e08_calibration", _GROUPS + """, e as (select model, region, sum(n*abs(c-f))/sum(n) as ece from (select model, region, least(floor(conf*15),14) as bin, count(*) as n, avg(conf) as c, avg((pred=y)::int) as f from g group by 1,2,3) group by 1,2),
+_CALIBRATION = _GROUPS + """, e as (select model, region, sum(n*abs(c-f))/sum(n) as ece from (select model, region, least(floor(conf*15),14) as bin, count(*) as n, avg(conf) as c, avg((pred=y)::int) as f from g group by 1,2,3) group by 1,2),
 h as (select model, region, sum(n*abs(c-f))/sum(n) as high_ece from (select model, region, least(floor(p2*15),14) as bin, count(*) as n, avg(p2) as c, avg((y=2)::int) as f from g group by 1,2,3) group by 1,2)
 select model, region, count(*) as n, round(avg((pred=y)::int),6) as accuracy, round(avg((p0-(y=0)::int)**2+(p1-(y=1)::int)**2+(p2-(y=2)::int)**2),6) as brier,
   round(avg(-ln(least(greatest(case y when 0 then p0 when 1 then p1 else p2 end,1e-12),1-1e-12))),6) as nll, round(avg((p2-(y=2)::int)**2),6) as high_brier,
   round(avg(-case when y=2 then ln(least(greatest(p2,1e-12),1-1e-12)) else ln(1-least(greatest(p2,1e-12),1-1e-12)) end),6) as high_nll, count(*) filter (y=2) as high_support,
   count(*) filter (pred=2 and conf>=0.8) as high_confidence_predictions, round(count(*) filter (pred=2 and conf>=0.8 and y=2)/nullif(count(*) filter (pred=2 and conf>=0.8),0),6) as high_confidence_precision,
-  round(any_value(ece),6) as ece, round(any_value(high_ece),6) as high_ece from g join e using (model, region) join h using (model, region) group by 1,2""")
+  round(any_value(ece),6) as ece, round(any_value(high_ece),6) as high_ece from g join e using (model, region) join h using (model, region) group by 1,2"""
+
+
+@BOOK.add("e08_calibration", _CALIBRATION)
 def calibration(spark, sf):
     return _rounded(_named(C.calibration(predictions(spark, sf), _KEYS, _SETS).rows))
 
 
+TEMPERATURES = {"A": 1.5, "B": 0.8}  # fixed values: as fitted temperatures would be given
+_SCALED = _CALIBRATION.replace("from v_logit)", "from (select pixel, sample_id, region, partition, y, model, a/t as a, b/t as b, c/t as c from v_logit join (values " + ", ".join(
+    f"('{m}', {t}::double)" for m, t in TEMPERATURES.items()) + ") given(name, t) on name=model))")
+
+
+@BOOK.add("e08_calibration_modes", f"select 'raw' as mode, * from ({_CALIBRATION}) union all select 'temperature', * from ({_SCALED})")
+def calibration_modes(spark, sf):
+    """Raw and temperature-scaled records of every model side by side."""
+    known = logits(spark, sf)
+    t = reduce(lambda rest, m: F.when(F.col("model") == m, F.lit(TEMPERATURES[m])).otherwise(rest), TEMPERATURES, F.lit(1.0))
+    parts = []
+    for mode, by in (("raw", F.lit(1.0)), ("temperature", t)):
+        scaled = known.withColumn("prob", softmax(F.col("logits"), by)).withColumn("pred", argmax(F.col("prob")))
+        parts.append(_rounded(_named(C.calibration(scaled, _KEYS, _SETS).rows)).select(F.lit(mode).alias("mode"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 @BOOK.add("e08_confidence_quantiles", _GROUPS + "select model, region, count(*) as n, " + ", ".join(
     f"round(quantile_cont(conf,{q}),6) as {n}" for n, q in C.QUANTILES.items()) + " from g where region<>'pooled' group by 1,2")
 def quantiles(spark, sf):

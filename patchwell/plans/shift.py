@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.spectral import BANDS, INDEX_NAMES, SCALE, with_indices
+from ..operators import metrics as ME
 from ..operators import profiles, shift
 from ..operators.profiles import r6
 from .registry import Book
-from .views import bands, image, split_of, with_views
+from .views import bands, image, predictions, split_of, with_views
 
 BOOK = Book()
 NAMES = [*BANDS, *INDEX_NAMES]
@@ -47,6 +48,30 @@ def summaries(spark, sf):
     return out.select("pool", "feature", "n_finite", "n_undefined", r6(F.col("mean") + 1e-9).alias("mean"), *[r6(F.col(c)).alias(c) for c in ("std", *_Q)])
 
 
+_QC = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+
+
+@BOOK.add("a18_training_class_summaries", FEATURED + "select y, feature, count(*) as n_finite, " + ", ".join(f"round(quantile_cont(value,{q}),6) as {n}" for n, q in _QC.items()) + " from v_long where pool='Train' group by 1,2")
+def class_summaries(spark, sf):
+    """Quantiles of every feature per class in the training sample."""
+    train = shift.long_features(pooled(spark, sf).where(F.col("pool") == "Train"), ["y"], NAMES)
+    return shift.feature_summaries(train, ["y"], _QC).select("y", "feature", "n_finite", *[r6(F.col(c)).alias(c) for c in _QC])
+
+
+@BOOK.add("e13_shift_against_high_f1", FEATURED.rstrip() + """, st as (select pool, feature, avg(value) as m, stddev_pop(value) as s from v_long group by 1,2),
+sc as (select p.pool as region, round(avg(abs((p.m-t.m)/greatest(t.s,1e-8))),6) as shift from st p join st t on t.pool='Train' and t.feature=p.feature where p.pool not in ('Train','Validation') group by 1),
+""" + with_views("v_pred").strip().removeprefix("with ") + """, f as (select model, region, round(coalesce(2.0::double*count(*) filter (y=2 and pred=2)/nullif(count(*) filter (y=2)+count(*) filter (pred=2),0),0),6) as high_f1 from v_pred where y is not null group by 1,2),
+rk as (select model, rank() over (partition by model order by shift) + (count(*) over (partition by model, shift)-1)/2.0::double as ra, rank() over (partition by model order by high_f1) + (count(*) over (partition by model, high_f1)-1)/2.0::double as rb from f join sc using (region))
+select model, round(corr(ra, rb),6) as spearman from rk group by 1""")
+def shift_against_f1(spark, sf):
+    """Rank correlation over the regions between the mean absolute shift of their features and High F1."""
+    apart = shift.standardized_differences(long(spark, sf), "pool", "Train").where("pool != 'Validation'")
+    score = apart.groupBy(F.col("pool").alias("region")).agg(r6(F.avg(F.abs("standardized_difference"))).alias("shift"))
+    keys = ["model", "region"]
+    f1 = ME.metrics(ME.confusion(predictions(spark, sf), keys).rows, keys).select(*keys, r6(F.col("high_f1")).alias("high_f1"))
+    return ME.spearman(f1.join(score, "region"), ["model"], "shift", "high_f1").withColumn("spearman", r6(F.col("spearman")))
+
+
 _SMD = "select p.pool, p.feature, p.n, t.n as base_n, round((p.m-t.m)/greatest(t.s,1e-8),6) as standardized_difference"
 
 

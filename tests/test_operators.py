@@ -356,3 +356,10 @@ def test_positions_and_neighbours_belong_to_a_subtile_and_date(rows):
     data = [("g", "s1", 0, 0, d(2020, 1, 1), "x"), ("g", "s1", 0, 64, d(2020, 1, 1), "y"), ("g", "s2", 0, 0, d(2020, 1, 9), "x"), ("g", "s2", 64, 64, d(2020, 2, 9), "z")]
     out = pools.independence(rows(data, "g string, subtile_id string, patch_row int, patch_col int, day date, content string"), "g", "content").first()
     assert (out.high_patches, out.positions, out.positions_repeated, out.high_patches_with_neighbor, out.identical_extra_patches) == (4, 4, 0, 2, 1)
+
+
+def test_range_locator(rows):
+    doc = '{"run": {"test_groups": {"r1": {"per_class": [{"f1": 0.1}, {"f1": 0.2}, {"f1": 0.75}]}, "r2": {"per_class": [{"f1": 0.1}, {"f1": 0.2}, {"f1": 0.25}]}}}, "samples": [1, 2]}'
+    claims = rows([("d", "regional_high_range:run", "[0.25,0.75]"), ("d", "regional_high_range:none", "[0.25,0.75]"), ("d", "len(samples)", "2"), ("x", "len(samples)", "2")], "source string, locator string, recorded string")
+    out = audit.provenance_check(claims, rows([("d", doc)], "source string, document string")).collect()
+    assert sorted((r.locator, r.status) for r in out) == [("len(samples)", "SOURCE_MISSING"), ("len(samples)", "VERIFIED"), ("regional_high_range:none", "LOCATOR_MISSING"), ("regional_high_range:run", "VERIFIED")]
