@@ -6,7 +6,7 @@ import xxhash
 from conftest_llm import SF, SF2
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from patchwell.llm import language_id, licenses, neighbours, quality, queries, simhash, token_counts
+from patchwell.llm import language_id, licenses, minhash, neighbours, quality, queries, simhash, token_counts
 from patchwell.llm.bytecnn import ByteConvNet, cut_windows
 from patchwell.llm.common import components, held_out
 from pyspark.sql import functions as F
@@ -235,3 +235,58 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(k for k, f in texts.items() if root[f] == g) for g in set(root.values()))
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in out} <= set(texts) and len({(r["doc_id"], r["piece"]) for r in out}) == len(out)
+
+
+def jaccard_roots(texts):
+    """Smallest id of each document's component under a five-word Jaccard similarity of 0.8 or more."""
+    cut = {k: (t or "").encode().lower().split() for k, t in texts.items()}
+    sets = {k: {tuple(p[i:i + 5]) for i in range(max(1, len(p) - 4))} if p else set() for k, p in cut.items()}
+    root = {}
+    for k in sorted(texts):
+        if k not in root:
+            front, root[k] = [k], k
+            while front:
+                at = front.pop()
+                for o in texts:
+                    if o not in root and (5 * len(sets[at] & sets[o]) >= 4 * len(sets[at] | sets[o])):
+                        root[o] = k
+                        front.append(o)
+    return root
+
+
+def test_near_dedup_stage_drops_all_near_copies(spark, odd, none):
+    import corpus_pipeline
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = jaccard_roots({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == sorted(set(want.values()))
+    kept = stage(spark, odd, SF)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 9, 10, 11] and kept.columns == odd.columns
+    assert stage(spark, none, SF).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_minhash_links_chains(spark, block):
+    """Chains whose ends are not alike, and look-alikes just under the bound; small ``block`` cuts places into many units."""
+    rng, texts = np.random.default_rng(8), {}
+    for c in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 10 ** 6, 120)]
+        for _ in range(25):
+            words = list(words)
+            for i in rng.integers(0, 120, rng.integers(1, 4)):
+                words[i] = f"x{rng.integers(0, 10 ** 6)}"
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = []
+    sets = {k: minhash.shingles(t) for k, t in texts.items()}
+    for b in range(minhash.BANDS):
+        places = {}
+        for k, s in sets.items():
+            places.setdefault(int(minhash.bands(s)[b]), []).append(k)
+        members += [(b, v, k, min(m), len(m)) for v, m in places.items() if len(m) > 1 for k in m]
+    edges = minhash.links(spark.createDataFrame(members, "band int, value long, fp long, least long, n long"),
+                          spark.createDataFrame([(k, s.tobytes()) for k, s in sets.items()], "fp long, hashes binary"), block=block)
+    found = {r["node"]: r["root"] for r in components(edges).collect()}
+    want = jaccard_roots(texts)
+    assert {k: found.get(k, k) for k in texts} == want
+    assert sorted(r["doc_id"] for r in minhash.deduplicated(docs).collect()) == sorted(set(want.values()))
