@@ -4,6 +4,10 @@ The network is trained in numpy on a bounded sample of labelled texts (``sample`
 each) on the driver; its few thousand weights travel with the task. Every window of every text is scored, in batches;
 a text's probabilities are the mean over its windows.
 
+Probabilities over the learned languages sum to 1 for any text, and hexadecimal digits may get 0.99 of them. So what
+``accepted`` keeps is decided by a second measure: the mean log probability of the bytes of the whole text, each after
+the one before it, in the language that the network found. Its bound leaves the share ``stay`` of the labelled sample.
+
 Defined results: a null text, an empty one and one without letters get ``und`` and score 0; repeated rows get equal
 answers; an empty table gives an empty result; other columns are not read. Training needs at least one labelled text.
 """
@@ -28,6 +32,16 @@ WINDOW, HOP = 256, 252  # the hop leaves out the last places only where no filte
 class LanguageModel:
     net: ByteConvNet
     languages: list[str]
+    pairs: np.ndarray  # (languages, 256 x 256): log probability of a byte after another
+    bound: float = -np.inf
+
+    def fits(self, texts: list[str | None], languages: list[str]) -> np.ndarray:
+        """Mean log probability of each whole text's bytes in its language; minus infinity without one."""
+        out = np.full(len(texts), -np.inf)
+        for i, (t, lang) in enumerate(zip(texts, languages, strict=True)):
+            if lang != UNKNOWN:
+                out[i] = self.pairs[self.languages.index(lang)][byte_pairs(t.encode())].mean()
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         import regex
@@ -40,9 +54,15 @@ class LanguageModel:
         return [(self.languages[b], float(min(1.0, p[i, b]))) if known[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
 
 
+def byte_pairs(text: bytes) -> np.ndarray:
+    """The number of each pair of neighbouring bytes; a blank stands before the first."""
+    b = np.frombuffer(b" " + text, np.uint8).astype(np.int64)
+    return b[:-1] * 256 + b[1:]
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000,
-          per_text: int = 6, steps: int = 1500) -> LanguageModel:
-    """``labelled``: rows to learn from; those without text or language are left out."""
+          per_text: int = 6, steps: int = 1500, stay: float = 0.999) -> LanguageModel:
+    """``labelled``: rows to learn from; those without text or language are left out. ``stay``: the share of the sample that ``accepted`` would keep."""
     rows = bounded_sample(labelled.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
                           .where("text is not null and lang is not null"), id_col, sample)
     languages = sorted({r["lang"] for r in rows})
@@ -56,7 +76,23 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = np.bincount(y, minlength=len(languages)) / max(1, len(y))
     net = ByteConvNet(classes=len(languages), widths=(2, 3, 4, 5), filters=10)
     net.fit(windows, y, (1 / np.sqrt(np.maximum(share, 1e-9)))[y], steps=steps)
-    return LanguageModel(net, languages)
+    counts = np.full((len(languages), 256 * 256), 0.1)
+    for t, y in zip(texts, labels, strict=True):
+        counts[y] += np.bincount(byte_pairs(t), minlength=256 * 256)
+    pairs = counts.reshape(-1, 256, 256)
+    model = LanguageModel(net, languages, np.log(pairs / pairs.sum(2, keepdims=True)).reshape(len(languages), -1).astype(np.float32))
+    # each text is measured without its own part in the counts, as texts that were never learned are
+    fits = []
+    for t, y, (lang, _) in zip(texts, labels, model.predict([r["text"] for r in rows]), strict=True):
+        if lang == UNKNOWN:
+            continue
+        own, n = np.unique(byte_pairs(t), return_counts=True)
+        rest, of = pairs[languages.index(lang)], own // 256
+        mine = n * (lang == languages[y])
+        total = rest.sum(1)[of] - np.bincount(of, mine, 256)[of]
+        fits.append(np.dot(n, np.log((rest.ravel()[own] - mine) / total)) / n.sum())
+    model.bound = float(np.quantile(fits, 1 - stay, method="lower")) if fits else -np.inf
+    return model
 
 
 def verdict(model: LanguageModel, text: Column, batch: int = 256) -> Column:
@@ -74,6 +110,15 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias(id_col), verdict(model, F.col(text_col)).alias("v")).select(id_col, "v.lang_pred", "v.score")
 
 
-def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The documents with a language likelier than an even guess among all, all their columns as they are."""
-    return docs.where(verdict(model, F.col(text_col))["score"] > 1 / max(2, len(model.languages)))
+def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text", batch: int = 256) -> DataFrame:
+    """The documents with letters whose bytes fit the language found, all their columns as they are."""
+    @F.pandas_udf("boolean")
+    def fit(texts: pd.Series) -> pd.Series:
+        out = [np.zeros(0, bool)]
+        for i in range(0, len(texts), batch):
+            part = list(texts[i:i + batch])
+            fits = model.fits(part, [g[0] for g in model.predict(part)])
+            out.append((fits >= model.bound) & np.isfinite(fits))
+        return pd.Series(np.concatenate(out))
+
+    return docs.where(fit(F.col(text_col)))

@@ -290,3 +290,17 @@ def test_minhash_links_chains(spark, block):
     want = jaccard_roots(texts)
     assert {k: found.get(k, k) for k in texts} == want
     assert sorted(r["doc_id"] for r in minhash.deduplicated(docs).collect()) == sorted(set(want.values()))
+
+
+def test_letters_that_are_no_language_go(spark):
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    model = language_id.train(docs.where(~held_out()), steps=400)
+    rng = np.random.default_rng(2)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    junk = [draw("0123456789abcdef", 64), draw("0123456789abcdef", 2000), " ".join(draw("0123456789abcdef", 8) for _ in range(40)),
+            "\n".join(draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3) + "-" + draw("0123456789", 5) for _ in range(40)), draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 400)]
+    rows = spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string")
+    assert language_id.identify(rows, model).where("score > 1 / 4").count() == len(junk)  # the network alone would keep them
+    assert language_id.accepted(rows, model).count() == 0
+    clean = docs.where(held_out()).join(spark.read.parquet(f"{SF2}/labels.parquet").where("quality = 1"), "doc_id", "left_semi")
+    assert language_id.accepted(clean, model).count() >= 0.98 * clean.count()  # 74 of 75
