@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def hash_bucket(hex_hash: Column, digits: int = 4) -> Column:
     """Leading hex digits: uniform and ordered like the hash itself."""
@@ -50,6 +52,22 @@ def range_bucket(df: DataFrame, column: str, buckets: int = 128, sample: int = 2
     return tree(0, len(knots))
 
 
+def ordered_rank(df: DataFrame, order: list[Column | str], out: str = "rank") -> DataFrame:
+    """Zero-based rank of every row in ``order``: range partitions, each sorted, carry one number, the rows of those before.
+
+    Spark draws the bounds of the partitions, as many as the session's shuffle partitions; equal rows are spread by
+    their place in the input. The sorted rows are checkpointed, so both uses see the same partitions. Only one row per
+    partition is broadcast.
+    """
+    tie = F.monotonically_increasing_id()
+    placed = df.withColumn("_tie", tie).repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie"))
+    placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()).drop("_tie"))
+    placed = placed.withColumns({"_part": F.shiftrightunsigned("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def running_totals(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column], bucket: Column,
                    totals: dict[str, str] | None = None, descending: bool = False) -> DataFrame:
     """Inclusive running sums (``out name -> amount``) per key in ``order``, from one pair of passes.
