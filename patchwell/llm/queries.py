@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, fingerprints, language_id, licenses, neighbours, packing, quality, sharding, simhash, suffixes, token_counts
+from . import bpe, fingerprints, language_id, licenses, neighbours, packing, quality, repair, sharding, simhash, suffixes, token_counts, tries
 from .common import crc32, held_out, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op2_token_rollup, op3_best_fit_packing, op4_quality, op5_license_scan, op6_histogram_shards, op7_lookup_sketch, op8_hilbert_neighbours, op9_simhash, op10_bpe_codec, op11_suffix_dedup)}
+    op1_language_id, op2_token_rollup, op3_best_fit_packing, op4_quality, op5_license_scan, op6_histogram_shards, op7_lookup_sketch, op8_hilbert_neighbours, op9_simhash, op10_bpe_codec, op11_suffix_dedup,
+    op12_prefix_trie, op13_structure_repair)}
 SQL: dict[str, str] = {"op2_token_rollup": OP2_SQL}

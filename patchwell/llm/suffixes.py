@@ -95,26 +95,26 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
     """(k1, k2, pos, gram, hull, low, high): the anchors of each text and the depths of their strings inside the text."""
+    def frame(found: list) -> pd.DataFrame:
+        k1, k2, size, count = (np.array(x) for x in zip(*((k1, k2, n, len(at)) for k1, k2, n, (at, _, _) in found), strict=True))
+        at, gram, hull = (np.concatenate(x) for x in zip(*(x[3] for x in found), strict=True))
+        return pd.DataFrame({"k1": k1.repeat(count), "k2": k2.repeat(count), "pos": at, "gram": gram.view(np.int64), "hull": hull.view(np.int64),
+                             "low": np.maximum(0, LENGTH - (size.repeat(count) - at)), "high": np.minimum(DEPTHS - 1, at)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n = [], 0
         for f in frames:
             for k1, k2, text in zip(f["k1"], f["k2"], f["text"], strict=True):
                 raw = text.encode()
-                at, gram, hull = anchors(raw)
-                yield pd.DataFrame({"k1": k1, "k2": k2, "pos": at, "gram": gram.view(np.int64), "hull": hull.view(np.int64),
-                                    "low": np.maximum(0, LENGTH - (len(raw) - at)), "high": np.minimum(DEPTHS - 1, at)})
-
-    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for f in run(frames):
-            held.append(f)
-            n += len(f)
-            if n >= 20_000:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
+                found.append((k1, k2, len(raw), anchors(raw)))
+                n += len(found[-1][3][0])
+                if n >= 20_000:
+                    yield frame(found)
+                    found, n = [], 0
+        if found:
+            yield frame(found)
 
-    return texts.mapInPandas(gathered, "k1 long, k2 int, pos long, gram long, hull long, low int, high int")
+    return texts.mapInPandas(run, "k1 long, k2 int, pos long, gram long, hull long, low int, high int")
 
 
 class Surroundings:
@@ -264,50 +264,62 @@ def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k1, k2, pos, cut): the bytes from ``high`` before an anchor to LENGTH after it, as far as the text goes; one text of each name."""
     asked = wanted.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("pos", "high"))).alias("asked"))
 
+    def frame(found: list) -> pd.DataFrame:
+        k1, k2, pos, cuts = zip(*found, strict=True)
+        count = [len(p) for p in pos]
+        return pd.DataFrame({"k1": np.repeat(k1, count), "k2": np.repeat(k2, count), "pos": np.concatenate(pos), "cut": [c for cut in cuts for c in cut]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n = [], 0
         for f in frames:
-            for k1, k2, text, asked in zip(f["k1"], f["k2"], f["text"], f["asked"], strict=True):
+            for k1, k2, text, pos, high in zip(f["k1"], f["k2"], f["text"], f["pos"], f["high"], strict=True):
                 raw = text.encode()
-                at = [a["pos"] for a in asked]
-                yield pd.DataFrame({"k1": k1, "k2": k2, "pos": at, "cut": [raw[a["pos"] - a["high"]:a["pos"] + LENGTH] for a in asked]})
-
-    cut = texts.join(asked, ["k1", "k2"]).mapInPandas(run, "k1 long, k2 int, pos long, cut binary")
+                found.append((k1, k2, pos, [raw[p - h:p + LENGTH] for p, h in zip(pos.tolist(), high.tolist(), strict=True)]))
+                n += len(pos)
+                if n >= 10_000:
+                    yield frame(found)
+                    found, n = [], 0
+        if found:
+            yield frame(found)
+
+    cut = texts.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked.pos", "asked.high").mapInPandas(run, "k1 long, k2 int, pos long, cut binary")
     return cut.groupBy("k1", "k2", "pos").agg(F.first("cut").alias("cut"))
 
 
-def removed_spans(places: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by the strings of ``places`` (rows of pos, low, high)."""
-    out: list[list[int]] = []
-    for a, b in sorted((int(p - high), int(p - low + LENGTH)) for p, low, high in places):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def removed_spans(pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs covered by the strings around anchors."""
+    order = np.argsort(pos - high, kind="stable")
+    start, reach = (pos - high)[order], np.maximum.accumulate((pos - low + LENGTH)[order])
+    new = np.r_[True, start[1:] > reach[:-1]]
+    return start[new], reach[np.r_[new[1:], True]]
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 4096) -> DataFrame:
-    """(id, n_bytes, spans, kept): the removed byte ranges of each whole text and the bytes that stay."""
+    """(id, n_bytes, starts, ends, kept): the removed byte ranges of each whole text and the bytes that stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
     cover = repeated_depths(texts.select("k1", "k2", "text"), crowd).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "low", "high")).alias("places"))
 
+    def cut(text: str, pos, low, high) -> tuple:
+        raw = text.encode()
+        if pos is None:
+            return len(raw), [], [], raw
+        starts, ends = removed_spans(pos, low, high)
+        kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True))
+        return len(raw), starts, ends, kept
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for key, text, places in zip(f[id_col].astype("Int64").to_numpy(dtype=object, na_value=None), f["text"], f["places"], strict=True):
-                raw, at, kept = text.encode(), 0, []
-                spans = removed_spans([(p["pos"], p["low"], p["high"]) for p in places], len(raw)) if places is not None else []
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                yield pd.DataFrame({id_col: pd.Series([key], dtype="Int64"), "n_bytes": len(raw), "spans": [[{"start": a, "end": b} for a, b in spans]],
-                                    "kept": [b"".join(kept) + raw[at:]]})
+            for at in range(0, len(f), 500):
+                part = f.iloc[at:at + 500]
+                size, starts, ends, kept = zip(*map(cut, part["text"], part["pos"], part["low"], part["high"]), strict=True)
+                yield pd.DataFrame({id_col: part[id_col].astype("Int64").to_numpy(dtype=object, na_value=None), "n_bytes": size, "starts": starts, "ends": ends, "kept": kept})
 
-    joined = texts.join(materialize(cover, "cover"), ["k1", "k2"], "left").select(id_col, "text", "places")
-    return joined.mapInPandas(run, f"{id_col} long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    joined = texts.join(materialize(cover, "cover"), ["k1", "k2"], "left").select(id_col, "text", *[F.col(f"places.{c}").alias(c) for c in ("pos", "low", "high")])
+    return joined.mapInPandas(run, f"{id_col} long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of ``deduplicated``."""
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return found.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select(id_col, "n_bytes", (total("ends") - total("starts")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
