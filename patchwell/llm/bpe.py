@@ -3,6 +3,8 @@
 All new words of a batch lie in one flat array of symbol ids. A round looks up the rank of every adjacent pair by
 binary search over the sorted pair keys, finds the lowest rank of each word and merges its occurrences from the
 left, in all words at once; it ends when no word has a known pair left. Words met before come from a bounded memory.
+A word of more than ``LONG`` bytes goes by itself: its places wait in one list per rank, and a round takes the lowest
+list and looks up only the pairs that the merges made, so the work follows the merges, not rounds times length.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; repeated rows
 give equal rows; an empty table gives an empty result; other columns are not read.
@@ -11,6 +13,7 @@ give equal rows; an empty table gives an empty result; other columns are not rea
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.iinfo(np.int64).max
+LONG = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -125,8 +129,52 @@ class WordBpe:
         flat, bounds = flat[order], np.r_[0, np.cumsum(np.bincount(who, minlength=len(words)))]
         return flat, bounds
 
+    def merge_long(self, word: str) -> np.ndarray:
+        """Ids of one long word: the same rounds, over places linked to the next and the one before."""
+        data = np.frombuffer(word.encode(), np.uint8)
+        n, ids = len(data), self.inner[data]
+        ids[-1] = self.last[data[-1]]
+        after, before, waiting, ranks = np.arange(1, n + 1), np.arange(-1, n - 1), {}, []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            rank = self.pair_ranks(ids[at], ids[after[at]])
+            order = np.argsort(rank, kind="stable")
+            order = order[:np.searchsorted(rank[order], NONE)]
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for part, r in zip(np.split(at, cuts), rank[np.r_[0, cuts]].tolist() if len(rank) else [], strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        gone = np.zeros(n, bool)
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[~gone[at] & (after[at] < n)]
+            at = at[self.pair_ranks(ids[at], ids[after[at]]) == r]
+            if not len(at):
+                continue
+            place = np.arange(len(at))  # a run of overlapping pairs merges at every second place from its start
+            begin = np.maximum.accumulate(np.where(np.r_[True, at[1:] != after[at[:-1]]], place, 0))
+            at = at[(place - begin) % 2 == 0]
+            right = after[at]
+            gone[right], ids[at], after[at] = True, self.merged[r], after[right]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left = before[at]
+            wait(np.unique(np.concatenate([left[left >= 0], at])))
+        return ids[~gone]
+
     def learn(self, words: list[str]) -> None:
         """Remember for each word: count of ids, ids as text, decoded text."""
+        for w in (w for w in words if len(w) > LONG):
+            ids = self.merge_long(w).tolist()
+            self.known[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+        words = [w for w in words if len(w) <= LONG]
         flat, bounds = self.merge(words)
         names = [self.names[i] for i in flat.tolist()]
         flat, bounds = list(map(str, flat.tolist())), bounds.tolist()
@@ -165,6 +213,9 @@ class WordBpe:
         for words in cut:
             got = [known[w] for w in words]
             out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), self.decode_names([g[2] for g in got])))
+        for w in new:
+            if len(w) > LONG:  # the memory counts words, not bytes
+                del known[w]
         return out
 
     def decode_names(self, names: list[str]) -> str:

@@ -36,7 +36,7 @@ class ByteConvNet:
     widths: tuple[int, ...] = (2, 3, 4, 5)
     filters: int = 12
     dims: int = 8
-    stride: int = 2
+    stride: int = 1
     seed: int = 1
     parts: dict[str, np.ndarray] = field(default_factory=dict)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -38,6 +38,20 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
     return df.where(F.pmod(place, F.lit(of)) < int(share * of)).orderBy(F.pmod(place, F.lit(of)), place, key).limit(rows).collect()
 
 
+def bounded_sample_by(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows in all, shared out evenly over the values of ``group``: of each the first in hash order of ``key``.
+
+    Only the share of the hashes that holds a little more than these is ranked, so little more than these move.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("__n")).orderBy(group).limit(rows)
+    each = max(1, rows // max(1, counts.count()))
+    place, of = F.xxhash64(F.col(key), F.lit(7)), 1 << 30
+    share = F.least(F.lit(1.0), (1.2 * each + 100) / F.col("__n"))
+    drawn = df.join(F.broadcast(counts), group).where(F.pmod(place, F.lit(of)) < share * of)
+    first = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(place, F.lit(of)), place, key))
+    return drawn.withColumn("__place", first).where(F.col("__place") <= each).drop("__n", "__place")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is connected to.
 

@@ -1,15 +1,17 @@
 """Language identification with a byte convolutional network over windows of fixed length.
 
-The network is trained in numpy on a bounded sample of labelled texts (``sample`` documents, ``per_text`` windows of
-each) on the driver; its few thousand weights travel with the task. Every window of every text is scored, in batches;
-a text's probabilities are the mean over its windows.
-
-Probabilities over the learned languages sum to 1 for any text, and hexadecimal digits may get 0.99 of them. So what
-``accepted`` keeps is decided by a second measure: the mean log probability of the bytes of the whole text, each after
-the one before it, in the language that the network found. Its bound leaves the share ``stay`` of the labelled sample.
-
-Defined results: a null text, an empty one and one without letters get ``und`` and score 0; repeated rows get equal
-answers; an empty table gives an empty result; other columns are not read. Training needs at least one labelled text.
+The network is trained in numpy on a bounded sample of labelled texts: ``sample`` documents, shared out over all labelled
+languages, and of each at most ``per_text`` windows, which are cut in the tasks; only windows reach the driver. Its few
+thousand weights travel with the task. Every window of every text is scored, in batches; a text's probabilities are
+the mean over its windows.
+
+One more class stands for no language. Its windows are made from the labelled ones (bytes in random order) and from
+alphabets of codes (hexadecimal, base 64, digits, all printable). ``identify`` picks among the languages alone;
+``accepted`` keeps what the network finds likelier to be in a language than not, with a bound that leaves the share
+``stay`` of the labelled sample.
+
+Defined results: a null text, an empty one and one without letters get ``und`` and score 0; so does every text where
+nothing is labelled; repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,77 +24,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteConvNet, cut_windows, mean_by, softmax
-from .common import bounded_sample
+from .common import bounded_sample_by
 
 UNKNOWN = "und"
 WINDOW, HOP = 256, 252  # the hop leaves out the last places only where no filter would fit
+#: Alphabets of texts in no language.
+CODES = (b"0123456789abcdef", b"0123456789ABCDEF", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", bytes(range(32, 127)),
+         b"0123456789 .,:;-_/|", b"abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass
 class LanguageModel:
-    net: ByteConvNet
+    net: ByteConvNet | None
     languages: list[str]
-    pairs: np.ndarray  # (languages, 256 x 256): log probability of a byte after another
-    bound: float = -np.inf
+    bound: float = 0.5
 
-    def fits(self, texts: list[str | None], languages: list[str]) -> np.ndarray:
-        """Mean log probability of each whole text's bytes in its language; minus infinity without one."""
-        out = np.full(len(texts), -np.inf)
-        for i, (t, lang) in enumerate(zip(texts, languages, strict=True)):
-            if lang != UNKNOWN:
-                out[i] = self.pairs[self.languages.index(lang)][byte_pairs(t.encode())].mean()
-        return out
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(has letters, probability of each language and, last, of none) of each text."""
         import regex
 
         letter = regex.compile(r"\p{L}")
-        known = [bool(t and letter.search(t)) for t in texts]
+        known = np.array([bool(t and letter.search(t)) and self.net is not None for t in texts], bool)
+        if not known.any():
+            return known, np.zeros((len(texts), len(self.languages) + 1))
         windows, owner = cut_windows([t.encode() if k else b"" for t, k in zip(texts, known, strict=True)], WINDOW, HOP)
-        p = mean_by(softmax(self.net.logits(windows)), owner, len(texts))
-        best = p.argmax(1)
-        return [(self.languages[b], float(min(1.0, p[i, b]))) if known[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
+        return known, mean_by(softmax(self.net.logits(windows)), owner, len(texts))
 
-
-def byte_pairs(text: bytes) -> np.ndarray:
-    """The number of each pair of neighbouring bytes; a blank stands before the first."""
-    b = np.frombuffer(b" " + text, np.uint8).astype(np.int64)
-    return b[:-1] * 256 + b[1:]
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        known, p = self.probabilities(texts)
+        if not known.any():
+            return [(UNKNOWN, 0.0)] * len(texts)
+        share = p[:, :-1] / np.maximum(p[:, :-1].sum(1, keepdims=True), 1e-30)
+        best = share.argmax(1)
+        return [(self.languages[b], float(min(1.0, share[i, b]))) if known[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
+
+    def stays(self, texts: list[str | None]) -> np.ndarray:
+        known, p = self.probabilities(texts)
+        return known & (p[:, -1] <= self.bound)
+
+
+def windows_of(text: Column, per_text: int) -> Column:
+    """At most ``per_text`` windows of a text, drawn by a generator that the text seeds."""
+    import zlib
+
+    @F.pandas_udf("array<binary>")
+    def draw(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            raw = t.encode()
+            n = 1 + max(0, -(-(len(raw) - WINDOW) // HOP)) if raw else 0
+            pick = np.sort(np.random.default_rng(zlib.crc32(raw)).permutation(n)[:per_text])
+            out.append([raw[i * HOP:i * HOP + WINDOW].ljust(WINDOW, b"\0") for i in pick])
+        return pd.Series(out, dtype=object)
+
+    return draw(text)
+
+
+def in_no_language(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows of codes, words of codes, and of labelled windows with their bytes in random order."""
+    mixed = windows[rng.integers(0, len(windows), max(64, len(windows) // 6))]
+    out = [rng.permuted(mixed, axis=1)]
+    for code in CODES:
+        drawn = np.frombuffer(code, np.uint8)[rng.integers(0, len(code), (max(32, len(windows) // 30), WINDOW))]
+        blanks = rng.random(drawn.shape) < rng.choice([0.0, 0.03, 0.15], (len(drawn), 1))
+        out.append(np.where(blanks, np.uint8(32), drawn))
+    made = np.concatenate(out)
+    short = np.where(rng.random(len(made)) < 0.3, rng.integers(8, WINDOW, len(made)), WINDOW)
+    return np.where(np.arange(WINDOW) < short[:, None], made, 0).astype(np.uint8)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000,
           per_text: int = 6, steps: int = 1500, stay: float = 0.999) -> LanguageModel:
     """``labelled``: rows to learn from; those without text or language are left out. ``stay``: the share of the sample that ``accepted`` would keep."""
-    rows = bounded_sample(labelled.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-                          .where("text is not null and lang is not null"), id_col, sample)
-    languages = sorted({r["lang"] for r in rows})
-    texts, labels = [r["text"].encode() for r in rows], np.array([languages.index(r["lang"]) for r in rows])
-    windows, owner = cut_windows(texts, WINDOW, HOP)
-    rng = np.random.default_rng(3)
-    order = np.lexsort((rng.random(len(owner)), owner))
-    place = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
-    keep = np.sort(order[place < per_text])
-    windows, y = windows[keep], labels[owner[keep]]
-    share = np.bincount(y, minlength=len(languages)) / max(1, len(y))
-    net = ByteConvNet(classes=len(languages), widths=(2, 3, 4, 5), filters=10)
-    net.fit(windows, y, (1 / np.sqrt(np.maximum(share, 1e-9)))[y], steps=steps)
-    counts = np.full((len(languages), 256 * 256), 0.1)
-    for t, y in zip(texts, labels, strict=True):
-        counts[y] += np.bincount(byte_pairs(t), minlength=256 * 256)
-    pairs = counts.reshape(-1, 256, 256)
-    model = LanguageModel(net, languages, np.log(pairs / pairs.sum(2, keepdims=True)).reshape(len(languages), -1).astype(np.float32))
-    # each text is measured without its own part in the counts, as texts that were never learned are
-    fits = []
-    for t, y, (lang, _) in zip(texts, labels, model.predict([r["text"] for r in rows]), strict=True):
-        if lang == UNKNOWN:
-            continue
-        own, n = np.unique(byte_pairs(t), return_counts=True)
-        rest, of = pairs[languages.index(lang)], own // 256
-        mine = n * (lang == languages[y])
-        total = rest.sum(1)[of] - np.bincount(of, mine, 256)[of]
-        fits.append(np.dot(n, np.log((rest.ravel()[own] - mine) / total)) / n.sum())
-    model.bound = float(np.quantile(fits, 1 - stay, method="lower")) if fits else -np.inf
-    return model
+    rows = labelled.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("length(text) > 0 and lang is not null")
+    drawn = bounded_sample_by(rows, id_col, "lang", sample).select(id_col, "lang", windows_of(F.col("text"), per_text).alias("cuts")).collect()
+    if not drawn:
+        return LanguageModel(None, [])
+    drawn.sort(key=lambda r: (r["lang"], r[id_col] is not None, r[id_col] or 0, r["cuts"]))
+    languages = sorted({r["lang"] for r in drawn})
+    windows = np.frombuffer(b"".join(bytes(c) for r in drawn for c in r["cuts"]), np.uint8).reshape(-1, WINDOW)
+    owner = np.repeat(np.arange(len(drawn)), [len(r["cuts"]) for r in drawn])
+    y = np.array([languages.index(r["lang"]) for r in drawn])[owner]
+    none = in_no_language(windows, np.random.default_rng(3))
+    seen, labels = np.concatenate([windows, none]), np.r_[y, np.full(len(none), len(languages))]
+    share = np.bincount(labels, minlength=len(languages) + 1) / len(labels)
+    net = ByteConvNet(classes=len(languages) + 1, widths=(2, 3, 4, 5), filters=10)
+    net.fit(seen, labels, (1 / np.sqrt(np.maximum(share, 1e-9)))[labels], steps=steps)
+    p = mean_by(softmax(net.logits(windows)), owner, len(drawn))[:, -1]
+    return LanguageModel(net, languages, max(0.5, float(np.quantile(p, stay, method="higher"))))
 
 
 def verdict(model: LanguageModel, text: Column, batch: int = 256) -> Column:
@@ -111,14 +130,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text", batch: int = 256) -> DataFrame:
-    """The documents with letters whose bytes fit the language found, all their columns as they are."""
+    """The documents with letters that the network finds in a language, all their columns as they are."""
     @F.pandas_udf("boolean")
-    def fit(texts: pd.Series) -> pd.Series:
-        out = [np.zeros(0, bool)]
-        for i in range(0, len(texts), batch):
-            part = list(texts[i:i + batch])
-            fits = model.fits(part, [g[0] for g in model.predict(part)])
-            out.append((fits >= model.bound) & np.isfinite(fits))
-        return pd.Series(np.concatenate(out))
-
-    return docs.where(fit(F.col(text_col)))
+    def stays(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([np.zeros(0, bool), *(model.stays(list(texts[i:i + batch])) for i in range(0, len(texts), batch))]))
+
+    return docs.where(stays(F.col(text_col)))

@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     extra, extra_owner = cut_windows(short, CHUNK, HOP)
     seen, whose = np.concatenate([windows[keep], extra]), np.concatenate([owner[keep], extra_owner])
     weight = np.where(y == 1, 1 / share, 1 / (1 - share))
-    net = ByteConvNet(classes=2, widths=(3, 5, 8), filters=12, stride=2, seed=2)
+    net = ByteConvNet(classes=2, widths=(3, 5, 8), filters=12, seed=2)
     net.fit(seen, y[whose], np.sqrt(weight)[whose], steps=steps)
     model = QualityModel(net, np.zeros(5), share)
     z = net.logits(windows)

@@ -1,13 +1,14 @@
 """Sharding by histogram sort: counted splitters, then one exchange.
 
-Rows are ordered by (hash of the text, id), so equal texts lie side by side. The splitters that cut this order into
-parts of equal bytes are found by counting: each round takes the exact bytes below some candidate keys, all
-partitions at once, and narrows the interval of every splitter that is not yet within the tolerance. Only counts of
-candidates reach the driver. A text whose copies outgrow the tolerance is cut by id, the second part of the key.
+Rows are ordered by (hash of the text, id, place in the table), so equal texts lie side by side. The splitters that cut
+this order into parts of equal bytes are found by counting: each round takes the exact bytes below some candidate keys,
+all partitions at once, and narrows the interval of every splitter that is not yet within the tolerance. Only counts of
+candidates reach the driver. A text whose copies outgrow the tolerance is cut by id, the second part of the key, and
+copies with one id, or none, by the third. The rows are written once with their keys, so the place is one for all rounds.
 
 Defined results: a null text has size 8, sorts like an empty one; a null id sorts first; rows with equal text and
-equal id stay together (their key cannot be cut); an empty table gives an empty result; further columns are carried
-along, and one named like an output column is replaced.
+equal id are cut like any others, which of them goes where is not fixed; an empty table gives an empty result; further
+columns are carried along, and one named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LOW, HIGH = -(2 ** 63), 2 ** 63 - 1
-Key = tuple[int, int]
+Key = tuple[int, int, int]
+PARTS = ["_h", "_i", "_t"]
 
 
 @dataclass
@@ -38,49 +40,43 @@ class Splitter:
     below_high: tuple[int, int]
     key: Key | None = None
     rows: int = 0
+    stuck: bool = False  # no key between the ends
 
     def settle(self) -> None:
         ends = ((abs(self.below_low[0] - self.target), self.low, self.below_low), (abs(self.below_high[0] - self.target), self.high, self.below_high))
         gap, key, below = min(ends)
-        if gap <= self.slack or number(self.high) - number(self.low) <= 1:
+        if gap <= self.slack or self.stuck:
             self.key, self.rows = key, below[1]
 
-    def candidates(self, n: int) -> list[Key]:
-        """Between the ends, evenly: over the hash while it is open, then over the id."""
-        a, b = number(self.low), number(self.high)
-        if self.high[0] - self.low[0] > 1:
-            a, b = self.low[0], self.high[0]
-            return [(v, LOW) for v in {a + (b - a) * i // (n + 1) for i in range(1, n + 1)} if a < v < b or v == b > a and self.high > (v, LOW)]
-        return [key(v) for v in {a + (b - a) * i // (n + 1) for i in range(1, n + 1)} if a < v < b]
-
-
-def number(k: Key) -> int:
-    return (k[0] - LOW << 64) + (k[1] - LOW)
-
-
-def key(n: int) -> Key:
-    return (n >> 64) + LOW, (n & (2 ** 64 - 1)) + LOW
-
-
-def place(major: np.ndarray, minor: np.ndarray, keys: list[Key]) -> np.ndarray:
-    """How many of the sorted ``keys`` are at or below each row."""
-    heads = np.array([k[0] for k in keys], np.int64)
-    out = np.searchsorted(heads, major, "right")
-    tails = np.array([k[1] for k in keys], np.int64)
-    for head in np.unique(heads[tails > LOW]):  # hashes that are cut by id
-        at = np.flatnonzero(major == head)
-        if len(at):
-            first = np.searchsorted(heads, head, "left")
-            out[at] = first + np.searchsorted(tails[heads == head], minor[at], "right")
+    def candidates(self, n: int, ends: list[Key]) -> list[Key]:
+        """Between the ends, evenly: over the first part of the key that is still open, in the range that the table has of it."""
+        for at, rest in ((0, (LOW, LOW)), (1, (LOW,)), (2, ())):
+            head, a, b = self.low[:at], self.low[at], self.high[at] if self.high[:at] == self.low[:at] else HIGH
+            a, b = max(a, ends[0][at] - 1, LOW), min(b, ends[1][at] + 1, HIGH)
+            found = {(*head, v, *rest) for v in {a + (b - a) * i // (n + 1) for i in range(1, n + 2)}}
+            if found := [k for k in found if self.low < k < self.high]:
+                return found
+        return []
+
+
+def place(parts: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``keys`` (rows of key parts) are at or below each row."""
+    heads = np.ascontiguousarray(keys[:, 0])
+    out = np.searchsorted(heads, parts[0], "right")
+    if keys.shape[1] > 1:
+        for head in np.unique(heads[(keys[:, 1:] > LOW).any(1)]):  # values that are cut by the later parts
+            at = np.flatnonzero(parts[0] == head)
+            if len(at):
+                out[at] = np.searchsorted(heads, head, "left") + place([p[at] for p in parts[1:]], keys[heads == head][:, 1:])
     return out
 
 
 def bytes_below(keyed: DataFrame, keys: list[Key]) -> dict[Key, tuple[int, int]]:
     """Exact (bytes, rows) below each key."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, rows = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
+        size, rows, sorted_keys = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64), np.array(keys, np.int64)
         for f in frames:
-            at = place(f["_h"].to_numpy(), f["_i"].to_numpy(), keys)
+            at = place([f[c].to_numpy() for c in PARTS], sorted_keys)
             np.add.at(size, at, f["_size"].to_numpy())
             rows += np.bincount(at, minlength=len(keys) + 1)
         used = np.flatnonzero(rows)
@@ -95,21 +91,24 @@ def bytes_below(keyed: DataFrame, keys: list[Key]) -> dict[Key, tuple[int, int]]
     return out
 
 
-def find_splitters(keyed: DataFrame, targets: list[tuple[int, int]], total: tuple[int, int], probes: int = 16_384) -> list[Splitter]:
-    """``targets``: (bytes, allowed deviation) of each splitter. ``probes`` bounds the candidates of a round."""
-    found = [Splitter(t, s, (LOW, LOW), (HIGH, HIGH), (0, 0), total) for t, s in targets]
+def find_splitters(keyed: DataFrame, targets: list[tuple[int, int]], total: tuple[int, int], ends: list[Key], probes: int = 16_384) -> list[Splitter]:
+    """``targets``: (bytes, allowed deviation) of each splitter; ``ends``: least and largest value of each key part. ``probes`` bounds the candidates of a round."""
+    found = [Splitter(t, s, (LOW,) * 3, (HIGH,) * 3, (0, 0), total) for t, s in targets]
     while open_ := [s for s in found if s.key is None]:
         each = max(2, min(64, probes // len(open_)))
-        keys = sorted({k for s in open_ for k in s.candidates(each)})
+        wanted = [s.candidates(each, ends) for s in open_]
+        for s, w in zip(open_, wanted, strict=True):
+            s.stuck = not w
+        keys = sorted({k for w in wanted for k in w})
         if keys:
             below = bytes_below(keyed, keys)
             order = list(below)
             sizes = np.array([below[k][0] for k in order])
             for s in open_:
                 at = int(np.searchsorted(sizes, s.target, "right"))
-                if at > 0 and number(order[at - 1]) > number(s.low):
+                if at > 0 and order[at - 1] > s.low:
                     s.low, s.below_low = order[at - 1], below[order[at - 1]]
-                if at < len(order) and number(order[at]) < number(s.high):
+                if at < len(order) and order[at] < s.high:
                     s.high, s.below_high = order[at], below[order[at]]
         for s in open_:
             s.settle()
@@ -124,26 +123,27 @@ def histogram_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_co
     ``part_bytes`` (as long as there are at most ``max_parts``), so it never has to fit one task; the counts below
     the splitters give each part its first slot.
     """
-    df = df.drop("size", "shard", "slot", "_h", "_i", "_size", "_part")
+    df = df.drop("size", "shard", "slot", *PARTS, "_size", "_part")
     keys = {"_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_i": F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)),
             "_size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8}
-    keyed = materialize(df.select(*[c.alias(k) for k, c in keys.items()]), "keys")
-    total = keyed.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
-    size, rows = int(total[0]), int(total[1])
+    df = materialize(df.withColumns({**keys, "_t": F.monotonically_increasing_id()}), "rows")
+    keyed = df.select(*PARTS, "_size")
+    total = keyed.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*"), *[f(c) for c in PARTS for f in (F.min, F.max)]).first()
+    size, rows, ends = int(total[0]), int(total[1]), [tuple(total[2::2]), tuple(total[3::2])]
     fine = max(1, min(-(-size // (shards * part_bytes)), max_parts // shards))
     parts = shards * fine
     slack = [int(size / shards * tolerance) if j % fine == 0 else size // parts // 4 for j in range(parts)]
-    found = find_splitters(keyed, [(size * j // parts, slack[j]) for j in range(1, parts)], (size, rows)) if rows else []
+    found = find_splitters(keyed, [(size * j // parts, slack[j]) for j in range(1, parts)], (size, rows), ends) if rows else []
     cuts = sorted((s.key, s.rows) for s in found)
-    bounds, first = [k for k, _ in cuts], [0, *(r for _, r in cuts)]
+    bounds, first = np.array([k for k, _ in cuts], np.int64).reshape(-1, 3), [0, *(r for _, r in cuts)]
 
     @F.pandas_udf("int")
-    def part(h: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series(place(h.to_numpy(), i.to_numpy(), bounds).astype("int32")) if bounds else pd.Series(np.zeros(len(h), "int32"))
+    def part(h: pd.Series, i: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(place([x.to_numpy() for x in (h, i, t)], bounds).astype("int32"))
 
     start = F.element_at(F.array(*[F.lit(int(first[p] - first[p - p % fine])).cast("long") for p in range(len(first))]), F.col("_part") + 1)
-    within = Window.partitionBy("_part").orderBy("_h", "_i")
-    return (df.withColumns(keys).withColumn("_part", part("_h", "_i"))
+    within = Window.partitionBy("_part").orderBy(*PARTS)
+    return (df.withColumn("_part", part(*PARTS))
             .withColumn("slot", start + F.row_number().over(within) - 1)
             .withColumn("shard", F.floor(F.col("_part") / fine).cast("int")).withColumnRenamed("_size", "size")
-            .drop("_h", "_i", "_part"))
+            .drop(*PARTS, "_part"))

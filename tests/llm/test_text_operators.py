@@ -137,6 +137,28 @@ def test_a_third_of_all_rows_with_one_text_is_cut_by_id(spark):
     assert Counter(r["doc_id"] for r in rows) == Counter(range(900))
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_a_third_of_all_rows_with_one_text_and_id_is_cut(spark, key):
+    rows = [(key, "the hot text")] * 300 + [(i, f"text {i}") for i in range(100, 700)]
+    got = sharding.histogram_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 9).collect()
+    check_shards(got, 9, 0.02)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+
+
+def test_places_are_those_of_sorted_keys():
+    rng = np.random.default_rng(1)
+    keys = sorted({tuple(int(x) for x in k) for k in rng.integers(0, 4, (30, 3))} | {(2, sharding.LOW, sharding.LOW), (1, 2, sharding.LOW)})
+    rows = rng.integers(0, 5, (500, 3))
+    got = sharding.place([np.ascontiguousarray(rows[:, i]) for i in range(3)], np.array(keys, np.int64))
+    assert got.tolist() == [sum(k <= tuple(r) for k in keys) for r in rows.tolist()]
+
+
+@pytest.mark.parametrize("text", ["x" * 5000, "ab" * 999 + "äöü" * 400, "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(30_000)), "qu" + "aaab" * 2000 + " then " + "thequickbrownfox" * 300])
+def test_long_words_are_the_librarys(text):
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert CODEC.encode([text, "a " + text])[0][1] == " ".join(map(str, want)) and not [w for w in CODEC.known if len(w) > bpe.LONG]
+
+
 def pieces(text):
     return {s[i:i + fingerprints.PIECE] for s in re.split(r"(?<=[.\n])", text) for i in range(0, len(s), fingerprints.PIECE)}
 
