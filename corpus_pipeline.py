@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchwell.llm import language_id, minhash, packing, quality, queries, simhash
+from patchwell.llm import language_id, nearcopies, packing, quality, queries
 from patchwell.llm.common import materialize, table
 
 
@@ -18,18 +18,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without letters, or whose bytes do not fit the language found, go."""
+    """Documents in a language: those without letters, or likelier in no language, go."""
     return language_id.accepted(docs, queries.language_model(spark, sf_dir))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints under the rule of ``op9_simhash``. Not a stage: it links only the nearest copies."""
-    return simhash.deduplicated(docs)
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by a five-word Jaccard similarity of 0.8 or more."""
-    return minhash.deduplicated(docs)
+    """One document, the one with the smallest id, of each group that ball hashing brings together and a five-word Jaccard similarity of 0.8 or more links."""
+    return nearcopies.deduplicated(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
