@@ -83,26 +83,36 @@ def near_vectors(left: DataFrame, right: DataFrame, left_vec: str, right_vec: st
     """
     width = 2.0 * radius
     nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    probe = _cells(left, left_vec, width).withColumn("_o", F.explode(nine)).withColumns(
+    probe = _cells(left, left_vec, width).withColumn("_len", F.size(left_vec)).withColumn("_o", F.explode(nine)).withColumns(
         {"_ca": F.col("_ca") + F.col("_o.i"), "_cb": F.col("_cb") + F.col("_o.j")}).withColumnRenamed("_ma", "_la").withColumnRenamed("_mb", "_lb").drop("_o")
-    held = _cells(right, right_vec, width)
+    held = _cells(right, right_vec, width).withColumn("_len", F.size(right_vec))
     close = (F.abs(F.col("_la") - F.col("_ma")) <= width) & (F.abs(F.col("_lb") - F.col("_mb")) <= width)
     gaps = F.zip_with(left_vec, right_vec, lambda x, y: F.abs(x - y) if metric == "mae" else (x - y) * (x - y))
     mean = F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v) / F.size(left_vec)
-    out = probe.join(held, ["_ca", "_cb"]).where(close).withColumn("distance", mean if metric == "mae" else F.sqrt(mean))
-    return out.where(F.col("distance") <= radius).drop("_ca", "_cb", "_ma", "_mb", "_la", "_lb")
+    out = probe.join(held, ["_ca", "_cb", "_len"]).where(close).withColumn("distance", mean if metric == "mae" else F.sqrt(mean))
+    return out.where(F.col("distance") <= radius).drop("_ca", "_cb", "_ma", "_mb", "_la", "_lb", "_len")
+
+
+def comparable(vec: str) -> Column:
+    """Vectors of at least two components, all finite."""
+    fine = F.forall(vec, lambda v: v.isNotNull() & (F.abs(v) < float("inf")))  # NaN is larger than all numbers
+    return F.coalesce((F.size(vec) > 1) & fine, F.lit(False))
 
 
 def appearance_exposure(rows: DataFrame, sample: str, vec: str, split: str = "split", radius: float = 0.001, growth: float = 4.0) -> DataFrame:
     """Per test sample: exact distance to its nearest train sample, and whether that is within the radius.
 
     Cells of the radius find the look-alikes; only tests without one are tried again with wider cells, until each has
-    a train sample within them. NULL only where there is no train sample.
+    a train sample within them. NULL where there is no train sample of the same length, and for vectors that are
+    null, shorter than two components or hold one that is null or not finite; these take no part.
     """
-    vectors = rows.groupBy(split, vec).agg(F.count(F.lit(1)).alias("_n"))
+    vectors = rows.where(comparable(vec)).groupBy(split, vec).agg(F.count(F.lit(1)).alias("_n"))
     test = vectors.where(F.col(split) == "test").select(F.col(vec).alias("_t"))
     train = vectors.where(F.col(split) == "train").select(F.col(vec).alias("_r"))
-    left, train, rounds, reach = cut_lineage(test), cut_lineage(train), [], radius
+    train = cut_lineage(train)
+    lengths = train.select(F.size("_r").alias("_len")).distinct()
+    test = test.withColumn("_len", F.size("_t")).join(lengths, "_len", "left_semi").drop("_len")  # each can end the loop
+    left, rounds, reach = cut_lineage(test), [], radius
     while not rounds or not (left.isEmpty() or train.isEmpty()):
         rounds.append(cut_lineage(near_vectors(left, train, "_t", "_r", reach, "mae").groupBy("_t").agg(F.min("distance").alias("distance"))))
         left, reach = cut_lineage(left.join(rounds[-1], "_t", "left_anti")), reach * growth

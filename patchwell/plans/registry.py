@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("labels", "names", "support", "components", "splits", "intervals", "metrics",
-           "calibration", "shift", "geometry", "models", "robustness", "audits", "storage")
+           "calibration", "shift", "geometry", "models", "fits", "robustness", "audits", "storage")
 
 
 class Book:
