@@ -49,7 +49,7 @@ def normalization(spark, sf):
 _NORM = ", ".join(f"avg({b}/10000.0::double) filter (split='train') as m_{b}, greatest(sqrt(avg(({b}/10000.0::double)**2) filter (split='train')-(avg({b}/10000.0::double) filter (split='train'))**2),1e-6) as s_{b}" for b in BANDS)
 
 
-@BOOK.add("p09_standardized_bands", _BAND.rstrip() + f", nm as (select {_NORM} from v_band) select pixel_id, " + ", ".join(f"round(({b}/10000.0::double-m_{b})/s_{b},6) as {b}" for b in BANDS) + " from v_band, nm")
+@BOOK.add("p09_standardized_bands", _BAND.rstrip().replace("v_band as (", "v_band as materialized (") + f", nm as materialized (select {_NORM} from v_band) select pixel_id, " + ", ".join(f"round(({b}/10000.0::double-m_{b})/s_{b},6) as {b}" for b in BANDS) + " from v_band, nm")
 def standardized(spark, sf):
     b = bands(spark, sf)
     out = MO.standardize(b, MO.training_normalization(b.where(F.col("split") == "train")))

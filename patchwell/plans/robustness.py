@@ -46,24 +46,32 @@ def noise(spark, sf):
     return _show(R.noise(reflect(spark, sf), "sample_id", 0.005))
 
 
-def _linear_sql(matrix):
-    cells = ",".join(f"({i},{k},{w!r})" for i, row in enumerate(matrix.tolist()) for k, w in enumerate(row) if w)
-    return _X + f""", w(i, k, w) as (values {cells}),
-a as (select sample_id, i as r, c, sum(w::double*x) as x from px join w on k=r group by 1,2,3), b as (select sample_id, r, i as c, sum(w::double*x) as x from a join w on k=c group by 1,2,3)
+def _linear_sql(weights: str) -> str:
+    """``weights``: CTEs that end in ``w`` (i, k, w), the weight of place k in place i."""
+    return _X + f""", {weights},
+a as (select sample_id, i as r, c, sum(w*x) as x from px join w on k=r group by 1,2,3), b as (select sample_id, r, i as c, sum(w*x) as x from a join w on k=c group by 1,2,3)
 select """ + _OUT.format(x="x") + " from b"
 
 
-@BOOK.add("r04_gaussian_blur", _linear_sql(R.blur_matrix(8, 1.0)))
+# the weights in SQL, from the formulas: a Gaussian of 4 deviations with mirrored edges; triangles as wide as the larger pixel, down to 4 places and up to 8
+_BLUR = """g as (select i, ((i+o)%16+16)%16 as q, exp(-0.5*o*o)/sum(exp(-0.5*o*o)) over (partition by i) as v from range(0,8) a(i), range(-4,5) b(o)),
+w as materialized (select i, case when q<8 then q else 15-q end as k, sum(v) as w from g group by 1,2)"""
+_DOWN_UP = """dn as (select j, k, v/sum(v) over (partition by j) as v from (select j, k, greatest(0,1-abs(k+0.5-(j+0.5)*2)/2)::double as v from range(0,4) a(j), range(0,8) b(k))),
+up as (select i, j, v/sum(v) over (partition by i) as v from (select i, j, greatest(0,1-abs(j+0.5-(i+0.5)*0.5))::double as v from range(0,8) a(i), range(0,4) b(j))),
+w as materialized (select i, k, sum(up.v*dn.v) as w from up join dn using (j) group by 1,2)"""
+
+
+@BOOK.add("r04_gaussian_blur", _linear_sql(_BLUR))
 def blur(spark, sf):
     return _show(R.blur(reflect(spark, sf), ["sample_id"], 8, 8, 1.0))
 
 
-@BOOK.add("r05_down_up_resample", _linear_sql(R.resolution_matrix(8, 4)))
+@BOOK.add("r05_down_up_resample", _linear_sql(_DOWN_UP))
 def resample(spark, sf):
     return _show(R.resample(reflect(spark, sf), ["sample_id"], 8, 8, 4))
 
 
-@BOOK.add("r06_center_mask", _X + ", m as (select *, (select avg(x) from px) as mu from px), z as (select *, case when r between 2 and 4 and c between 2 and 4 then mu else x end as v from m) select " + _OUT.format(x="v") + " from z")
+@BOOK.add("r06_center_mask", _X.replace("px as (", "px as materialized (") + ", one as materialized (select avg(x) as mu from px), m as (select px.*, mu from px cross join one), z as (select *, case when r between 2 and 4 and c between 2 and 4 then mu else x end as v from m) select " + _OUT.format(x="v") + " from z")
 def center_mask(spark, sf):
     x = reflect(spark, sf)
     mean = x.agg(F.avg("x").alias("_mean"))  # one row
