@@ -8,6 +8,7 @@ from ..functions.spectral import BANDS
 from ..operators.profiles import r6
 from ..session import scratch_path
 from ..sources import archives as AR
+from ..sources import patchfiles as PF
 from ..sources import sinks as SK
 from .registry import Book
 from .views import patch_vectors, patches, predictions, table, with_views
@@ -86,6 +87,55 @@ def patch_rejects(spark, sf):
     return AR.decode_arrays(npy_files(spark, sf), (1, 8, 8), "uint8").violations.select("rule", "key")
 
 
+# The patches of the given tables are smaller than the stored ones.
+_SHAPES = {"sen2": ((12, 8, 8), "uint16"), "cyan": ((1, 8, 8), "uint8")}
+
+
+def patch_folder(spark, sf):
+    """Image and mask files of all patches, written to the shared folder; its path."""
+    path = scratch_path(spark, "patches")
+    named = [d.select(F.col("path").alias("sample_id"), F.lit(kind).alias("kind"), "content") for kind, d in (("sen2", npy_images(spark, sf)), ("cyan", npy_files(spark, sf)))]
+    PF.write(named[0].unionByName(named[1]), path)
+    return path
+
+
+@BOOK.add("s02_file_pairs", with_views("v_band", "v_img") + """select b.patch as sample_id, count(*) as pixels, sum(B05)::bigint as b05_sum, sum(B11)::bigint as b11_sum, sum(dn%256)::bigint as mask_sum, sum(B05) filter (dn%256<128)::bigint as low_b05
+  from v_band b join v_img m on m.sample_id=b.patch and m.idx=b.pixel_id%64 where m.sample_id%50 not in (3,4) group by 1""")
+def file_pairs(spark, sf):
+    """Write the files of both kinds, scan each kind, join the pairs of a sample; arrays stay whole."""
+    both = PF.pairs(spark, patch_folder(spark, sf), shapes=_SHAPES)
+
+    def band(name):
+        return F.slice("image", 64 * BANDS.index(name) + 1, 64)
+
+    def total(values):
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+    low = F.filter(F.arrays_zip(band("B05").alias("v"), F.col("mask").alias("m")), lambda x: x["m"] < 128)
+    return both.select(F.col("sample_id").cast("bigint").alias("sample_id"), F.size("mask").cast("bigint").alias("pixels"), total(band("B05")).alias("b05_sum"), total(band("B11")).alias("b11_sum"),
+                       total(F.col("mask")).alias("mask_sum"), F.when(F.size(low) > 0, total(F.transform(low, lambda x: x["v"]))).alias("low_b05"))
+
+
+@BOOK.add("s02_file_rejects", """select case when vec_id%50=3 then 'unreadable' else 'dtype' end as rule, vec_id||'_cyan' as key from embeddings where vec_id%50 in (3,4)""")
+def file_rejects(spark, sf):
+    """Files of both kinds that the scan refuses: short bodies and signed types."""
+    return PF.scan(spark, patch_folder(spark, sf), shapes=_SHAPES).violations.select("rule", "key")
+
+
+@BOOK.add("s03_file_verification", """select vec_id::varchar as sample_id, case when vec_id%7=1 then 'MISSING' when vec_id%7=2 then 'HASH_MISMATCH' else 'VERIFIED' end as status,
+  case when vec_id%7<>1 then 128+case when vec_id%50=3 then 60 else 64 end end as bytes from embeddings""")
+def file_verification(spark, sf):
+    """The index of mask files against the files: one in seven was never written, another one has a flipped byte."""
+    index = npy_files(spark, sf).select(F.col("path").alias("sample_id"), "content")
+    m = F.col("sample_id").cast("bigint") % 7
+    last = F.right(F.hex("content"), F.lit(2))
+    flipped = F.unhex(F.concat(F.expr("left(hex(content), length(hex(content)) - 2)"), F.when(last == "00", "01").otherwise("00")))
+    path = scratch_path(spark, "verified")
+    PF.write(index.where(m != 1).select("sample_id", F.lit("cyan").alias("kind"), F.when(m == 2, flipped).otherwise(F.col("content")).alias("content")), path)
+    expected = index.select("sample_id", *[c.alias(n) for n, c in AR.content_checks(F.col("content")).items()])
+    return AR.verify_digests(expected, PF.scan_digests(spark, path, "cyan", _SHAPES), "sample_id")
+
+
 @BOOK.add("s03_content_verification", """select doc_id, case when doc_id%7=1 then 'MISSING' when doc_id%7=2 then 'HASH_MISMATCH' else 'VERIFIED' end as status, case when doc_id%7<>1 then strlen(text)+case when doc_id%7=2 then 1 else 0 end end as bytes, sha256(text) as sha256 from documents""")
 def content_verification(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))

@@ -8,6 +8,7 @@ from patchwell.functions.spectral import BANDS
 from patchwell.operators.audit import provenance_check
 from patchwell.sources import archives as AR
 from patchwell.sources import features as FT
+from patchwell.sources import patchfiles as PF
 from patchwell.sources import sinks as SK
 
 
@@ -29,6 +30,65 @@ def test_patch_files_are_decoded_and_checked(spark, tmp_path):
     assert [r[b] for b in BANDS] == [int(image[i, 1, 2]) for i in range(12)]
 
 
+def saved(folder, name, array, **how):
+    folder.mkdir(exist_ok=True)
+    np.save(folder / f"{name}.npy", array, **how)
+
+
+def test_patch_files_are_scanned_by_kind(spark, tmp_path):
+    image = np.arange(12 * 64 * 64, dtype="uint16").reshape(12, 64, 64)
+    mask = (np.arange(64 * 64) % 251).astype("uint8").reshape(1, 64, 64)
+    for name, array in {"a_sen2": image, "a_cyan": mask, "b_b_sen2": np.asfortranarray(image), "b_b_cyan": mask[:, ::-1], "c_cyan": mask[0], "d_cyan": mask.astype("int16"), "e_sen2": image.astype(">u2"),
+                        "f_cyan": np.zeros(3_000_000, dtype="uint8"), "g_cyan": np.array([object()]), "h_sen2": image, "other": mask}.items():
+        saved(tmp_path / name[0], name, array)
+    (tmp_path / "i_cyan.npy").write_bytes((tmp_path / "a" / "a_cyan.npy").read_bytes()[:-1])
+    (tmp_path / "j_cyan.npy").write_bytes(b"")
+    (tmp_path / "notes_cyan.txt").write_text("no patch")
+    every = PF.scan(spark, str(tmp_path))
+    assert {r.key: r.rule for r in every.violations.collect()} == {"c_cyan": "shape", "d_cyan": "dtype", "e_sen2": "dtype", "f_cyan": "too_large", "g_cyan": "shape", "i_cyan": "unreadable", "j_cyan": "unreadable"}
+    masks = {r.sample_id: r["values"] for r in PF.scan(spark, f"file://{tmp_path}", "cyan").rows.collect()}
+    assert masks == {"a": mask.ravel().tolist(), "b_b": mask[:, ::-1].ravel().tolist()}
+    both = {r.sample_id: r for r in PF.pairs(spark, str(tmp_path)).collect()}
+    assert set(both) == {"a", "b_b"} and all(r.image == image.ravel().tolist() for r in both.values())
+    content = {r.path: (r.length, r.crc32, r.sha256) for r in PF.scan_digests(spark, str(tmp_path)).collect()}
+    given = AR.binary_files(spark, str(tmp_path), "*_*.npy").select("path", *[c.alias(n) for n, c in AR.content_checks(F.col("content")).items()])
+    empty_file = content.pop(str(tmp_path / "j_cyan.npy"))  # Spark's own binary files leave files without bytes out
+    assert content == {r.path.removeprefix("file:"): (r.length, r.crc32, r.sha256) for r in given.collect()} and len(content) == 11 and empty_file[:2] == (0, "00000000")
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert PF.scan(spark, str(empty)).rows.count() == 0
+    with pytest.raises(Exception, match="No shape is given"):
+        PF.scan(spark, str(tmp_path), "tif").rows.count()
+
+
+def test_patch_scan_is_dealt_by_bytes(tmp_path, monkeypatch):
+    for i in range(40):
+        saved(tmp_path, f"s{i}_cyan", np.zeros((1, 64, 64), dtype="uint8"))
+    saved(tmp_path, "big_cyan", np.zeros(3_000_000, dtype="uint8"))
+    monkeypatch.setattr(PF, "TASK_BYTES", 10 * (PF.OPEN_COST + 4224))
+    scan = PF.PatchFiles({"path": str(tmp_path), "shapes": '{"cyan": [[1, 64, 64], "uint8"]}'}).reader(None)
+    tasks = scan.partitions()
+    assert [len(t.files) for t in tasks] in ([10, 10, 10, 10, 1], [10, 10, 10, 11]) and len({f for t in tasks for f in t.files}) == 41
+    monkeypatch.setattr(PF, "BATCH_BYTES", 3 * 4 * 4096)
+    assert [b.num_rows for b in scan.read(tasks[1])] == [3, 3, 3, 1]
+
+
+def test_patch_writes_count_only_when_committed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(60).select(F.col("id").cast("string").alias("sample_id"), F.lit("cyan").alias("kind"), F.unhex(F.lit("0102")).alias("content"), F.lit(1).alias("path")).repartition(5)
+    broken = rows.withColumn("sample_id", F.when(F.col("sample_id") != "33", F.col("sample_id")))
+    with pytest.raises(Exception, match="No patch file can be named"):
+        PF.write(broken, path)
+    PF.write(rows, path)  # what the broken write left is not seen
+    (tmp_path / "t" / "part-lost").mkdir()
+    (tmp_path / "t" / "part-lost" / "7_cyan.npy").write_bytes(b"x")
+    assert sorted(int(r.sample_id) for r in PF.scan_digests(spark, path).collect()) == list(range(60))
+    with pytest.raises(Exception, match="is committed"):
+        PF.write(rows, path)
+    PF.write(rows.where("false"), str(tmp_path / "none"))
+    assert PF.scan_digests(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_archive_index_reads_all_entry_files(spark, tmp_path):
     head = ",".join(c.split()[0] for c in AR.ENTRY_SCHEMA.split(", "))
     for name in ("one", "two"):
