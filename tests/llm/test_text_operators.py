@@ -13,6 +13,7 @@ from conftest_llm import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from patchwell.llm import bpe, fingerprints, packing, sharding
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -167,6 +168,67 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def peeled(spark, pairs):
+    """Likeness of written fingerprints (key, a, b) from these strings alone; None where they do not peel."""
+    df = spark.createDataFrame(pairs, "key long, a string, b string")
+    read = {r["key"]: (r["x"], r["y"]) for r in df.select("key", fingerprints.cells_of(F.col("a")).alias("x"), fingerprints.cells_of(F.col("b")).alias("y")).collect()}
+    out = {}
+    cells = {k: {} for k in read}
+    for k, (x, y) in read.items():
+        for sign, side in ((1, x), (-1, y)):
+            for c in side:
+                n, d, h = cells[k].get(c["cell"], (0, 0, 0))
+                cells[k][c["cell"]] = (n + sign * c["count"], d ^ c["key"], h ^ c["chk"])
+    known = {}
+
+    def learn(wanted):
+        rows = spark.createDataFrame([(d,) for d in wanted - set(known)], "d long").withColumn("width", F.lit(fingerprints.WIDTH))
+        for r in rows.select("d", fingerprints.check(F.col("d")).alias("h"), F.array(*[fingerprints.cell_of(F.col("d"), t, 0) for t in range(3)]).alias("at")).collect():
+            known[r["d"]] = (r["h"] & 0xFFFFFFFF, r["at"])
+
+    more, less = dict.fromkeys(read, 0), dict.fromkeys(read, 0)
+    while True:
+        learn({d for of in cells.values() for n, d, _ in of.values() if abs(n) == 1})
+        moved = False
+        for k, of in cells.items():
+            for at, (n, d, h) in list(of.items()):
+                if abs(of[at][0]) != 1 or of[at] != (n, d, h) or known[d][0] != h or at not in known[d][1]:
+                    continue
+                moved, more[k], less[k] = True, more[k] + (n > 0), less[k] + (n < 0)
+                for c in known[d][1]:
+                    m, e, g = of.get(c, (0, 0, 0))
+                    of[c] = (m - n, e ^ d, g ^ h)
+        if not moved:
+            break
+    for k, (x, _) in read.items():
+        size = sum(c["count"] for c in x if c["cell"] < fingerprints.WIDTH)
+        union = size + less[k]
+        out[k] = None if any(v != (0, 0, 0) for v in cells[k].values()) else (size - more[k]) / union if union else 1.0
+    return out
+
+
+def test_written_fingerprints_give_the_likeness(spark):
+    """Two strings are all that is needed: they subtract and peel to the likeness that is returned."""
+    rows = sorted(fingerprints.fingerprints(documents(spark)).collect(), key=lambda r: -r["doc_id"])
+    edited = peeled(spark, [(r["doc_id"], r["fingerprint"], r["edited_fingerprint"]) for r in rows])
+    after = peeled(spark, [(r["doc_id"], r["fingerprint"], rows[(i + 1) % len(rows)]["fingerprint"]) for i, r in enumerate(rows)])
+    for name, got in (("near_edited", edited), ("near_next", after)):
+        whole = [r for r in rows if got[r["doc_id"]] is not None]
+        print(name, len(whole), len(rows))
+        assert whole and all(got[r["doc_id"]] == pytest.approx(r[name]) for r in whole)
+
+
+def test_hot_and_null_ids_are_cut(spark):
+    rows = [(None, f"null {i}.") for i in range(300)] + [(7, f"seven {i}.") for i in range(300)] + [(i * 10 ** 9, f"text {i}.") for i in range(-150, 150)]
+    docs = spark.createDataFrame(rows, "id long, text string").fillna({"id": fingerprints.LOWEST})
+    per = fingerprints.with_next(docs, 30, 1000).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in per) < 75 and sum(r["count"] for r in per) == 900
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, _, t in sorted((-(fingerprints.LOWEST if i is None else i), hashes[t], t) for i, t in rows)]
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_next(docs, 30, 1000).collect()}
+    assert got == {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+
+
 @pytest.mark.parametrize("rounds", [9, 3])
 def test_sketches_recover_all_differences(spark, rounds):
     docs = documents(spark)
