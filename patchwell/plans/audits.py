@@ -255,3 +255,24 @@ def scene_rejects(spark, sf):
 @BOOK.add("s05_listing_links", r"""select l as file, count(*) as pages from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"?]+)"', 1))) as l from pages) group by 1""")
 def listing_links(spark, sf):
     return FT.listing_links(table(spark, sf, "pages"), "html", r'href="([^"?]+)"')
+
+
+@BOOK.add("p28_range_locators", """with d as (select l_orderkey as seq, count(*) as n, '['||min(l_discount)||','||max(l_discount)||']' as span from lineitem group by 1),
+c as (select *, 'len(samples)' as locator, case when seq%7=0 then null else n::varchar end as found, (n+case when seq%5=0 then 1 else 0 end)::varchar as recorded from d
+  union all select *, 'regional_high_range:best', case when seq%11=0 then null else span end, case when seq%3=0 then '[0.0,1.0]' else span end from d)
+select seq, locator, found, case when seq%13=0 then 'SOURCE_MISSING' when found is null then 'LOCATOR_MISSING' when found=recorded then 'VERIFIED' else 'DIFFERS' end as status from (select * replace (case when seq%13=0 then null else found end as found) from c)""")
+def range_locators(spark, sf):
+    """Lengths and ranges looked up in one JSON document per order; one in thirteen orders has none."""
+    key = F.col("l_orderkey").alias("seq")
+    lines = table(spark, sf, "lineitem").groupBy(key).agg(F.collect_list(F.struct("l_linenumber", "l_discount")).alias("lines"), F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"))
+    score = F.transform("lines", lambda x: F.array(*[F.struct(v.alias("f1")) for v in (F.lit(0.5), F.lit(0.25), x["l_discount"])]))
+    groups = F.map_from_entries(F.zip_with(F.sequence(F.lit(1), F.size("lines")), score, lambda i, s: F.struct(F.concat(F.lit("g"), i.cast("string")), F.struct(s.alias("per_class")))))
+    seq = F.col("seq")
+    record = F.struct(F.when(seq % 7 != 0, F.transform("lines", lambda x: x["l_linenumber"])).alias("samples"), F.when(seq % 11 != 0, F.struct(groups.alias("test_groups"))).alias("best"))
+    source = seq.cast("string").alias("source")
+    claims = lines.select(source, F.explode(F.array(
+        F.struct(F.lit("len(samples)").alias("locator"), (F.col("n") + F.when(seq % 5 == 0, 1).otherwise(0)).cast("string").alias("recorded")),
+        F.struct(F.lit("regional_high_range:best").alias("locator"), F.when(seq % 3 == 0, "[0.0,1.0]").otherwise(
+            F.concat(F.lit("["), F.col("low").cast("string"), F.lit(","), F.col("high").cast("string"), F.lit("]"))).alias("recorded")))).alias("c")).select("source", "c.*")
+    out = A.provenance_check(claims, lines.where(seq % 13 != 0).select(source, F.to_json(record).alias("document")))
+    return out.select(F.col("source").cast("bigint").alias("seq"), "locator", "found", "status")

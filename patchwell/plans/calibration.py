@@ -112,3 +112,28 @@ def temperature(spark, sf):
     val = logits(spark, sf).where(F.col("partition") == "validation")
     out = C.fit_temperature(val, ["model"])
     return out.select("model", r6(F.col("nll_before")).alias("nll_before"), F.round("nll_after", 3).alias("nll_after"), "at_bound")
+
+
+def _zoom_sql(passes: int = 4, points: int = 17) -> str:
+    """The passes over log-spaced grids, each around the best temperature of the one before."""
+    parts = ["s0 as (select distinct model, rows, ln(0.05::double) as lo, ln(20.0::double) as hi from v)"]
+    for i in range(passes):
+        parts.append(f"""g{i} as (select model, rows, (hi-lo)/{points - 1} as step, unnest(list_concat([1.0::double, 0.05::double, 20.0::double], list_transform(range(0,{points}), lambda n: exp(lo+(hi-lo)/{points - 1}*n)))) as t from s{i}),
+l{i} as (select model, rows, t, any_value(step) as step, avg(gap/t+ln(exp(d0/t)+exp(d1/t)+exp(d2/t))) as loss from v join g{i} using (model, rows) group by 1,2,3),
+b{i} as (select model, rows, arg_min(t, (loss, t)) as t, min(loss) as loss, any_value(step) as step from l{i} group by 1,2)""")
+        parts.append(f"s{i + 1} as (select model, rows, greatest(ln(0.05::double), ln(t)-step) as lo, least(ln(20.0::double), ln(t)+step) as hi from b{i})")
+    return ",\n".join(parts) + f"\nselect model, rows, round(b.t,4) as temperature, round(l0.loss,6) as nll_before, round(b.loss,6) as nll_after, b.t<0.0500005 or b.t>19.9998 as at_bound from b{passes - 1} b join l0 using (model, rows) where l0.t=1.0"
+
+
+_GAP = "a-m as d0, b-m as d1, c-m as d2, m-case y when 0 then a when 1 then b else c end as gap from k where partition='validation'"
+
+
+@BOOK.add("m05_fitted_temperature", _KNOWN.rstrip() + f""", v as materialized (select model, 'all' as rows, {_GAP} union all select model, 'right', {_GAP} and pred=y union all select model, 'wrong', {_GAP} and pred<>y union all select model, 'mostly', {_GAP} and (pred=y or pixel%7=0)),
+""" + _zoom_sql())
+def fitted_temperature(spark, sf):
+    """The temperature itself: of all rows, of those that are always right (lower bound), always wrong (upper bound) and mostly right."""
+    right = F.col("pred") == F.col("y")
+    val = logits(spark, sf).where(F.col("partition") == "validation").where(F.col("y").isNotNull()).withColumn("pred", argmax(F.col("logits")))
+    kinds = F.array_compact(F.array(F.lit("all"), F.when(right, "right"), F.when(~right, "wrong"), F.when(right | (F.col("pixel") % 7 == 0), "mostly")))
+    out = C.fit_temperature(val.withColumn("rows", F.explode(kinds)), ["model", "rows"])
+    return out.select("model", "rows", F.round("temperature", 4).alias("temperature"), *[r6(F.col(c)).alias(c) for c in ("nll_before", "nll_after")], "at_bound")

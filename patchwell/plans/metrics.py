@@ -8,7 +8,7 @@ from ..functions import evidence as EV
 from ..operators import metrics as M
 from ..operators.profiles import r6
 from .registry import Book
-from .views import logits, predictions, with_views
+from .views import census, logits, predictions, with_views
 
 BOOK = Book()
 _PRED = with_views("v_pred")
@@ -195,3 +195,18 @@ def decision(spark, sf):
     recalls = per_region.groupBy("partition", "model").agg(
         F.count(F.lit(1)).alias("high_components"), F.collect_list("high_recall").alias("component_high_recalls"))
     return pooled.join(recalls, ["partition", "model"]).select("partition", "model", F.concat_ws(";", EV.metric_gate_reasons()).alias("reasons"))
+
+
+@BOOK.add("w14_highest_patches", with_views("v_census") + """select tile, arg_min(sample_id, (high_pixels, sample_id)) as lowest, min(high_pixels) as lowest_value, arg_min(sample_id, (-high_pixels, sample_id)) as highest, max(high_pixels) as highest_value from v_census group by 1""")
+def highest_patches(spark, sf):
+    """The patch with the most High pixels of each region, and the one with the fewest."""
+    return M.extremes(census(spark, sf), ["tile"], "sample_id", "high_pixels")
+
+
+@BOOK.add("w14_false_negatives", _KNOWN + """, fn as (select model, region, y, count(*) filter (pred<>y) as n from k group by 1,2,3)
+select model, region, arg_min(y, (n, y)) as lowest, min(n) as lowest_value, arg_min(y, (-n, y)) as highest, max(n) as highest_value from fn group by 1,2""")
+def false_negatives(spark, sf):
+    """The class that most of its own pixels miss, per model and region."""
+    known = predictions(spark, sf).where(F.col("y").isNotNull())
+    missed = known.groupBy("model", "region", "y").agg(F.count_if(F.col("pred") != F.col("y")).alias("n"))
+    return M.extremes(missed, ["model", "region"], "y", "n")

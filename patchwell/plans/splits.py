@@ -252,3 +252,24 @@ def intersection(spark, sf):
 def duplicate_keys(spark, sf):
     li = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
     return SP.duplicates(li, "key")
+
+
+@BOOK.add("d08_partition_faults", _SAMPLES.rstrip() + """, r as (select *, case when seq%17=3 then 7 when status='F' then 0 when status='O' and split<>'test' then 1 when status='O' then 0 else 2 end as class_id,
+  case when seq%11=1 then null when seq%13=2 then 'holdout' else split end as part from m),
+f as (select part, 'spatial_group_id' as field, tile as value from r union all select part, 'footprint_id', sample_id from r union all select part, 'waterbody_ids', subtile_id from r union all select part, 'waterbody_ids', 'W'||(seq%500) from r)
+select 'unassigned_sample' as rule, sample_id as key from r where part is null
+union all select 'unknown_sample', 'X'||sample_id from r where seq%19=4
+union all select 'invalid_split', sample_id from r where part='holdout'
+union all select 'invalid_class', sample_id from r where class_id=7
+union all select 'geographic_leakage', field||'='||value from f where part is not null group by field, value having count(distinct part)>1
+union all select 'missing_class', s||'='||c from (values ('train'),('validation'),('test')) t(s), (values (0),(1),(2)) u(c) where not exists (select 1 from r where part=s and class_id=c)""")
+def partition_faults(spark, sf):
+    """A membership with every fault: each of the six rules fires, row by row."""
+    m = membership(spark, sf)
+    seq = F.col("seq")
+    kind = F.when(seq % 17 == 3, 7).when(F.col("status") == "F", 0).when((F.col("status") == "O") & (F.col("split") != "test"), 1).when(F.col("status") == "O", 0).otherwise(2)
+    rows = m.select("sample_id", F.col("tile").alias("spatial_group_id"), F.col("sample_id").alias("footprint_id"),
+                    F.array("subtile_id", F.concat(F.lit("W"), (seq % 500).cast("string"))).alias("waterbody_ids"), kind.alias("class_id"))
+    given = m.where(seq % 11 != 1).select("sample_id", F.when(seq % 13 == 2, "holdout").otherwise(F.col("split")).alias("split"))
+    strange = m.where(seq % 19 == 4).select(F.concat(F.lit("X"), "sample_id").alias("sample_id"), "split")
+    return SP.validate_partition(rows, given.unionByName(strange)).select("rule", "key")
