@@ -32,7 +32,7 @@ from .common import materialize
 PIECE = 64
 LOWEST = -(2 ** 63)
 TABLES = 3
-WIDTH = 8  # cells of each table of the written fingerprint, and of the smallest sketch
+WIDTH = 8  # cells of each table of the written fingerprint
 KNOTS = 64
 
 
@@ -134,9 +134,9 @@ def differences(rows: DataFrame, keys: list[str], seed: int, rounds: int, kept:
 
 
 def width_for(growth: int = 1) -> Column:
-    """Cells of one table: a power of two, at least half of the largest difference that the counts allow (1.5 cells for each)."""
+    """Cells of one table: a power of two, at least three quarters of the largest difference that the counts allow."""
     most = F.size("a") + F.greatest(F.size("e"), F.size("n"))
-    return (F.lit(WIDTH * growth) * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(most * 0.5 / WIDTH + 1e-9))))).cast("long")
+    return (F.lit(2 * WIDTH * growth) * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(most * 0.75 / (2 * WIDTH) + 1e-9))))).cast("long")
 
 
 def segments(ids: DataFrame, rows_per_bucket: int, max_buckets: int) -> list[tuple[int, int, bool, int, int]]:
