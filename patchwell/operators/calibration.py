@@ -147,12 +147,21 @@ def fit_temperature(rows: DataFrame, keys: list[str], bounds: tuple[float, float
                        F.col("best.loss").alias("nll_after"), at_bound.alias("at_bound"))
 
 
+def masked_losses(rows: DataFrame, keys: list[str], kinds: dict[str, dict]) -> DataFrame:
+    """Mean cross entropies of the valid pixels, 0 without any, from one aggregate.
+
+    ``kinds`` maps an out name to ``weights`` (one per class) and ``gamma`` (focal), both optional.
+    """
+    y, plain = F.col("y"), F.col("_plain")
+
+    def mean(weights: tuple[float, float, float] | None = None, gamma: float | None = None) -> Column:
+        loss = plain if gamma is None else focal(plain, gamma)
+        w = F.when(y.isNotNull(), F.element_at(F.array(*[F.lit(float(v)) for v in weights]), y + 1) if weights else F.lit(1.0))
+        return F.coalesce(F.try_divide(F.sum(loss * w), F.greatest(F.sum(w), F.lit(1e-12))), F.lit(0.0))
+
+    return rows.withColumn("_plain", cross_entropy(F.col("logits"), y)).groupBy(*keys).agg(*[mean(**kind).alias(name) for name, kind in kinds.items()])
+
+
 def masked_loss(rows: DataFrame, keys: list[str], weights: tuple[float, float, float] | None = None, gamma: float | None = None) -> DataFrame:
     """Mean cross entropy of the valid pixels, optionally focal and class-weighted; 0 without any."""
-    y = F.col("y")
-    loss = cross_entropy(F.col("logits"), y)
-    if gamma is not None:
-        loss = focal(loss, gamma)
-    w = F.when(y.isNotNull(), F.element_at(F.array(*[F.lit(float(v)) for v in weights]), y + 1) if weights else F.lit(1.0))
-    return rows.groupBy(*keys).agg(F.coalesce(
-        F.try_divide(F.sum(loss * w), F.greatest(F.sum(w), F.lit(1e-12))), F.lit(0.0)).alias("loss"))
+    return masked_losses(rows, keys, {"loss": {"weights": weights, "gamma": gamma}})

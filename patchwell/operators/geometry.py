@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import Checked, all_violations, violation
@@ -45,19 +47,38 @@ def primary_rings(edges: DataFrame) -> DataFrame:
     return outer.groupBy("geom").agg(best.alias("b")).select("geom", "b.*")
 
 
+def box_level(cell: float) -> Column:
+    """Level of a box: the number of doublings of ``cell`` that make it at least as long as both sides; NULL with a null side."""
+    longest = F.when(F.col("xmin").isNotNull() & F.col("xmax").isNotNull() & F.col("ymin").isNotNull() & F.col("ymax").isNotNull(),
+                     F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+    return F.when(longest.isNotNull(), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest, F.lit(cell)) / cell)).cast("int")))
+
+
+def levels_in(levels: DataFrame) -> Column:
+    """The distinct levels as an array: doublings, so about a thousand at the very most and a handful in practice."""
+    return F.array(*[F.lit(r[0]) for r in levels.distinct().where(F.col(levels.columns[0]).isNotNull()).sort(levels.columns[0]).collect()]).cast("array<int>")
+
+
+def _on_cells(boxes: DataFrame, side: Column, pad: float = 0.0) -> DataFrame:
+    """One row for each cell (``gx, gy``) of the given side length that a box covers."""
+    across = [F.sequence(F.floor((F.col(lo) - pad) / side), F.floor((F.col(hi) + pad) / side)) for lo, hi in (("xmin", "xmax"), ("ymin", "ymax"))]
+    return boxes.withColumn("gx", F.explode(across[0])).withColumn("gy", F.explode(across[1]))
+
+
 def candidate_pairs(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
-    """Points with each geometry whose bounding box holds them: an equi-join on grid cells.
+    """Points with each geometry whose bounding box holds them: an equi-join on the cells of several grids.
 
-    Boxes are spread over the cells they cover; points stay one row each.
+    A box lies on the grid whose cells are about as long as its longer side (``cell`` or a doubling of it), so it is at most
+    nine rows whatever its size; a point looks at one cell of each grid in use.
     """
     box = edges.groupBy("geom").agg(*[f(c).alias(n) for n, f, c in (
-        ("xmin", F.min, "x0"), ("xmax", F.max, "x0"), ("ymin", F.min, "y0"), ("ymax", F.max, "y0"))])
-    spread = box.withColumn("gx", F.explode(F.sequence(F.floor((F.col("xmin") - ON_EDGE) / cell), F.floor((F.col("xmax") + ON_EDGE) / cell)))).withColumn(
-        "gy", F.explode(F.sequence(F.floor((F.col("ymin") - ON_EDGE) / cell), F.floor((F.col("ymax") + ON_EDGE) / cell))))
-    gridded = points.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
+        ("xmin", F.min, "x0"), ("xmax", F.max, "x0"), ("ymin", F.min, "y0"), ("ymax", F.max, "y0"))]).withColumn("_level", box_level(cell))
+    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    spread = _on_cells(box.where(F.col("_level").isNotNull()), side, ON_EDGE)
+    gridded = points.withColumn("_level", F.explode(levels_in(box.select("_level")))).withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
     held = (F.col("x").between(F.col("xmin") - ON_EDGE, F.col("xmax") + ON_EDGE)
             & F.col("y").between(F.col("ymin") - ON_EDGE, F.col("ymax") + ON_EDGE))
-    return gridded.join(spread, ["gx", "gy"]).where(held).drop("gx", "gy", "xmin", "xmax", "ymin", "ymax")
+    return gridded.join(spread, ["_level", "gx", "gy"]).where(held).drop("_level", "gx", "gy", "xmin", "xmax", "ymin", "ymax")
 
 
 def inside(points: DataFrame, edges: DataFrame, keys: list[str], band: float, boundary: bool = True) -> DataFrame:
@@ -99,30 +120,79 @@ def grid_cells(bounds: DataFrame, keys: list[str], grid: dict, pad: int = 1) ->
     return rows.select(*keys, "row", "col", (ox + (F.col("col") + 0.5) * size).alias("x"), (oy - (F.col("row") + 0.5) * size).alias("y"))
 
 
-def center_mask(edges: DataFrame, grid: dict, band: float | None = None) -> Checked:
-    """Cells whose centre lies in the geometry, holes removed; a geometry off the grid is a violation.
+def _changes(rows: DataFrame, keys: list[str], state: Column) -> DataFrame:
+    """The columns at which ``state`` (over ``_here``, a window ordered by column) turns: ``turn`` 1 on, -1 off."""
+    order = Window.partitionBy(*keys).orderBy("col")
+    staged = rows.withColumn("_in", state)
+    staged = staged.withColumn("_was", F.lag("_in", 1, False).over(order)).where(F.col("_in") != F.col("_was"))
+    return staged.select(*keys, "col", F.when(F.col("_in"), 1).otherwise(-1).alias("turn"))
 
-    The rule is "centre inside"; outlines are not painted.
+
+def center_runs(edges: DataFrame, grid: dict) -> DataFrame:
+    """Runs ``geom, row, col_from, col_to`` of the cells whose centre lies in the geometry (closed rings), holes removed.
+
+    Each edge gives one crossing for each row of centres between its ends; the crossings of a ring, in order, open and close it.
+    Sums over the open rings tell where a part is inside and no hole is, and sums over the parts where any is. So the work follows
+    the outline, not the area, and all steps share one exchange by geometry and row. Edges with a null end cross nothing.
     """
+    size, ox, oy, width = grid["pixel_size"], grid["origin_x"], grid["origin_y"], grid["width"]
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    first = F.greatest(F.lit(0), F.floor((oy - high) / size - 0.5) - 1)
+    last = F.least(F.lit(grid["height"] - 1), F.ceil((oy - low) / size - 0.5) + 1)
+    sloped = edges.where((F.col("y0") != F.col("y1")) & F.col("x0").isNotNull() & F.col("x1").isNotNull()).withColumns({"_r0": first.cast("int"), "_r1": last.cast("int")})
+    y = oy - (F.col("row") + 0.5) * size
+    met = sloped.where(F.col("_r0") <= F.col("_r1")).withColumn("row", F.explode(F.sequence("_r0", "_r1"))).where((F.col("y0") > y) != (F.col("y1") > y))
+    x = (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+    guess = F.ceil((F.col("x") - ox) / size - 0.5)
+
+    def center(c: Column) -> Column:
+        return ox + (c + 0.5) * size
+
+    column = F.when(center(guess - 1) >= F.col("x"), guess - 1).when(center(guess) < F.col("x"), guess + 1).otherwise(guess)
+    dealt = met.select("geom", "part", "ring", "row", x.alias("x")).repartition("geom", "row").withColumn("col", F.least(F.lit(width), F.greatest(F.lit(0), column)).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("geom", "row", "part", "ring").orderBy("x"))
+    turn, outer = F.when(nth % 2 == 1, 1).otherwise(-1), F.col("ring") == 0
+    turns = dealt.withColumn("turn", turn).groupBy("geom", "row", "part", "col").agg(
+        F.sum(F.when(outer, F.col("turn")).otherwise(0)).alias("_outer"), F.sum(F.when(outer, 0).otherwise(F.col("turn"))).alias("_holes"))
+    here = Window.partitionBy("geom", "row", "part").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    parts = _changes(turns, ["geom", "row", "part"], (F.sum("_outer").over(here) > 0) & (F.sum("_holes").over(here) == 0))
+    here = Window.partitionBy("geom", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    whole = _changes(parts.groupBy("geom", "row", "col").agg(F.sum("turn").alias("_parts")), ["geom", "row"], F.sum("_parts").over(here) > 0)
+    ends = whole.withColumn("_end", F.lead("col").over(Window.partitionBy("geom", "row").orderBy("col")))
+    return ends.where(F.col("turn") == 1).select("geom", "row", F.col("col").alias("col_from"), (F.coalesce("_end", F.lit(width)) - 1).alias("col_to"))
+
+
+def off_grid(edges: DataFrame, grid: dict) -> DataFrame:
+    """Geometries that lie wholly outside the grid, as violations."""
     bounds = edges.groupBy("geom").agg(F.min("x0").alias("xmin"), F.max("x0").alias("xmax"), F.min("y0").alias("ymin"), F.max("y0").alias("ymax"))
-    cells = grid_cells(bounds, ["geom"], grid)
-    mask = inside(cells, edges, ["row", "col"], band or grid["pixel_size"] * 4, boundary=False)
     right, bottom = grid["origin_x"] + grid["width"] * grid["pixel_size"], grid["origin_y"] - grid["height"] * grid["pixel_size"]
     off = (F.col("xmax") < grid["origin_x"]) | (F.col("xmin") > right) | (F.col("ymax") < bottom) | (F.col("ymin") > grid["origin_y"])
-    return Checked(mask, violation(bounds, "outside_grid", off, "geom"))
+    return violation(bounds, "outside_grid", off, "geom")
+
+
+def center_mask(edges: DataFrame, grid: dict) -> Checked:
+    """Cells whose centre lies in the geometry, holes removed; a geometry off the grid is a violation.
+
+    The rule is "centre inside"; outlines are not painted.
+    """
+    cells = center_runs(edges, grid).select("row", F.explode(F.sequence("col_from", "col_to")).alias("col"), "geom")
+    return Checked(cells, off_grid(edges, grid))
 
 
-def zonal_counts(mask: DataFrame, cells: DataFrame, pairs: DataFrame, product: str = "product") -> DataFrame:
-    """Class counts of the whole mask per geometry and product.
+def zonal_counts(mask: DataFrame, cells: DataFrame, pairs: DataFrame, product: str = "product", block: int = 64) -> DataFrame:
+    """Class counts of the whole mask, given as cells or as runs of columns, per geometry and product.
 
     ``pairs`` lists the products of each geometry. A mask cell that a listed product has no value for is invalid,
-    so ``valid + invalid`` is always the size of the mask.
+    so ``valid + invalid`` is always the size of the mask. Runs meet cells by row and block of columns.
     """
     dn = F.col("dn")
-    sizes = mask.groupBy("geom").agg(F.count(F.lit(1)).alias("mask_pixels"))
+    runs = mask if "col_from" in mask.columns else mask.select("geom", "row", F.col("col").alias("col_from"), F.col("col").alias("col_to"))
+    sizes = runs.groupBy("geom").agg(F.sum(F.col("col_to") - F.col("col_from") + 1).alias("mask_pixels"))
     counts = {"low": dn.between(0, 99), "moderate": dn.between(100, 199), "high": dn.between(200, 253), "valid": dn.between(0, 253),
               "high_199": dn.between(199, 253), "high_201": dn.between(201, 253)}
-    hits = mask.join(cells, ["row", "col"]).groupBy("geom", product).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    blocks = F.sequence(F.floor(F.col("col_from") / block), F.floor(F.col("col_to") / block))
+    met = cells.withColumn("_block", F.floor(F.col("col") / block)).join(runs.withColumn("_block", F.explode(blocks)), ["row", "_block"])
+    hits = met.where(F.col("col").between(F.col("col_from"), F.col("col_to"))).groupBy("geom", product).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
     full = pairs.join(sizes, "geom").join(hits, ["geom", product], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})
     return full.select("geom", product, "low", "moderate", "high", "valid", (F.col("mask_pixels") - F.col("valid")).alias("invalid"),
                        "mask_pixels", "high_199", "high_201")
@@ -144,22 +214,26 @@ def centroids(primary: DataFrame) -> DataFrame:
     return primary.select("geom", F.lit(-1).alias("ord"), F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
-def lattice_points(primary: DataFrame, denominators=DENOMINATORS) -> DataFrame:
-    """Lattice candidates over the bounds of each primary ring, numbered in search order."""
-    lattice = F.flatten(F.transform(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i")) for i, d in enumerate(denominators)]), lambda s: F.flatten(
-        F.transform(F.sequence(F.lit(1), s["d"] - 1), lambda r: F.transform(F.sequence(F.lit(1), s["d"] - 1), lambda c: F.struct(
-            (s["i"] * 10000 + r * 100 + c).alias("ord"), (c / s["d"]).alias("fx"), (r / s["d"]).alias("fy")))))))
-    return primary.withColumn("l", F.explode(lattice)).select(
-        "geom", F.col("l.ord").alias("ord"), (F.col("xmin") + (F.col("xmax") - F.col("xmin")) * F.col("l.fx")).alias("x"),
-        (F.col("ymin") + (F.col("ymax") - F.col("ymin")) * F.col("l.fy")).alias("y"))
+def lattice_points(primary: DataFrame, stage: int, denominator: int) -> DataFrame:
+    """Lattice candidates of one stage over the bounds of each primary ring, numbered in search order."""
+    steps = F.sequence(F.lit(1), F.lit(denominator - 1))
+    placed = primary.withColumn("_r", F.explode(steps)).withColumn("_c", F.explode(steps))
+    return placed.select(
+        "geom", (F.lit(stage * 10000) + F.col("_r") * 100 + F.col("_c")).alias("ord"),
+        (F.col("xmin") + (F.col("xmax") - F.col("xmin")) * (F.col("_c") / denominator)).alias("x"),
+        (F.col("ymin") + (F.col("ymax") - F.col("ymin")) * (F.col("_r") / denominator)).alias("y"))
 
 
 def _first_hits(edges: DataFrame, denominators, accept) -> tuple[DataFrame, DataFrame]:
-    """Accepted centroids, and accepted lattice points only where the centroid was refused."""
+    """Accepted centroids, then accepted lattice points stage by stage: a geometry that is found makes no finer lattice."""
     primary = cut_lineage(primary_rings(edges))
-    direct = cut_lineage(accept(centroids(primary)))
-    left = primary.join(direct.select("geom"), "geom", "left_anti")
-    return direct.unionByName(accept(lattice_points(left, denominators))), primary
+    left, hits = primary, [cut_lineage(accept(centroids(primary)))]
+    for stage, denominator in enumerate(denominators):
+        left = cut_lineage(left.join(hits[-1].select("geom").distinct(), "geom", "left_anti"))
+        if left.isEmpty():
+            break
+        hits.append(cut_lineage(accept(lattice_points(left, stage, denominator))))
+    return reduce(DataFrame.unionByName, hits), primary
 
 
 def representative_points(edges: DataFrame, band: float, denominators=DENOMINATORS) -> Checked:
@@ -196,21 +270,28 @@ def contained_patches(edges: DataFrame, grid: dict, size: int, band: float, deno
 def box_overlaps(boxes: DataFrame, cell: float) -> Checked:
     """Overlapping pairs of distinct boxes of one CRS (touching is not overlap), with the rows behind them.
 
-    Identical boxes are folded to one row with a count before the join, and every pair is found
-    only in the grid cell that holds the lower corner of its intersection.
+    Identical boxes are folded to one row with a count before the join. A box is held on the grid whose cells are about as long
+    as its longer side, so it is at most four rows there whatever its size, and looks for boxes of its own and of each larger
+    level in use. Every pair is found only at the level of the larger box, in the cell with the lower corner of the intersection.
     """
     known = F.col("crs").isNotNull() & ~F.col("crs").isin("", "UNKNOWN", "UNVERIFIED")
-    proper = (F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))
+    finite = [F.abs(F.col(c)) < float("inf") for c in ("xmin", "ymin", "xmax", "ymax")]
+    proper = reduce(Column.__and__, finite, (F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax")))
     shape = ["crs", "xmin", "ymin", "xmax", "ymax"]
-    distinct = boxes.where(known & proper).groupBy(*shape).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    spread = distinct.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell)))).withColumn(
-        "gy", F.explode(F.sequence(F.floor(F.col("ymin") / cell), F.floor(F.col("ymax") / cell))))
-    left, right = (spread.select("crs", "gx", "gy", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", *shape[1:])]) for side in ("l", "r"))
+    good = boxes.where(known & proper)
+    distinct = good.groupBy(*shape).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("_own", box_level(cell))
+    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    upward = F.filter(levels_in(good.select(box_level(cell).alias("level"))), lambda v: v >= F.col("_own"))
+    held = _on_cells(distinct.withColumn("_level", F.col("_own")), side)
+    seeking = _on_cells(distinct.withColumn("_level", F.explode(upward)), side)
+    keys = ["crs", "_level", "gx", "gy"]
+    left, right = (d.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "_own", *shape[1:])]) for name, d in (("l", seeking), ("r", held)))
     overlap = ((F.col("l_xmin") < F.col("r_xmax")) & (F.col("r_xmin") < F.col("l_xmax"))
                & (F.col("l_ymin") < F.col("r_ymax")) & (F.col("r_ymin") < F.col("l_ymax")))
-    here = (F.floor(F.greatest("l_xmin", "r_xmin") / cell) == F.col("gx")) & (F.floor(F.greatest("l_ymin", "r_ymin") / cell) == F.col("gy"))
-    pairs = left.join(right, ["crs", "gx", "gy"]).where((F.col("l_id") < F.col("r_id")) & overlap & here).select(
-        "crs", F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), (F.col("l_n") * F.col("r_n")).alias("pairs"))
+    here = (F.floor(F.greatest("l_xmin", "r_xmin") / side) == F.col("gx")) & (F.floor(F.greatest("l_ymin", "r_ymin") / side) == F.col("gy"))
+    once = (F.col("l__own") < F.col("r__own")) | (F.col("l_id") < F.col("r_id"))  # two boxes of one level seek each other
+    pairs = left.join(right, keys).where(once & overlap & here).select(
+        "crs", F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id"), (F.col("l_n") * F.col("r_n")).alias("pairs"))
     same = distinct.where(F.col("n") > 1).select("crs", F.col("id").alias("left_id"), F.col("id").alias("right_id"),
                                                  F.expr("n * (n - 1) div 2").alias("pairs"))
     problems = all_violations(violation(boxes, "unknown_crs", ~F.coalesce(known, F.lit(False)), "id"),

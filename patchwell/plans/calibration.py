@@ -96,11 +96,7 @@ _LOSS = _KNOWN.rstrip() + """, ce as (select model, region, y, -ln(case y when 0
 
 @BOOK.add("e14_masked_loss", _LOSS + """select model, region, round(avg(l),6) as plain, round(sum(l*w)/sum(w),6) as weighted, round(avg(l*pow(1-exp(-l),2)),6) as focal from ce group by 1,2""")
 def loss(spark, sf):
-    rows = logits(spark, sf)
-    plain = C.masked_loss(rows, _KEYS).withColumnRenamed("loss", "plain")
-    weighted = C.masked_loss(rows, _KEYS, weights=(0.5, 1.0, 3.0)).withColumnRenamed("loss", "weighted")
-    focal = C.masked_loss(rows, _KEYS, gamma=2.0).withColumnRenamed("loss", "focal")
-    return _rounded(plain.join(weighted, _KEYS).join(focal, _KEYS))
+    return _rounded(C.masked_losses(logits(spark, sf), _KEYS, {"plain": {}, "weighted": {"weights": (0.5, 1.0, 3.0)}, "focal": {"gamma": 2.0}}))
 
 
 @BOOK.add("m05_temperature", _KNOWN + """, v as (select model, a-m as d0, b-m as d1, c-m as d2, m-case y when 0 then a when 1 then b else c end as gap from k where partition='validation'),

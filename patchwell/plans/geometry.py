@@ -134,10 +134,16 @@ select geom, l.product, count(*) filter (dn<100) as low, count(*) filter (dn bet
   count(*) filter (dn<=253) as valid, count(*) filter (dn is null or dn>253) as invalid, count(*) as mask_pixels, count(*) filter (dn between 199 and 253) as high_199, count(*) filter (dn between 201 and 253) as high_201
   from ins cross join listed l left join dnc on dnc.product=l.product and dnc."row"=ins."row" and dnc.col=ins.col group by 1,2""")
 def zonal(spark, sf):
-    mask, cells = G.center_mask(edges(spark, sf), GRID).rows, dn_cells(spark, sf)
+    runs, cells = G.center_runs(edges(spark, sf), GRID), dn_cells(spark, sf)
     products = cells.agg(F.collect_set("product").alias("all"))  # one row: the product list of every geometry
     pairs = shapes(spark, sf).select("geom").join(F.broadcast(products)).select("geom", F.explode("all").alias("product"))
-    return G.zonal_counts(mask, cells, pairs)
+    return G.zonal_counts(runs, cells, pairs)
+
+
+@BOOK.add("a09_mask_runs", _MASK + """, st as (select geom, "row", col, col-row_number() over (partition by geom, "row" order by col) as island from ins)
+select geom, "row", min(col) as col_from, max(col) as col_to from st group by geom, "row", island""")
+def mask_runs(spark, sf):
+    return G.center_runs(edges(spark, sf), GRID)
 
 
 @BOOK.add("a10_distinct_native_cells", """select event_type as product, count(*) as observations, count(distinct ((event_id*7%110)*1000+(event_id*13+event_id//110)%120)) as distinct_cells from events group by 1""")

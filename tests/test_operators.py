@@ -255,6 +255,68 @@ def test_center_mask_and_holes(spark):
     assert geometry.center_mask(off, SQUARE).violations.count() == 1
 
 
+def star(rng, cx, cy, radius, corners):
+    angles = sorted(rng.random() * 2 * math.pi for _ in range(corners))
+    return ring(*[(cx + radius * (0.3 + 0.7 * rng.random()) * math.cos(a), cy + radius * (0.3 + 0.7 * rng.random()) * math.sin(a)) for a in angles])
+
+
+def test_mask_runs_equal_the_point_test(spark):
+    rng = random.Random(5)
+    grid = {"width": 40, "height": 30, "origin_x": 0.0, "origin_y": 300.0, "pixel_size": 10.0}
+    geoms = [[star(rng, rng.uniform(-20, 420), rng.uniform(-20, 320), rng.choice((8, 60, 400)), rng.choice((3, 7, 40)))] +
+             [star(rng, 200, 150, 90, 9) for _ in range(rng.choice((0, 2)))] for _ in range(24)]
+    parts = [[geoms[i], geoms[i + 1]] for i in range(0, 24, 2)]  # overlapping parts, overlapping holes
+    parts.append([[ring((5, 295), (25, 295), (25, 275), (5, 275))]])  # corners on centres
+    parts.append([[ring((50, 50), (50, 50), (50, 50))]])  # a point
+    schema = "geom long, parts array<array<array<struct<x double, y double>>>>"
+    e = geometry.polygon_edges(spark.createDataFrame(list(enumerate(parts)), schema)).cache()
+    bounds = e.select("geom").distinct().selectExpr("geom", "0D xmin", "400D xmax", "0D ymin", "300D ymax")
+    every = geometry.grid_cells(bounds, ["geom"], grid)
+    want = sorted(tuple(r) for r in geometry.inside(every, e, ["row", "col"], 40.0, boundary=False).select("geom", "row", "col").collect())
+    runs = geometry.center_runs(e, grid)
+    got = sorted((r.geom, r.row, c) for r in runs.collect() for c in range(r.col_from, r.col_to + 1))
+    assert got == want and len(set(got)) == len(got) > 500
+    assert sorted((r.row, r.col) for r in geometry.center_mask(e, grid).rows.where("geom = 12").collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]  # half-open: low ends belong, high ends do not
+    cells = every.where("geom = 0").selectExpr("'a' product", "row", "col", "(row * 40 + col) % 256 dn")
+    pairs = e.select("geom").distinct().withColumn("product", F.lit("a"))
+    mask = geometry.center_mask(e, grid).rows
+    assert sorted(map(tuple, geometry.zonal_counts(runs, cells, pairs, block=8).collect())) == sorted(map(tuple, geometry.zonal_counts(mask, cells, pairs).collect()))
+    assert geometry.center_runs(e.limit(0), grid).count() == 0
+
+
+def test_boxes_of_mixed_size_meet_once(spark):
+    rng = random.Random(6)
+    boxes = [(i, "C", x, y, x + w, y + w * rng.uniform(0.2, 1.0)) for i in range(150) for x, y, w in [(rng.uniform(-500, 500), rng.uniform(-500, 500), rng.choice((3.0, 17.0, 64.0, 300.0)))]]
+    boxes += [(900, "C", -1e7, -1e7, 1e7, 1e7), (901, "C", -4e6, -1.0, 4e6, 1.0), (902, "C", 0.0, 0.0, math.inf, 1.0), (903, "C", None, 0.0, 1.0, 1.0)]
+    out = geometry.box_overlaps(spark.createDataFrame(boxes, "id long, crs string, xmin double, ymin double, xmax double, ymax double"), 10.0)
+    good = boxes[:-2]
+    want = sorted((a[0], b[0], 1) for n, a in enumerate(good) for b in good[n + 1:] if a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5])
+    assert sorted((r.left_id, r.right_id, r.pairs) for r in out.rows.collect()) == want
+    assert out.violations.count() == 2  # no length, no number
+    held = geometry._on_cells(spark.createDataFrame(boxes[-4:-2], "id long, crs string, xmin double, ymin double, xmax double, ymax double").withColumn("_level", geometry.box_level(10.0)), F.lit(10.0) * F.pow(F.lit(2.0), F.col("_level")))
+    assert held.count() <= 8  # a box of 20,000 km on a grid of 10 m
+
+
+def test_points_meet_boxes_of_every_size(spark):
+    rng = random.Random(7)
+    geoms = [[[star(rng, rng.uniform(0, 900), rng.uniform(0, 900), r, 6)]] for r in (4, 30, 30, 200, 5000)]
+    e = edges_of(spark, *geoms)
+    pts = spark.createDataFrame([(i, rng.uniform(-100, 1000), rng.uniform(-100, 1000)) for i in range(400)] + [(400, None, 1.0)], "pid int, x double, y double")
+    boxes = [(n, [p[0] for p in g[0][0]], [p[1] for p in g[0][0]]) for n, g in enumerate(geoms)]
+    want = sorted((p.pid, n) for p in pts.collect() if p.x is not None for n, xs, ys in boxes if min(xs) <= p.x <= max(xs) and min(ys) <= p.y <= max(ys))
+    assert sorted((r.pid, r.geom) for r in geometry.candidate_pairs(pts, e, 20.0).collect()) == want
+
+
+def test_lattices_are_searched_in_stages(spark, monkeypatch):
+    thin = [[ring((0, 0), (100, 0), (100, 100), (0, 100)), ring((2, 2), (98, 2), (98, 98), (2, 98))]]  # only the finest lattice meets the frame
+    e = edges_of(spark, [[ring((0, 0), (10, 0), (10, 10), (0, 10))]], thin)
+    asked = []
+    whole = geometry.lattice_points
+    monkeypatch.setattr(geometry, "lattice_points", lambda left, stage, d: asked.append((d, sorted(r.geom for r in left.collect()))) or whole(left, stage, d))
+    out = {r.geom: r.ord for r in geometry.representative_points(e, 25.0).rows.collect()}
+    assert out == {0: -1, 1: 30101} and asked == [(8, [1]), (16, [1]), (32, [1]), (64, [1])]
+
+
 def test_boundary_rules_differ(spark):
     e = edges_of(spark, [[ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (2, 1), (2, 2), (1, 2))], [ring((10, 0), (12, 0), (12, 2), (10, 2))]])
     pts = spark.createDataFrame([(0, 4.0, 2.0), (1, 0.5, 0.5), (2, 1.5, 1.5), (3, 11.0, 1.0), (4, 5.0, 5.0), (5, 1.0, 1.5)], "pid int, x double, y double").withColumn("geom", F.lit(0).cast("long"))
