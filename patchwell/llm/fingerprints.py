@@ -73,16 +73,33 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(77))
 
 
-def cell_of(digest: Column, table: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(100 * seed + table)), F.col("width")).cast("int") + F.lit(table).cast("int") * F.col("width").cast("int")
+def cell_of(digest: Column, table: int, seed: int, width: Column | None = None) -> Column:
+    width = F.col("width") if width is None else width
+    return F.pmod(F.xxhash64(digest, F.lit(100 * seed + table)), width).cast("int") + F.lit(table).cast("int") * width.cast("int")
 
 
-def subtracted(rows: DataFrame, keys: list[str], seed: int, kept: bool) -> DataFrame:
-    """``rows`` has the keys, width and three sides a, e, n. Cells of a - e (pair 0) and a - n (pair 1) that aren't empty.
+def sketch(all_digests: Column) -> Column:
+    """The cells in use (``CELL``) of the sketch with ``WIDTH`` cells a table: what the first, wider one folds to."""
+    width = F.lit(WIDTH).cast("long")
+    hashed = F.transform(all_digests, lambda d: F.struct(d.alias("key"), check(d).alias("chk"), *[cell_of(d, t, 0, width).alias(f"at{t}") for t in range(TABLES)]))
 
-    With ``kept`` the sketches of a (pair 2) and e (pair 3) themselves come along, under the cells of ``WIDTH``; the
-    rounds of peeling sum these and leave them alone.
-    """
+    def folded(held: Column, part: str) -> Column:
+        return F.aggregate(held, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d[part])).alias(part)
+
+    def cells_of_table(entries: Column, table: int) -> Column:
+        def cell(i: Column) -> Column:
+            held = F.array(F.filter(entries, lambda d: d[f"at{table}"] == i))
+            return F.transform(held, lambda h: F.struct(i.alias("cell"), F.size(h).cast("long").alias("count"), folded(h, "key"), folded(h, "chk")))[0]
+        return F.transform(F.sequence(F.lit(table * WIDTH), F.lit((table + 1) * WIDTH - 1)), cell)
+
+    def cells(entries: Column) -> Column:
+        return F.concat(*[cells_of_table(entries, t) for t in range(TABLES)])
+
+    return F.filter(F.transform(F.array(hashed), cells)[0], lambda c: c["count"] > 0)
+
+
+def subtracted(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """``rows`` has the keys, width and three sides a, e, n. Cells of a - e (pair 0) and a - n (pair 1) that aren't empty."""
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("all")) for i, c in enumerate("aen")])
     one = (rows.select(*keys, "width", F.explode(sides).alias("s")).select(*keys, "width", "s.side", F.explode("s.all").alias("digest"))
            .withColumn("chk", check(F.col("digest")))
@@ -94,9 +111,7 @@ def subtracted(rows: DataFrame, keys: list[str], seed: int, kept: bool) -> DataF
         F.bit_xor(F.when(F.col("side") == i, F.col("chk")).otherwise(zero)).alias(f"h{c}"))]
     pairs = [F.struct(F.lit(i).alias("pair"), F.col("cell"), (F.col("ca") - F.col(f"c{c}")).alias("count"), F.col("ka").bitwiseXOR(F.col(f"k{c}")).alias("key"),
                       F.col("ha").bitwiseXOR(F.col(f"h{c}")).alias("chk")) for i, c in enumerate("en")]
-    folded = F.floor(F.col("cell") / F.col("width")).cast("int") * WIDTH + F.col("cell") % WIDTH
-    own = [F.struct(F.lit(i).alias("pair"), folded.alias("cell"), F.col(f"c{c}").alias("count"), F.col(f"k{c}").alias("key"), F.col(f"h{c}").alias("chk")) for i, c in ((2, "a"), (3, "e"))]
-    return (one.groupBy(*keys, "width", "cell").agg(*aggs).select(*keys, "width", F.explode(F.array(*pairs, *(own if kept else []))).alias("p")).select(*keys, "width", "p.*")
+    return (one.groupBy(*keys, "width", "cell").agg(*aggs).select(*keys, "width", F.explode(F.array(*pairs)).alias("p")).select(*keys, "width", "p.*")
             .where("count != 0 or key != 0 or chk != 0").withColumns({"more": F.lit(0).cast("long"), "less": F.lit(0).cast("long")}))
 
 
@@ -107,7 +122,7 @@ def peeled(cells: DataFrame, keys: list[str], seed: int, table: int) -> DataFram
     def row(cell, n, k, h, more, less) -> Column:
         return F.struct(cell.cast("int").alias("cell"), n.cast("long").alias("count"), k.alias("key"), h.alias("chk"), more.cast("long").alias("more"), less.cast("long").alias("less"))
 
-    pure = (F.col("pair") < 2) & (F.abs(count) == 1) & (F.col("chk") == check(key)) & (F.floor(F.col("cell") / F.col("width")) == table) & (cell_of(key, table, seed) == F.col("cell"))
+    pure = (F.abs(count) == 1) & (F.col("chk") == check(key)) & (F.floor(F.col("cell") / F.col("width")) == table) & (cell_of(key, table, seed) == F.col("cell"))
     named = row(F.lit(-1), zero, zero, zero, F.when(count > 0, 1).otherwise(0), F.when(count < 0, 1).otherwise(0))
     out = [row(cell_of(key, t, seed), -count, key, F.col("chk"), zero, zero) for t in range(TABLES) if t != table]
     same = row(F.col("cell"), count, key, F.col("chk"), F.col("more"), F.col("less"))
@@ -117,20 +132,15 @@ def peeled(cells: DataFrame, keys: list[str], seed: int, table: int) -> DataFram
         "cell = -1 or count != 0 or key != 0 or chk != 0")
 
 
-def differences(rows: DataFrame, keys: list[str], seed: int, rounds: int, kept: bool = False) -> DataFrame:
-    """For each row and pair: recovered digests on either side only, and cells that are left (0: all recovered).
-
-    With ``kept`` also the cells of a's and e's own sketches.
-    """
-    cells = reduce(lambda c, i: peeled(c, keys, seed, i % TABLES), range(rounds), subtracted(rows, keys, seed, kept))
+def differences(rows: DataFrame, keys: list[str], seed: int, rounds: int) -> DataFrame:
+    """For each row and pair: recovered digests on either side only, and cells that are left (0: all recovered)."""
+    cells = reduce(lambda c, i: peeled(c, keys, seed, i % TABLES), range(rounds), subtracted(rows, keys, seed))
 
     def over(pair: int, value: Column) -> Column:
         return F.sum(F.when(F.col("pair") == pair, value).otherwise(0))
 
     stuck = F.when(F.col("cell") >= 0, 1).otherwise(0)
-    cell = F.struct("cell", "count", "key", "chk")
-    sketches = [F.collect_list(F.when(F.col("pair") == i, cell)).alias(f"cells_{c}") for i, c in ((2, "a"), (3, "e"))] if kept else []
-    return cells.groupBy(*keys).agg(*[over(i, v).alias(f"{n}_{c}") for i, c in enumerate("en") for n, v in (("more", F.col("more")), ("less", F.col("less")), ("left", stuck))], *sketches)
+    return cells.groupBy(*keys).agg(*[over(i, v).alias(f"{n}_{c}") for i, c in enumerate("en") for n, v in (("more", F.col("more")), ("less", F.col("less")), ("left", stuck))])
 
 
 def width_for(growth: int = 1) -> Column:
@@ -219,13 +229,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.col("next_text").substr(F.lit(1), third))
     rows = with_next(given, rows_per_bucket, max_buckets).withColumn("edited", edited).withColumn("e", digests(F.col("edited")))
     keys = ["bucket", "rn"]
-    tried = differences(rows.select(*keys, "a", "e", "n", width_for().alias("width")), keys, 0, rounds, kept=True)
+    tried = differences(rows.select(*keys, "a", "e", "n", width_for().alias("width")), keys, 0, rounds)
     told = rows.select(*keys, "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       "a", "e", "n")
+                       written(sketch(F.col("a"))).alias("fingerprint"), written(sketch(F.col("e"))).alias("edited_fingerprint"), "a", "e", "n")
     columns = [f"{x}_{c}" for c in "en" for x in ("more", "less", "left")]
     stuck = F.coalesce(F.col("left_e") + F.col("left_n"), F.lit(0)) > 0
-    prints = {name: F.coalesce(written(F.col(f"cells_{c}")), F.lit("")) for name, c in (("fingerprint", "a"), ("edited_fingerprint", "e"))}
-    both = told.join(tried, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in columns} | prints).drop("cells_a", "cells_e").withColumn("size_a", F.size("a"))
+    both = told.join(tried, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in columns}).withColumn("size_a", F.size("a"))
     with joined_in_place(docs.sparkSession):
         done = materialize(both.withColumns({c: F.when(stuck, F.col(c)) for c in "aen"}), "sketches")
     solved, seed = done.where(~stuck).drop(*"aen"), 0
