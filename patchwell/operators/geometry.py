@@ -105,6 +105,22 @@ def inside(points: DataFrame, edges: DataFrame, keys: list[str], band: float, bo
     return per_part.where(F.col("outer") & ~F.col("hole")).select(*keys, "geom").distinct()
 
 
+def points_in_shapes(points: DataFrame, rings: DataFrame, key: str, cell: float, band: float, boundary: bool = True) -> DataFrame:
+    """Every ``key, geom`` of a point (``key, x, y``) inside a geometry (``geom, parts`` as for ``polygon_edges``; both keys unique).
+
+    Equal places and equal outlines are folded before the test, so the work follows the distinct ones; the answers
+    then meet the keys behind them, which is one row for each row of the result. Both sides of that join are dealt out by
+    key first: a few bytes become many rows, which adaptive execution would leave to one task.
+    """
+    n = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = cut_lineage(rings.where(F.col("geom").isNotNull()).select("geom", F.sha2(F.to_json("parts"), 256).alias("_shape"), "parts"))
+    edges = polygon_edges(members.groupBy("_shape").agg(F.first("parts").alias("parts")).withColumnRenamed("_shape", "geom"))
+    hits = inside(candidate_pairs(points.select("x", "y").distinct(), edges, cell), edges, ["x", "y"], band, boundary)
+    where = hits.withColumnRenamed("geom", "_shape").join(members.select("geom", "_shape"), "_shape").select("x", "y", "geom")
+    dealt = points.where(F.col(key).isNotNull()).select(key, "x", "y").repartition(n, key).distinct()
+    return dealt.join(where.repartition(n, "x", "y", "geom"), ["x", "y"]).select(key, "geom")
+
+
 def grid_cells(bounds: DataFrame, keys: list[str], grid: dict, pad: int = 1) -> DataFrame:
     """Rows and columns of the grid whose centres may lie in the bounds, with centre coordinates."""
     size, ox, oy = grid["pixel_size"], grid["origin_x"], grid["origin_y"]

@@ -98,8 +98,7 @@ def ring_measures(spark, sf):
 
 @BOOK.add("g02_point_in_polygon", _POINTS + ", " + _inside_sql("cand", ["pid"]) + " select pid, geom from ins")
 def point_in_polygon(spark, sf):
-    e = edges(spark, sf)
-    return G.inside(G.candidate_pairs(customer_points(spark, sf), e, 50.0), e, ["pid"], 25.0)
+    return G.points_in_shapes(customer_points(spark, sf), shapes(spark, sf), "pid", 50.0, 25.0)
 
 
 @BOOK.add("g03_half_open_test", _POINTS + ", " + _inside_sql("cand", ["pid"], boundary=False) + " select pid, geom from ins")

@@ -307,6 +307,20 @@ def test_points_meet_boxes_of_every_size(spark):
     assert sorted((r.pid, r.geom) for r in geometry.candidate_pairs(pts, e, 20.0).collect()) == want
 
 
+def test_equal_points_and_shapes_are_tested_once(spark, monkeypatch):
+    rng = random.Random(8)
+    shapes = [[[star(rng, rng.uniform(0, 100), rng.uniform(0, 100), 40, 7)]] for _ in range(5)]
+    places = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(12)] + [(None, 1.0)]
+    rings = spark.createDataFrame([(n, shapes[n % 5]) for n in range(60)], "geom long, parts array<array<array<struct<x double, y double>>>>")
+    pts = spark.createDataFrame([(i, *places[i % 13]) for i in range(130)], "pid int, x double, y double")
+    e = geometry.polygon_edges(rings)
+    want = sorted(map(tuple, geometry.inside(geometry.candidate_pairs(pts, e, 20.0), e, ["pid"], 10.0).collect()))
+    asked, whole = [], geometry.inside
+    monkeypatch.setattr(geometry, "inside", lambda points, *a: asked.append(points.count()) or whole(points, *a))
+    assert sorted(map(tuple, geometry.points_in_shapes(pts, rings, "pid", 20.0, 10.0).collect())) == want and len(want) > 500
+    assert asked[0] <= 12 * 5
+
+
 def test_lattices_are_searched_in_stages(spark, monkeypatch):
     thin = [[ring((0, 0), (100, 0), (100, 100), (0, 100)), ring((2, 2), (98, 2), (98, 98), (2, 98))]]  # only the finest lattice meets the frame
     e = edges_of(spark, [[ring((0, 0), (10, 0), (10, 10), (0, 10))]], thin)
