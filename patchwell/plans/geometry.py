@@ -103,8 +103,7 @@ def point_in_polygon(spark, sf):
 
 @BOOK.add("g03_half_open_test", _POINTS + ", " + _inside_sql("cand", ["pid"], boundary=False) + " select pid, geom from ins")
 def half_open(spark, sf):
-    e = edges(spark, sf)
-    return G.inside(G.candidate_pairs(customer_points(spark, sf), e, 50.0), e, ["pid"], 25.0, boundary=False)
+    return G.points_in_shapes(customer_points(spark, sf), shapes(spark, sf), "pid", 50.0, 25.0, boundary=False)
 
 
 _MASK = _EDGES + """, box as (select geom, min(x0) as xmin, max(x0) as xmax, min(y0) as ymin, max(y0) as ymax from edge group by 1),
