@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ranking import exact_quantiles, running_totals, value_bucket, with_next
+from .ranking import exact_quantiles, ordered_rank, running_totals, value_bucket, with_next
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its functions travel to the executors
 
 MIN_SD = 1e-8  # fixed value: floor of a standard deviation used as divisor
+VALUES, NEAREST_ROWS = 1 << 20, 4096  # fixed values: numbers and rows of a block of vectors at most
 
 
 def long_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -93,32 +100,84 @@ def near_vectors(left: DataFrame, right: DataFrame, left_vec: str, right_vec: st
     return out.where(F.col("distance") <= radius).drop("_ca", "_cb", "_ma", "_mb", "_la", "_lb", "_len")
 
 
+def _blocks(vectors: DataFrame, vec: str, rows: int) -> DataFrame:
+    """Vectors numbered (``_id``) by length and mean, in blocks of at most ``rows`` neighbours and ``VALUES`` numbers."""
+    size = F.size(vec)
+    mean = F.aggregate(vec, F.lit(0.0), lambda a, v: a + v) / size
+    placed = ordered_rank(vectors.withColumns({"_len": size, "_mean": mean}), ["_len", "_mean"], "_id")
+    return placed.withColumn("_block", F.expr(f"_id div greatest(1, least({rows}, {VALUES} div _len))"))
+
+
+def _spans(blocks: DataFrame) -> DataFrame:
+    """Range of the means of each block (one row a block), and from where on a mean belongs to it."""
+    spans = blocks.groupBy("_len", F.col("_block").alias("_rb")).agg(F.min("_mean").alias("_lo"), F.max("_mean").alias("_hi"))
+    order = Window.partitionBy("_len").orderBy("_rb")
+    return cut_lineage(spans.withColumns({"_first": F.lag("_lo").over(order).isNull(), "_next": F.lead("_lo").over(order)}))
+
+
+def _reaching(vectors: DataFrame, spans: DataFrame, vec: str, reach: Column) -> DataFrame:
+    """Vectors with each block that may hold one within ``reach``: means differ by no more than the distance (and their rounding)."""
+    rounding = 1e-9 * (reach + F.array_max(F.transform(vec, F.abs)))
+    return vectors.withColumn("_reach", reach + rounding).join(F.broadcast(spans), "_len").where(
+        (F.col("_hi") >= F.col("_mean") - F.col("_reach")) & (F.col("_lo") <= F.col("_mean") + F.col("_reach")))
+
+
+def _meet(left: DataFrame, right: DataFrame, run, schema) -> DataFrame:
+    """``run(left rows, right rows)`` for each block of ``left`` (``_block``) and block ``_rb`` of ``right`` that one of its rows asks for."""
+    keys, n = ["_len", "_block", "_rb"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = right.withColumnRenamed("_block", "_rb").join(left.select(*keys).distinct(), ["_len", "_rb"])
+    asked, held = (df.toDF(*df.columns).repartition(n, *keys).groupBy(*keys) for df in (left, held))  # few bytes, much work: not to be coalesced
+    return asked.cogroup(held).applyInPandas(run, schema)
+
+
+def _distances(left, right) -> Iterator[np.ndarray]:
+    """Mean absolute differences of all rows of two columns of vectors, some rows of ``left`` at a time."""
+    a, columns = np.stack(left.to_numpy()), np.ascontiguousarray(np.stack(right.to_numpy()).T)
+    step = max(1, (1 << 17) // columns.shape[1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        for at in range(0, len(a), step):
+            part = a[at:at + step]
+            total, gap = np.zeros((len(part), columns.shape[1])), np.empty((len(part), columns.shape[1]))
+            for k, column in enumerate(columns):
+                total += np.abs(np.subtract(part[:, k, None], column, out=gap), out=gap)
+            yield total / len(columns)
+
+
 def comparable(vec: str) -> Column:
     """Vectors of at least two components, all finite."""
     fine = F.forall(vec, lambda v: v.isNotNull() & (F.abs(v) < float("inf")))  # NaN is larger than all numbers
     return F.coalesce((F.size(vec) > 1) & fine, F.lit(False))
 
 
-def appearance_exposure(rows: DataFrame, sample: str, vec: str, split: str = "split", radius: float = 0.001, growth: float = 4.0) -> DataFrame:
+def appearance_exposure(rows: DataFrame, sample: str, vec: str, split: str = "split", radius: float = 0.001) -> DataFrame:
     """Per test sample: exact distance to its nearest train sample, and whether that is within the radius.
 
-    Cells of the radius find the look-alikes; only tests without one are tried again with wider cells, until each has
-    a train sample within them. NULL where there is no train sample of the same length, and for vectors that are
-    null, shorter than two components or hold one that is null or not finite; these take no part.
+    Distinct vectors lie in blocks by their mean. A test is compared with the block its mean falls in, then with each other
+    block whose means come closer than the best found: pairs of blocks are dealt to the tasks, each a fixed number of rows. So
+    memory is bounded whatever the vectors; the comparisons are as many as test times train where means tell nothing.
+    NULL where there is no train sample of the same length, and for vectors that are null, shorter than two components or
+    hold one that is null or not finite; these take no part.
     """
-    vectors = rows.where(comparable(vec)).groupBy(split, vec).agg(F.count(F.lit(1)).alias("_n"))
-    test = vectors.where(F.col(split) == "test").select(F.col(vec).alias("_t"))
-    train = vectors.where(F.col(split) == "train").select(F.col(vec).alias("_r"))
-    train = cut_lineage(train)
-    lengths = train.select(F.size("_r").alias("_len")).distinct()
-    test = test.withColumn("_len", F.size("_t")).join(lengths, "_len", "left_semi").drop("_len")  # each can end the loop
-    left, rounds, reach = cut_lineage(test), [], radius
-    while not rounds or not (left.isEmpty() or train.isEmpty()):
-        rounds.append(cut_lineage(near_vectors(left, train, "_t", "_r", reach, "mae").groupBy("_t").agg(F.min("distance").alias("distance"))))
-        left, reach = cut_lineage(left.join(rounds[-1], "_t", "left_anti")), reach * growth
-    nearest = reduce(DataFrame.unionByName, rounds)
-    tests = rows.where(F.col(split) == "test").select(sample, F.col(vec).alias("_t"))
-    return tests.join(nearest, "_t", "left").select(sample, F.col("distance").alias("nearest_distance"), F.coalesce(F.col("distance") <= radius, F.lit(False)).alias("exposed"))
+    vectors = cut_lineage(rows.where(comparable(vec)).groupBy(split, F.col(vec).cast("array<double>").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    test, train = (_blocks(vectors.where(F.col(split) == name).select("_v"), "_v", n) for name, n in (("test", NEAREST_ROWS // 2), ("train", NEAREST_ROWS)))
+    spans = _spans(train)
+
+    def run(tests, trains):
+        best = [d.min(axis=1) for d in _distances(tests["_v"], trains["_v"])] if len(trains) else []
+        return pd.DataFrame({"_id": tests["_id"], "distance": np.concatenate(best)} if best else {"_id": [], "distance": []})
+
+    def nearest(asked: DataFrame) -> DataFrame:
+        return _meet(asked.select("_id", "_v", "_len", "_block", "_rb"), train.select("_v", "_len", "_block"), run, "_id bigint, distance double")
+
+    own = (F.col("_first") | (F.col("_mean") >= F.col("_lo"))) & F.coalesce(F.col("_mean") < F.col("_next"), F.lit(True))
+    home = test.join(F.broadcast(spans), "_len").where(own)
+    near = cut_lineage(nearest(home))
+    left = home.select("_id", "_v", "_len", "_mean", "_block", F.col("_rb").alias("_home")).join(near, "_id")
+    rest = nearest(_reaching(left, spans, "_v", F.col("distance")).where(F.col("_rb") != F.col("_home")))
+    best = near.unionByName(rest).groupBy("_id").agg(F.min("distance").alias("distance"))
+    found = test.select("_id", F.col("_v").alias("_t")).join(best, "_id").drop("_id")
+    tests = rows.where(F.col(split) == "test").select(sample, F.col(vec).cast("array<double>").alias("_t"))
+    return tests.join(found, "_t", "left").select(sample, F.col("distance").alias("nearest_distance"), F.coalesce(F.col("distance") <= radius, F.lit(False)).alias("exposed"))
 
 
 def close_pairs(rows: DataFrame, sample: str, vec: str, radius: float) -> DataFrame:

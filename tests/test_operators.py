@@ -439,3 +439,19 @@ def test_range_locator(rows):
     claims = rows([("d", "regional_high_range:run", "[0.25,0.75]"), ("d", "regional_high_range:none", "[0.25,0.75]"), ("d", "len(samples)", "2"), ("x", "len(samples)", "2")], "source string, locator string, recorded string")
     out = audit.provenance_check(claims, rows([("d", doc)], "source string, document string")).collect()
     assert sorted((r.locator, r.status) for r in out) == [("len(samples)", "SOURCE_MISSING"), ("len(samples)", "VERIFIED"), ("regional_high_range:none", "LOCATOR_MISSING"), ("regional_high_range:run", "VERIFIED")]
+
+
+def test_nearest_train_meets_only_blocks_in_reach(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(12)
+    base = np.repeat(rng.normal(size=8) * 50, 60)[:, None] + rng.normal(size=(480, 6))  # eight far clusters, nearest distances far above the radius
+    vecs = np.vstack([base, rng.normal(size=(2, 6)) * 1e6])
+    data = [(i, "test" if i % 3 == 0 else "train", list(map(float, v))) for i, v in enumerate(vecs)]
+    rows = spark.createDataFrame(data + [(900, "test", [1.0, 2.0]), (901, "train", [1.0, 4.0]), (902, "test", [1.0, 2.0, 3.0])], "id int, split string, v array<double>")
+    monkeypatch.setattr(shift, "NEAREST_ROWS", 16)
+    asked, whole = [], shift._meet
+    monkeypatch.setattr(shift, "_meet", lambda left, right, *a: asked.append(left.count()) or whole(left, right, *a))
+    got = {r.id: r.nearest_distance for r in shift.appearance_exposure(rows, "id", "v").collect()}
+    trains = vecs[[i for i in range(482) if i % 3]]
+    assert {i: got[i] for i in range(0, 482, 3)} == pytest.approx({i: np.abs(trains - vecs[i]).mean(axis=1).min() for i in range(0, 482, 3)})
+    assert got[900] == 1.0 and got[902] is None and len(got) == 163
+    assert asked[0] == 162 and asked[1] < 162 * 20 * 0.4  # a test meets its own cluster, not all blocks
