@@ -17,7 +17,7 @@ from .ranking import exact_quantiles, ordered_rank, running_totals, value_bucket
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its functions travel to the executors
 
 MIN_SD = 1e-8  # fixed value: floor of a standard deviation used as divisor
-VALUES, NEAREST_ROWS = 1 << 20, 4096  # fixed values: numbers and rows of a block of vectors at most
+VALUES, NEAREST_ROWS, PAIR_ROWS = 1 << 20, 4096, 1024  # fixed values: numbers and rows of a block of vectors at most
 
 
 def long_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -67,39 +67,6 @@ def wasserstein(long: DataFrame, pool: str, base: str, per_octave: int = 64) ->
         pool, "feature", (F.col("_w") / F.col("_sd")).alias("wasserstein_base_sd"))
 
 
-def _half_means(vec: str) -> tuple[Column, Column]:
-    half = F.floor(F.size(vec) / 2).cast("int")
-
-    def mean(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / F.size(part)
-
-    return mean(F.slice(vec, F.lit(1), half)), mean(F.slice(vec, half + 1, F.size(vec) - half))
-
-
-def _cells(df: DataFrame, vec: str, width: float) -> DataFrame:
-    a, b = _half_means(vec)
-    staged = df.withColumns({"_ma": a, "_mb": b})
-    return staged.withColumns({"_ca": F.floor(F.col("_ma") / width), "_cb": F.floor(F.col("_mb") / width)})
-
-
-def near_vectors(left: DataFrame, right: DataFrame, left_vec: str, right_vec: str, radius: float, metric: str) -> DataFrame:
-    """Every pair of distinct vectors at most ``radius`` apart (``mae`` or ``rmse``).
-
-    The mean of each half differs by at most twice the distance, so vectors meet only in
-    neighbouring cells of the two half means; both sides must be distinct vectors.
-    """
-    width = 2.0 * radius
-    nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    probe = _cells(left, left_vec, width).withColumn("_len", F.size(left_vec)).withColumn("_o", F.explode(nine)).withColumns(
-        {"_ca": F.col("_ca") + F.col("_o.i"), "_cb": F.col("_cb") + F.col("_o.j")}).withColumnRenamed("_ma", "_la").withColumnRenamed("_mb", "_lb").drop("_o")
-    held = _cells(right, right_vec, width).withColumn("_len", F.size(right_vec))
-    close = (F.abs(F.col("_la") - F.col("_ma")) <= width) & (F.abs(F.col("_lb") - F.col("_mb")) <= width)
-    gaps = F.zip_with(left_vec, right_vec, lambda x, y: F.abs(x - y) if metric == "mae" else (x - y) * (x - y))
-    mean = F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v) / F.size(left_vec)
-    out = probe.join(held, ["_ca", "_cb", "_len"]).where(close).withColumn("distance", mean if metric == "mae" else F.sqrt(mean))
-    return out.where(F.col("distance") <= radius).drop("_ca", "_cb", "_ma", "_mb", "_la", "_lb", "_len")
-
-
 def _blocks(vectors: DataFrame, vec: str, rows: int) -> DataFrame:
     """Vectors numbered (``_id``) by length and mean, in blocks of at most ``rows`` neighbours and ``VALUES`` numbers."""
     size = F.size(vec)
@@ -180,10 +147,43 @@ def appearance_exposure(rows: DataFrame, sample: str, vec: str, split: str = "sp
     return tests.join(found, "_t", "left").select(sample, F.col("distance").alias("nearest_distance"), F.coalesce(F.col("distance") <= radius, F.lit(False)).alias("exposed"))
 
 
+def _within(left, right, radius: float, leading: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and RMSE of the pairs of two columns of vectors within a radius; the leading components tell most others apart."""
+    a, b = np.stack(left.to_numpy()), np.stack(right.to_numpy())
+    size, step = a.shape[1], max(1, (1 << 17) // len(b))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for at in range(0, len(a), step):
+            part = a[at:at + step]
+            i, j = np.nonzero(sum(np.subtract.outer(part[:, k], b[:, k]) ** 2 for k in range(min(leading, size))) <= size * radius * radius * (1 + 1e-9))
+            total = np.zeros(len(i))
+            for k in range(size):
+                total += (part[i, k] - b[j, k]) ** 2
+            rmse = np.sqrt(total / size)
+            here = rmse <= radius
+            yield at + i[here], j[here], rmse[here]
+
+
 def close_pairs(rows: DataFrame, sample: str, vec: str, radius: float) -> DataFrame:
-    """Pairs of samples by RMSE, up to a radius; equal vectors count once under their smallest id."""
-    distinct = rows.groupBy(F.col(vec).alias("_v")).agg(F.min(sample).alias("id"), F.count(F.lit(1)).alias("copies"))
-    left = distinct.select(F.col("id").alias("sample_a"), F.col("_v").alias("_x"), F.col("copies").alias("copies_a"))
-    right = distinct.select(F.col("id").alias("sample_b"), F.col("_v").alias("_y"), F.col("copies").alias("copies_b"))
-    pairs = near_vectors(left, right, "_x", "_y", radius, "rmse").where(F.col("sample_a") < F.col("sample_b"))
-    return pairs.select("sample_a", "sample_b", "copies_a", "copies_b", F.col("distance").alias("rmse"))
+    """Pairs of samples by RMSE, up to a radius; equal vectors count once under their smallest id.
+
+    Vectors meet block by block where their means differ by no more than the radius; a vector that holds a null or a number
+    that is not finite has no pairs.
+    """
+    distinct = rows.where(F.forall(vec, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & (F.size(vec) > 0)).groupBy(
+        F.col(vec).cast("array<double>").alias("_v")).agg(F.min(sample).alias("id"), F.count(F.lit(1)).alias("copies")).where("id is not null")
+    placed = _blocks(cut_lineage(distinct), "_v", PAIR_ROWS).select("_v", "_len", "_mean", "_block", "_id", "id", "copies")
+
+    def run(left, right):
+        found = []
+        for i, j, rmse in _within(left["_v"], right["_v"], radius) if len(right) else ():
+            once = left["_id"].to_numpy()[i] < right["_id"].to_numpy()[j]
+            x, y = left[["id", "copies"]].iloc[i[once]], right[["id", "copies"]].iloc[j[once]]
+            found.append(pd.DataFrame({"x": x["id"].to_numpy(), "y": y["id"].to_numpy(), "copies_x": x["copies"].to_numpy(), "copies_y": y["copies"].to_numpy(), "rmse": rmse[once]}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("x", "y", "copies_x", "copies_y", "rmse")})
+
+    asked = _reaching(placed, _spans(placed), "_v", F.lit(radius)).where(F.col("_rb") >= F.col("_block"))
+    kind = dict(placed.dtypes)["id"]
+    pairs = _meet(asked.select("_v", "_len", "_block", "_rb", "_id", "id", "copies"), placed.drop("_mean"), run, f"x {kind}, y {kind}, copies_x bigint, copies_y bigint, rmse double")
+    first = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("sample_a"), F.greatest("x", "y").alias("sample_b"), F.when(first, F.col("copies_x")).otherwise(F.col("copies_y")).alias("copies_a"),
+                        F.when(first, F.col("copies_y")).otherwise(F.col("copies_x")).alias("copies_b"), "rmse")

@@ -455,3 +455,15 @@ def test_nearest_train_meets_only_blocks_in_reach(spark, monkeypatch, tmp_path):
     assert {i: got[i] for i in range(0, 482, 3)} == pytest.approx({i: np.abs(trains - vecs[i]).mean(axis=1).min() for i in range(0, 482, 3)})
     assert got[900] == 1.0 and got[902] is None and len(got) == 163
     assert asked[0] == 162 and asked[1] < 162 * 20 * 0.4  # a test meets its own cluster, not all blocks
+
+
+def test_close_pairs_meet_across_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    vecs = np.round(rng.random((150, 1)) + rng.normal(size=(150, 5)) * 0.01, 3)
+    vecs[7] = vecs[3]
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vecs)] + [(200, [0.5]), (201, [0.505]), (202, [None, 1.0]), (203, None)], "id int, v array<double>")
+    monkeypatch.setattr(shift, "PAIR_ROWS", 8)
+    got = {(r.sample_a, r.sample_b): (r.copies_a, r.copies_b, r.rmse) for r in shift.close_pairs(rows, "id", "v", 0.012).collect()}
+    d = {(i, j): math.sqrt(((vecs[i] - vecs[j]) ** 2).mean()) for i in range(150) for j in range(i + 1, 150) if 7 not in (i, j)}
+    want = {k: (1 + (k[0] == 3), 1 + (k[1] == 3), pytest.approx(v)) for k, v in d.items() if v <= 0.012}
+    assert got == {**want, (200, 201): (1, 1, pytest.approx(0.005))} and len(want) > 60
