@@ -6,6 +6,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+PIECE_ROWS = 250_000  # fixed value: rows of one piece of a named CSV, about
+
 
 class FrozenTableDiffers(ValueError):
     """The target holds another content than the one to be frozen."""
@@ -50,20 +54,28 @@ def export(df: DataFrame, path: str, fmt: str = "csv", allow_empty: bool = False
 
 
 def write_named_csv(df: DataFrame, path: str, by: str, suffix: str) -> None:
-    """One CSV file with a header for each value of ``by``, called ``<value><suffix>``; the values must be few.
+    """One CSV with a header for each value of ``by``, called ``<value><suffix>``; the values must be few.
 
-    Spark writes the files; only their names are set afterwards, through the file system of the path.
+    A value of more than ``PIECE_ROWS`` rows is dealt out over several tasks; its CSV is a folder of that name with pieces
+    ``part-<n><suffix>``. Spark writes the files; only their names are set afterwards, through the file system of the path.
     """
     spark = df.sparkSession
-    df.repartition(by).withColumn("_name", F.col(by)).write.partitionBy("_name").option("header", True).csv(path)
+    pieces = cut_lineage(df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count(F.lit(1)) / PIECE_ROWS).alias("_pieces")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.agg(F.sum("_pieces")).first()[0] or 0)
+    piece = F.pmod(F.xxhash64(*df.columns), F.col("_pieces"))
+    dealt = df.join(F.broadcast(pieces), F.col(by).eqNullSafe(F.col("_by"))).select(*df.columns, piece.alias("_piece"))
+    dealt.repartition(n, by, "_piece").drop("_piece").withColumn("_name", F.col(by)).write.partitionBy("_name").option("header", True).csv(path)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for folder in fs.listStatus(Path(path)):
         name = folder.getPath().getName()
         if name.startswith("_name="):
             parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            target = f"{path}/{name.removeprefix('_name=')}{suffix}"
+            if len(parts) > 1:
+                fs.mkdirs(Path(target))
             for n, part in enumerate(parts):
-                fs.rename(part, Path(f"{path}/{name.removeprefix('_name=')}{f'.{n}' if n else ''}{suffix}"))
+                fs.rename(part, Path(f"{target}/part-{n}{suffix}" if len(parts) > 1 else target))
             fs.delete(folder.getPath(), True)
 
 

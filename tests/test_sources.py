@@ -98,6 +98,19 @@ def test_archive_index_reads_all_entry_files(spark, tmp_path):
     assert got == [("one.zip", "one", 10), ("two.zip", "two", 10)]
 
 
+def test_large_archives_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SK, "PIECE_ROWS", 100)
+    schema = "archive string, member string, header_offset bigint"
+    data = [("a.1", f"m{i}", i) for i in range(1000)] + [("b", "m", 5)]
+    path = str(tmp_path / "index")
+    SK.write_named_csv(spark.createDataFrame(data, schema), path, "archive", "_entries.csv")
+    pieces = sorted((tmp_path / "index" / "a.1_entries.csv").glob("part-*_entries.csv"))
+    assert len(pieces) > 1 and max(len(p.read_text().splitlines()) for p in pieces) < 1000
+    assert (tmp_path / "index" / "b_entries.csv").is_file()
+    got = AR.archive_index(spark, path, schema).collect()
+    assert sorted((r.archive, r.member, r.header_offset) for r in got) == sorted(data) and all(r.index_name == r.archive for r in got)
+
+
 def test_frozen_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(50).withColumn("v", F.when(F.col("id") % 2 == 0, F.col("id")))
