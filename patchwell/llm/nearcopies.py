@@ -4,9 +4,13 @@ A text's fingerprint has ``BANDS`` bands of 32 bits, each bit the majority of on
 five-word shingles. With all but one band cleared, a fingerprint emits all variants of what is left within one bit, so
 two texts meet where some band differs in at most two bits: 33 variants for each band, whatever the table. Texts that
 meet are candidates; they are linked where their sets (64-bit hashes) are at least ``LEAST`` alike, decided on the whole
-sets. In each place the smallest member is compared with all others; members of places that these links leave in more
-than one component are then compared each with each, in blocks of fixed size. Only distinct shingle sets take part, so
-thousands of copies are one of them.
+sets. Only distinct shingle sets take part, so thousands of copies are one of them, and of places with the same members
+only one is worked on. In each place the smallest member is compared with all others; of places that these links leave in
+more than one component, the members outside the smallest one's are then compared with all, in blocks of fixed size.
+
+As the table grows, more unlike texts meet by chance. Two exact bounds drop these before any set is moved: alike sets
+differ by at most a factor of 1.25 in size, and the leading bits of an ``fp`` are the class of that size; and their
+parities (how many hashes fall into each of some cells, odd or even) differ in at most a ninth of the sizes together.
 
 A bit differs with a chance of arccos(2 J / (1 + J)) / pi, so pairs right at 0.8 meet with a chance of about 0.7, at 0.85 of
 0.9, at 0.9 of 0.98; chains and groups are joined through any of their links. README has measured shares.
@@ -33,6 +37,7 @@ BANDS, BITS = 10, 32
 _rng = np.random.default_rng(11)
 TURN = _rng.integers(0, 2 ** 64, BANDS // 2, np.uint64)
 ODD = _rng.integers(0, 2 ** 64, BANDS // 2, np.uint64) | np.uint64(1)
+SIZE_CLASS, CLASS_SHIFT = 1.26, 57  # a little more than 1 / LEAST; an fp has its class above this bit
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -70,15 +75,29 @@ def variants(places: DataFrame) -> DataFrame:
     return places.withColumn("value", F.explode(F.transform(flips, lambda v: F.col("value").bitwiseXOR(v))))
 
 
+def named(hashes: np.ndarray) -> int:
+    """The fp of one shingle set: 7 bits for the class of its size (alike sets have the same or the next), 57 of its hash."""
+    import xxhash
+
+    if not len(hashes):
+        return -(1 << 63)
+    size = 1 + int(np.log(len(hashes)) / np.log(SIZE_CLASS))
+    return ((size - 64) << CLASS_SHIFT) + (xxhash.xxh64_intdigest(hashes.tobytes(), 7) >> (64 - CLASS_SHIFT))
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """One bit for each cell, whether an odd number of hashes falls into it; cells are a power of two, 64 to 65,536, and as many as hashes if these allow."""
+    cells = 1 << min(16, max(6, int(len(hashes) - 1).bit_length()))
+    return np.packbits(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
 def marks(text: Column) -> Column:
-    """struct(fp, bands): the hash of the whole shingle set, zero for an empty one, and its bands."""
-    @F.pandas_udf("fp long, bands array<int>")
+    """struct(fp, bands, size, parity): name, bands, number and parities of the whole shingle set."""
+    @F.pandas_udf("fp long, bands array<int>, size long, parity binary")
     def of(texts: pd.Series) -> pd.DataFrame:
-        import xxhash
-
         sets = [shingles(t or "") for t in texts]
-        fps = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64)) if len(s) else 0 for s in sets]
-        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "bands": pd.Series([bands(s) for s in sets], dtype=object)})
+        return pd.DataFrame({"fp": pd.Series([named(s) for s in sets], dtype="int64"), "bands": pd.Series([bands(s) for s in sets], dtype=object),
+                             "size": pd.Series([len(s) for s in sets], dtype="int64"), "parity": pd.Series([parities(s) for s in sets], dtype=object)})
 
     return of(text)
 
@@ -106,6 +125,48 @@ def alike(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def may_be_alike(sizes: np.ndarray, marked: list[bytes]) -> np.ndarray:
+    """Which of these sets may be at least ``LEAST`` alike to another of them; False is certain."""
+    bits, hit = [np.frombuffer(m, np.uint64) for m in marked], np.zeros(len(sizes), bool)
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width):  # a set's cells are at most twice as many as those of a smaller one alike to it
+        near = np.flatnonzero((width == w) | (width == 2 * w))
+        rows = np.stack([bits[i] if width[i] == w else bits[i][:w] ^ bits[i][w:] for i in near])
+        for at in np.flatnonzero(width[near] == w):
+            mine, theirs = sizes[near[at]], sizes[near]
+            differ = np.bitwise_count(rows ^ rows[at]).sum(1, dtype=np.int64)
+            ok = (9 * differ <= mine + theirs) & (np.minimum(mine, theirs) >= LEAST * np.maximum(mine, theirs) - 1e-9)
+            ok[at] = False
+            hit[near[ok]] = True
+            hit[near[at]] |= ok.any()
+    return hit
+
+
+def folded(members: DataFrame, place: list[str]) -> DataFrame:
+    """(band, value, fp, least, n): of places with the same members one, named by two hashes of these, if it has more than one."""
+    at = Window.partitionBy(*place)
+    return members.select("fp", F.bit_xor(F.xxhash64("fp")).over(at).alias("band"), F.bit_xor(F.xxhash64("fp", F.lit(7))).over(at).alias("value"),
+                          F.min("fp").over(at).alias("least"), F.count("*").over(at).alias("n")).where("n > 1").distinct()
+
+
+def possible(members: DataFrame, parity: DataFrame, block: int = 256) -> DataFrame:
+    """``members`` without those that cannot be alike to any other of their place; ``parity`` has (fp, size, parity).
+
+    Places of more than ``block`` members stay as they are.
+    """
+    @F.pandas_udf("array<long>")
+    def of(lists: pd.Series) -> pd.Series:
+        out = []
+        for m in lists:
+            hit = may_be_alike(np.array([r["size"] for r in m], np.int64), [r["parity"] for r in m])
+            out.append([r["fp"] for r, h in zip(m, hit, strict=True) if h])
+        return pd.Series(out, dtype=object)
+
+    few = members.where(F.col("n") <= block).join(parity, "fp").groupBy("band", "value").agg(F.collect_list(F.struct("fp", "size", "parity")).alias("m"))
+    left = few.select("band", "value", F.explode(of("m")).alias("fp"))
+    return folded(left.unionByName(members.where(F.col("n") > block).select("band", "value", "fp")), ["band", "value"])
+
+
 def unit_links(members: pd.DataFrame) -> pd.DataFrame:
     """Links between the roots of ``members`` (fp, root, hashes) that are not joined yet: every pair of roots is decided."""
     fps, sets = members["fp"].to_numpy(), [np.frombuffer(h, np.uint64) for h in members["hashes"]]
@@ -114,7 +175,8 @@ def unit_links(members: pd.DataFrame) -> pd.DataFrame:
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     ends, roots, out = np.cumsum(sizes), members["root"].to_numpy().copy(), []
     marked = np.zeros(len(values), bool)
-    for i in range(len(sets)):
+    names, counts = np.unique(roots, return_counts=True)
+    for i in np.flatnonzero(roots != names[counts.argmax()]):  # of two with unlike roots one is not in the largest
         if (roots == roots[i]).all():
             continue
         mine = place[ends[i] - sizes[i]:ends[i]]
@@ -132,19 +194,29 @@ def links(members: DataFrame, sets: DataFrame, block: int = 256) -> DataFrame:
     """(a, b): links that connect all candidates whose sets are alike.
 
     ``members`` (band, value, fp, least, n) of all places with more than one, ``sets`` (fp, hashes) of these. ``block``
-    only bounds what one task compares; every pair of a place falls into some pair of its blocks.
+    only bounds what one task compares. Members with the root of their place's smallest need not be compared with each
+    other: those outside it meet all of these, and each other, block by block.
     """
     place = ["band", "value"]
+    at = Window.partitionBy(*place)
     first = members.where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     held = lambda c: sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_hashes"))
     stars = materialize(first.join(held("a"), "a").join(held("b"), "b").where(alike(F.col("a_hashes"), F.col("b_hashes"))).select("a", "b"), "stars")
     roots = components(stars).withColumnRenamed("node", "fp")
     rooted = members.where("n > 2").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = rooted.groupBy(*place).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(*place)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    units = (rooted.join(split, place).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-             .groupBy(*place, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    split = rooted.withColumns({"low": F.min("root").over(at), "high": F.max("root").over(at)}).where("low != high").drop("low", "high")
+    inner = F.col("root") == F.min(F.struct("fp", "root")).over(at)["root"]
+    sided = split.withColumn("inner", inner).withColumn("outer_n", F.count_if(~F.col("inner")).over(at))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    sided = sided.withColumns({"blocks": parts(F.col("n") - F.col("outer_n")), "outer": parts(F.col("outer_n"))})
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("inner"), F.col("blocks")).otherwise(F.col("outer"))).cast("int")
+    unit = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    met = (F.when(F.col("n") <= block, F.array(unit(0, F.lit(0), F.lit(0))))
+           .when(F.col("inner"), F.transform(upto("outer"), lambda c: unit(0, F.col("own"), c)))
+           .otherwise(F.concat(F.transform(upto("blocks"), lambda b: unit(0, b, F.col("own"))),
+                               F.transform(upto("outer"), lambda c: unit(1, F.least("own", c), F.greatest("own", c))))))
+    units = (sided.withColumn("own", own).withColumn("unit", F.explode(met)).groupBy(*place, "unit")
              .agg(F.sort_array(F.collect_list(F.struct("fp", "root"))).alias("m")).select("m").distinct())
     rows = units.select(F.xxhash64("m").alias("unit"), F.explode("m").alias("m")).select("unit", "m.fp", "m.root").join(sets, "fp")
     rest = rows.groupBy("unit").applyInPandas(lambda g: unit_links(g), "a long, b long")
@@ -158,17 +230,21 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     who = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(2 ** 63 - 1)), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
     docs = docs.withColumns(who)
-    marked = docs.select(F.struct("__id", "__text").alias("who"), marks(F.col(text_col)).alias("v")).select("who", "v.fp", "v.bands")
-    per_fp = materialize(marked.groupBy("fp").agg(F.min("who").alias("own"), F.first("bands").alias("bands")), "distinct")
-    at = Window.partitionBy("band", "value")
+    marked = docs.select(F.struct("__id", "__text").alias("who"), marks(F.col(text_col)).alias("v")).select("who", "v.*")
+    per_fp = materialize(marked.groupBy("fp").agg(F.min("who").alias("own"), *[F.first(c).alias(c) for c in ("bands", "size", "parity")]), "distinct")
+    at, cls = Window.partitionBy("band", "value").orderBy("fp"), F.shiftright("fp", CLASS_SHIFT)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = variants(per_fp.repartition(tasks, "fp").select("fp", F.posexplode("bands").alias("band", "value")).withColumn("band", F.col("band").cast("byte")))
-    members = materialize(places.withColumns({"n": F.count("*").over(at), "least": F.min("fp").over(at)}).where("n > 1"), "members")
-    needed = per_fp.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "own.__id", "own.__text")
+    after, before = cls - F.lag(cls).over(at) <= 1, F.lead(cls).over(at) - cls <= 1
+    near = materialize(places.withColumns({"after": F.coalesce(after, F.lit(False)), "before": F.coalesce(before, F.lit(False))})
+                       .where("after or before").select("band", "value", "fp", "after"), "near")
+    runs = near.withColumn("run", F.count_if(~F.col("after")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    members = materialize(possible(folded(runs, ["band", "value", "run"]), per_fp.select("fp", "size", "parity")), "members")
+    needed = materialize(per_fp.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "own.__id", "own.__text"), "needed")
     sets = (docs.select("__id", "__text", F.col(text_col).alias("__whole")).join(needed, ["__id", "__text"])
             .select("fp", packed(F.col("__whole")).alias("hashes")).dropDuplicates(["fp"]))
     roots = components(links(members, materialize(sets, "sets"))).withColumnRenamed("node", "fp")
-    grouped = per_fp.drop("bands").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = per_fp.select("fp", "own").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stay = grouped.groupBy("root").agg(F.min("own").alias("least")).select("least.__id", "least.__text")
     one = Window.partitionBy("__id", "__text").orderBy(F.lit(0))
     return (docs.join(stay, ["__id", "__text"], "left_semi").withColumn("__n", F.row_number().over(one))

@@ -332,6 +332,32 @@ def test_near_copies_link_chains(spark, block):
     assert all(alike[r["a"], r["b"]] for r in edges.collect())
 
 
+def test_chance_meetings_go_before_sets_move(spark):
+    """Alike sets always stay, also at the bound and across widths of the parities; unlike ones of all sizes go, though all share one place."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 2 ** 64, n, np.uint64))
+    sets, pairs = [np.zeros(0, np.uint64), *(draw(n) for n in (1, 2, 3, 5, 20, 64, 300, 1000, 5000, 200_000))], set()
+    for n in (4, 9, 65, 128, 700, 2050, 90_000):
+        base = draw(n)
+        for cut, more in ((0, n // 4), (n // 5, 0), (n // 9, n // 9)):  # Jaccard 0.8 or just above
+            pairs.add((len(sets), len(sets) + 1))
+            one = base if more < n // 4 else np.sort(base ^ np.uint64(more))
+            sets += [one, np.union1d(one[cut:], draw(more))]
+            assert len(np.intersect1d(*sets[-2:])) >= 0.8 * len(np.union1d(*sets[-2:]))
+    fps = [nearcopies.named(s) for s in sets]
+    assert all(abs((fps[a] >> 57) - (fps[b] >> 57)) <= 1 for a, b in pairs) and len(set(fps)) >= len(sets) - 14
+    hit = nearcopies.may_be_alike(np.array([len(s) for s in sets]), [nearcopies.parities(s) for s in sets])
+    assert all(hit[a] and hit[b] for a, b in pairs) and not hit[:11].any()
+    alone = [k for k in range(11)] + list(min(pairs))
+    table = spark.createDataFrame([(fps[k], len(sets[k]), nearcopies.parities(sets[k])) for k in alone], "fp long, size long, parity binary")
+    places = spark.createDataFrame([(b, v, fps[k]) for b, v in ((0, 1), (0, 5), (3, 5)) for k in alone], "band int, value int, fp long")
+    once = nearcopies.folded(places, ["band", "value"])
+    assert once.count() == len(alone)  # three places with the same members are worked on once
+    left = nearcopies.possible(once, table).collect()
+    assert sorted(r["fp"] for r in left) == sorted(fps[k] for k in min(pairs)) and {(r["least"], r["n"]) for r in left} == {(min(fps[k] for k in min(pairs)), 2)}
+    assert nearcopies.possible(once, table, block=4).count() == len(alone)  # a crowded place is left to the links
+
+
 def test_bands_are_majorities_and_variants_one_bit(spark):
     hashes = np.random.default_rng(3).integers(0, 2 ** 64, 40_000, np.uint64)
     mixed = (hashes[:, None] ^ nearcopies.TURN) * nearcopies.ODD
