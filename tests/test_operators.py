@@ -509,3 +509,15 @@ def test_support_under_outlines_follows_runs(spark, monkeypatch):
     values = {n: [dn.get((n % 3, u.row, u.col)) for u in under if u.geom == n] for n in range(6)}
     assert got == {n: (len(v), sum(x is not None and x <= 253 for x in v), sum(x is not None and 200 <= x <= 253 for x in v)) for n, v in values.items()}
     assert sum(map(len, values.values())) > 20 and asked[0] < 7 * sum(map(len, values.values()))  # runs, not cells
+
+
+def test_cited_groups_are_parsed_once(spark, rows):
+    doc = '{"samples":[1,2],"best":{"test_groups":{"g1":{"per_class":[{"f1":0.1},{"f1":0.2},{"f1":0.7}]},"g2":{"per_class":[{"f1":0.1},{"f1":0.2},{"f1":0.3}]},"g3":{"per_class":[]}}},"bare":{"test_groups":{}}}'
+    claims = rows([("d", "regional_high_range:best", "[0.3,0.7]"), ("d", "regional_high_range:bare", "[0.3,0.7]"), ("d", "len(samples)", "3"), ("e", "regional_high_range:best", "[]")],
+                  "source string, locator string, recorded string")
+    out = audit.provenance_check(claims, rows([("d", doc)], "source string, document string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert out.columns == ["source", "locator", "recorded", "found", "status"]
+    assert {(r["source"], r["locator"]): (r["found"], r["status"]) for r in out.collect()} == {
+        ("d", "regional_high_range:best"): ("[0.3,0.7]", "VERIFIED"), ("d", "regional_high_range:bare"): (None, "LOCATOR_MISSING"),
+        ("d", "len(samples)"): ("2", "DIFFERS"), ("e", "regional_high_range:best"): (None, "SOURCE_MISSING")}
