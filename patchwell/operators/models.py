@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import argmax, softmax
 from ..functions.spectral import BANDS, FEATURES, INDEX_NAMES, SCALE, with_indices
+from ..session import cut_lineage
 from .ranking import exact_quantiles
 
 # Settings of the two classifiers.
@@ -97,6 +98,15 @@ def forest(features=FEATURES, label: str = "y", weight: str | None = None, trees
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf])
 
 
+def dealt_once(rows: DataFrame) -> DataFrame:
+    """``rows`` made once, in no more partitions than the session has cores.
+
+    Each step of a fit is a job whose every task reports to the driver, so what the driver gets follows the partitions times
+    the steps (at most the iterations, or levels); this way it does not grow with the table.
+    """
+    return cut_lineage(rows).coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def score(model, rows: DataFrame) -> DataFrame:
     """Probabilities as an array and the class with the largest one (lowest class on a tie)."""
     out = model.transform(rows).withColumn("prob", vector_to_array("_prob"))

@@ -93,6 +93,7 @@ def _parts(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _fit(kind: str, train: DataFrame, features=FEATURES, weight: str | None = None):
+    train = MO.dealt_once(train.select(*features, "y", *([weight] if weight else [])))
     if kind == "logistic":
         return MO.logistic(features, weight=weight, rows=train.count()).fit(train)
     return MO.forest(features, weight=weight).fit(train)
@@ -223,9 +224,9 @@ def ablation(spark, sf):
 
 @BOOK.add("m08_imbalance_variants")
 def imbalance(spark, sf):
-    train, test = _parts(spark, sf)
+    train, test = (MO.dealt_once(part) for part in _parts(spark, sf))
     weights = SP.balanced_weights(train, "y").rows
-    balanced = SP.balanced_sample(train, "y", "pixel_id")
+    balanced = MO.dealt_once(SP.balanced_sample(train, "y", "pixel_id"))  # drawn once: every draw broadcasts again
     results = []
     for variant, rows, weight in (("plain", train, None), ("weighted", MO.with_class_weights(train, "y", weights), "weight"), ("balanced", balanced, None)):
         m = evaluate(MO.score(_fit("logistic", rows, weight=weight), test), [])

@@ -109,3 +109,20 @@ def test_vectors_that_cannot_be_compared_get_null(spark):
     got = {r["id"]: (r["nearest_distance"], r["exposed"]) for r in shift.appearance_exposure(df, "id", "vec").collect()}
     assert got == {2: (0.25, False), **{i: (None, False) for i in (1, 3, 4, 5, 6, 7)}}
     assert shift.appearance_exposure(df.where(F.col("split") == "test"), "id", "vec").where("nearest_distance is not null").count() == 0
+
+
+def test_fits_take_rows_dealt_once(spark, monkeypatch):
+    """What a fit repeats over is made beforehand, in no more partitions than cores, so its reports do not grow with the table."""
+    from patchwell.operators import models
+    from patchwell.plans import models as plans
+    seen = []
+
+    class Fit:
+        def fit(self, train):
+            seen.append(train)
+
+    monkeypatch.setattr(models, "logistic", lambda *a, **k: Fit())
+    rows = spark.range(0, 1000, 1, 40).selectExpr("id as x", "id % 3 as y", "id % 2 as other", "1.5 as w").repartition(30, "x")
+    plans._fit("logistic", rows, ["x"], weight="w")
+    assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and seen[0].columns == ["x", "y", "w"]
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString() and seen[0].agg({"x": "sum"}).first()[0] == 499500
