@@ -371,6 +371,64 @@ def test_bands_are_majorities_and_variants_one_bit(spark):
     assert len(rows) == len({r["value"] for r in rows}) == 33 and all(((r["value"] ^ -7) & 0xFFFFFFFF).bit_count() <= 1 for r in rows)
 
 
+def rows_made(spark, run, node):
+    """Rows made by the plan nodes of this name in all that ``run`` does."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: {e.apply(i).executionId() for e in [store.executionsList()] for i in range(e.size())}
+    before, rows = listed(), []
+    run()
+    for at in sorted(listed() - before):
+        nodes, told = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (n.metrics().apply(k) for k in range(n.metrics().size())):
+                if node in n.name() and m.name() in ("shuffle records written", "number of output rows") and told.get(m.accumulatorId()).isDefined():
+                    rows.append(int(told.get(m.accumulatorId()).get().replace(",", "")))
+    return rows
+
+
+def test_bands_within_two_bits_meet(spark):
+    """All values within two bits and no others, also negative ones; a row for each part of a band moves, not one for each variant."""
+    rng, values = np.random.default_rng(6), []
+    for v in rng.integers(-(1 << 31), 1 << 31, 30).tolist() + [0, -1, -(1 << 31)]:
+        for bits in ([], [0], [31], [3, 4], [0, 31], [10, 11], [21, 22], [5, 15, 25]):
+            values.append((v & 0xFFFFFFFF) ^ sum(1 << b for b in bits))
+    rows = [((12 << nearcopies.CLASS_SHIFT) + i, i % 2 * 9, v - (v >> 31 << 32)) for i, v in enumerate(v for v in values for _ in range(2))]
+    met = nearcopies.meeting(spark.createDataFrame(rows, "fp long, band byte, value int").repartition(3), 8)
+    places, near = {}, set()
+    for r in met.collect():
+        places.setdefault((r["band"], r["value"]), set()).add(r["fp"])
+    for m in places.values():
+        near |= {(a, b) for a in m for b in m if a < b}
+    assert near == {(a, b) for a, i, v in rows for b, j, w in rows if a < b and i == j and ((v ^ w) & 0xFFFFFFFF).bit_count() <= 2}
+    assert max(rows_made(spark, met.count, "Exchange")) <= len(rows) * len(nearcopies.PARTS)
+
+
+def test_near_dedup_moves_no_more_than_it_must(spark):
+    """Near copies of one text meet in many places; no join makes a row for each of these, only for each pair with the hub of one."""
+    rng = np.random.default_rng(12)
+    base, texts = [f"w{x}" for x in rng.integers(0, 10 ** 6, 300)], []
+    for _ in range(150):
+        words = list(base)
+        for i in rng.integers(0, 300, 3):
+            words[i] = f"x{rng.integers(0, 10 ** 6)}"
+        texts.append(" ".join(words))
+    texts[75] = " ".join(base)
+    texts += [" ".join(f"y{x}" for x in rng.integers(0, 10 ** 6, 50)) for _ in range(850)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = []
+    joined = rows_made(spark, lambda: kept.extend(r["doc_id"] for r in nearcopies.deduplicated(docs).collect()), "Join")
+    assert sorted(kept) == [0, *range(150, 1000)]
+    assert max(joined) <= 40 * 150  # 14,622 with a row for each place
+
+
+def test_bitmap_rules_out_only_what_is_not_there(spark):
+    rows = spark.range(3000).select(F.col("id").alias("a"), F.hash("id").cast("string").alias("b"))
+    told = nearcopies.may_be_among(rows, rows.where("a % 10 = 3"), ["a", "b"]).select("a", "__among").collect()
+    among = {r["a"] for r in told if r["__among"]}
+    assert len(told) == 3000 and among >= set(range(3, 3000, 10)) and len(among) < 310
+    assert nearcopies.may_be_among(rows, rows.where("false"), ["a", "b"]).where("__among").count() == 0
+
+
 def test_letters_that_are_no_language_go(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
     model = language_id.train(docs.where(~held_out()), steps=400)
