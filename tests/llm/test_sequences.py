@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from conftest_llm import SF
 from patchwell.llm import queries, repair, suffixes, tries
+from pyspark.sql import functions as F
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -55,6 +56,37 @@ def test_suffix_dedup_is_brute_force(spark, seed, crowd):
     assert rows_of(suffixes.digest(suffixes.deduplicated(df, crowd=crowd))) == plain_dedup(docs)
 
 
+def test_rows_of_one_gram_are_not_one_task(spark, monkeypatch):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    period = some(40)
+    docs = [(i, some(300) + period * 60 + some(300)) for i in range(80)]
+    share, write = {}, suffixes.materialize
+
+    def watched(df, label):
+        out = write(df, label)
+        if label == "buckets":
+            counts = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            share[label] = max(counts) / sum(counts)
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", watched)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # tables too large for Spark's own broadcasts
+    try:
+        assert rows_of(suffixes.digest(suffixes.deduplicated(df))) == plain_dedup(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert share["buckets"] < 0.5
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_met_is_the_plain_join(spark, how):
+    rows = spark.sql("select if(id % 3 = 0, 7, id) as a, id as b from range(4000) union all select null, 1")
+    counted = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1 or a % 2 = 0")
+    assert rows_of(suffixes.met(rows, counted, ["a"], "n", how)) == rows_of(rows.join(counted, "a", how))
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 512)
     rng = random.Random(3)
